@@ -96,17 +96,23 @@ def _grow(n: int) -> None:
     _powers, _inverse = np.cumprod(powers), np.cumprod(inverses)
 
 
-def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each run, the same wherever the run stands.
+class Hashes:
+    """64-bit hashes of the bytes of any runs of a buffer, the same wherever a run stands.
 
     A polynomial in a fixed odd base: one prefix sum over the bytes, then a difference and an inverse power for each run.
     """
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    _grow(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * _inverse[starts])
+
+    def __init__(self, data: np.ndarray):
+        _grow(len(data) + 1)
+        self.total = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[: len(data)], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.total[ends] - self.total[starts]) * _inverse[starts])
+
+
+def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return Hashes(data)(starts, ends)
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
