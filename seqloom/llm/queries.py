@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from . import decontam
+from .decontam import op8_decontaminate
 from .langid import op9_language
 from .quality import op4_quality
 from .simhash import op10_simhash
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
+    "op8_decontaminate": op8_decontaminate,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_decontaminate": decontam.sql_of(),
+}
