@@ -250,15 +250,19 @@ def _chosen(rank, rows, n):
     return out
 
 
-def _log_odds(feature: np.ndarray, owner: np.ndarray, labels: np.ndarray, n: int) -> np.ndarray:
-    """Shrunk log-odds of the texts with a feature being toxic, for n features; owner: the text of each occurrence."""
-    key = np.unique(feature.astype(np.int64) * len(labels) + owner)
-    toxic = labels[key % len(labels)] == 1
-    bad, good = (np.bincount(key[m] // len(labels), minlength=n) for m in (toxic, ~toxic))
-    texts = np.unique(owner)
-    p, q = (labels[texts] == 1).sum(), (labels[texts] == 0).sum()
-    odds = np.log((bad + 0.5) / (p + 1)) - np.log((good + 0.5) / (q + 1))
-    return np.clip(odds * (bad + good) / (bad + good + 4), -3, 4).astype(np.float32)
+def _log_odds(code, cut, labels, held, n, root, many, group, n_stems):
+    """Shrunk log-odds of the fitted texts with a word being toxic, for n words and the stems they have."""
+    word, stem = np.zeros((2, n)), np.zeros((2, n_stems))
+    for i in np.flatnonzero(~held):
+        own = np.unique(code[cut[i] : cut[i + 1]])
+        word[labels[i], own] += 1
+        stem[labels[i], np.unique(group[ft.spread(root[own], many[own])])] += 1
+    q, p = np.bincount(labels[~held], minlength=2)
+    out = []
+    for good, bad in (word, stem):
+        odds = np.log((bad + 0.5) / (p + 1)) - np.log((good + 0.5) / (q + 1))
+        out.append(np.clip(odds * (bad + good) / (bad + good + 4), -3, 4).astype(np.float32))
+    return out
 
 
 def fit(texts: pa.Array, labels: np.ndarray, *, rounds: tuple[int, ...] = (6, 3), batch: int = 128, seed: int = 11) -> Network:
@@ -269,38 +273,42 @@ def fit(texts: pa.Array, labels: np.ndarray, *, rounds: tuple[int, ...] = (6, 3)
     rng = np.random.default_rng(seed)
     net = Network.new(seed)
     body, starts, ends, hashes, counts, base = [], [], [], [], [], 0
-    for _, _, data, offsets in ft.chunks(texts):
+    for _, _, data, offsets in ft.chunks(texts):  # only the bytes of a chunk's distinct words are kept
         low, s, e, h = words_of(data, offsets)
-        body.append(low)
-        starts.append(s + base)
-        ends.append(e + base)
-        hashes.append(h)
+        _, lead = np.unique(h, return_index=True)
+        size = e[lead] - s[lead]
+        body.append(low[ft.spread(s[lead], size)])
+        starts.append(np.cumsum(size) - size + base)
+        ends.append(np.cumsum(size) + base)
+        base += int(size.sum())
+        hashes.append((h, h[lead]))
         counts.append(np.diff(np.searchsorted(s, offsets)))
-        base += len(low)
-    body, starts, ends, hashes, counts = map(np.concatenate, (body, starts, ends, hashes, counts))
-    if not len(hashes):
+    counts = np.concatenate(counts)
+    distinct, first = np.unique(np.concatenate([u for _, u in hashes]), return_index=True)
+    if not len(distinct):
         return Network(*[np.zeros((1, 1))] * 3, constant=positive / n)
-    distinct, first, code = np.unique(hashes, return_index=True, return_inverse=True)
+    code = np.concatenate([np.searchsorted(distinct, h).astype(np.int32) for h, _ in hashes])
+    body, starts, ends = np.concatenate(body), np.concatenate(starts)[first], np.concatenate(ends)[first]
+    del hashes
     cut = np.concatenate([[0], np.cumsum(counts)])
-    owner = np.repeat(np.arange(n), counts)
     held = rng.random(n) < 0.2  # for the calibration
     if not (0 < labels[~held].sum() < (~held).sum()):
         held[:] = False
-    fits = ~held[owner]
-    odds = _log_odds(code[fits], owner[fits], labels, len(distinct))
-    parts = parts_of(distinct, body, starts[first], ends[first])
+    parts = parts_of(distinct, body, starts, ends)
     at, (roots, root) = parts[0], parts[2]
-    net.words[at, 0] = odds / 2  # a word's vector starts with its own log-odds, and a stem's with the stem's
     many = np.diff(np.append(root, len(roots)))
     known, group = np.unique(roots, return_inverse=True)
-    token = code[fits]
-    spread_at = ft.spread(root[token], many[token])
-    stem_odds = _log_odds(group[spread_at], np.repeat(owner[fits], many[token]), labels, len(known))
+    word_odds, stem_odds = _log_odds(code, cut, labels, held, len(distinct), root, many, group, len(known))
+    net.words[at, 0] = word_odds / 2  # a word's vector starts with its own log-odds, and a stem's with the stem's
     net.stems[known, 0] = stem_odds / 2
-    odds = np.maximum(odds, np.maximum.reduceat(stem_odds[group], root))
+    odds = np.maximum(word_odds, np.maximum.reduceat(stem_odds[group], root))
     rows, begin, size = windows(counts)
-    where = np.minimum(np.arange(WIDTH)[:, None], size - 1) + begin + cut[rows]
-    lexical = odds[code[where]].max(axis=0)
+    begin += cut[rows]
+
+    def where(w):
+        return np.minimum(np.arange(WIDTH)[:, None], size[w] - 1) + begin[w]
+
+    lexical = np.concatenate([odds[code[where(slice(a, a + BLOCK))]].max(axis=0) for a in range(0, len(rows), BLOCK)])
     moment: dict[str, list] = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.dense.items()}
     squares = {k: np.full(len(getattr(net, k)), 1e-8, dtype=np.float32) for k in ("words", "chars", "stems")}
     step = 0
@@ -315,7 +323,7 @@ def fit(texts: pa.Array, labels: np.ndarray, *, rounds: tuple[int, ...] = (6, 3)
                 w = pick[a : a + batch]
                 y = labels[rows[w]].astype(np.float32)
                 mask = np.arange(WIDTH)[:, None] < size[w]
-                used, index = np.unique(code[where[:, w]], return_inverse=True)
+                used, index = np.unique(code[where(w)], return_inverse=True)
                 index = index.reshape(WIDTH, -1)
                 own = subset(parts, used)
                 x = net.inputs(own)
@@ -348,7 +356,7 @@ def _rank(net, parts, code, where, size):
     x = net.inputs(parts)
     out = np.empty(len(size))
     for a in range(0, len(size), BLOCK):
-        out[a : a + BLOCK] = net.forward(x, code[where[:, a : a + BLOCK]], np.arange(WIDTH)[:, None] < size[a : a + BLOCK])
+        out[a : a + BLOCK] = net.forward(x, code[where(slice(a, a + BLOCK))], np.arange(WIDTH)[:, None] < size[a : a + BLOCK])
     return out
 
 
