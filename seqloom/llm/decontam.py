@@ -6,10 +6,9 @@ are joined, and around each hit the item is laid over the document on the hit's
 passage if, in some window of ``WINDOW`` aligned words (of the whole item, if that is shorter), at least ``SHARE`` of the
 words are equal. So words that were replaced don't hide a passage, wherever the masks' ignored positions meet them.
 
-Words are compared by a 64-bit hash. A document's words never leave its row: only hits do, with the stretch of word hashes
-that the item covers, and of a run of hits on one diagonal only the first one of each mask.
-
-The benchmark's seeds are broadcast if their counted size is within ``BROADCAST_BYTES``, else the join is dealt by hash.
+Words are compared by a 64-bit hash. The first pass only makes (document, item, diagonal) rows, the second lays items over
+the documents that have some. The benchmark's seeds, and then the places found, are broadcast if their counted size is within
+``BROADCAST_BYTES``; else those joins are dealt by hash.
 
 Null and empty texts contain nothing. Items with fewer words than the shortest mask can't be found. Repeated rows of a
 document are one result; a null doc_id is a document of its own. An empty table gives an empty result.
@@ -20,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import table, written
 
 #: Of pairs of masks with weight 6, these find 99.8 % of windows of 20 words with 4 random replacements.
 MASKS = ("111100101", "10111011")
@@ -31,27 +30,27 @@ BROADCAST_BYTES = 64 << 20
 _SPLIT = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
-def _words(column: str) -> str:
-    return f"transform(split(lower({column}), '{_SPLIT}'), w -> xxhash64(w))"
-
-
-def _seed(mask: str, words: str, at: str) -> str:
-    """The seed at a position (from 0); null if the mask would pass the end."""
-    kept = ", ".join(f"{words}[{at} + {i}]" for i, c in enumerate(mask) if c == "1")
-    return f"CASE WHEN {at} + {len(mask)} <= size({words}) THEN xxhash64({len(mask)}, {kept}) END"
+def _seeds(words: str) -> str:
+    """The seeds of all places, one mask after the other; the mask's length keeps the masks apart."""
+    parts = []
+    for mask in MASKS:
+        kept = ", ".join(f"{words}[p + {i}]" for i, c in enumerate(mask) if c == "1")
+        parts.append(f"CASE WHEN size({words}) >= {len(mask)} THEN transform(sequence(0, size({words}) - {len(mask)}), p -> xxhash64({len(mask)}, {kept})) ELSE array() END")
+    return f"concat({', '.join(parts)})"
 
 
-def _same(mask: str) -> str:
-    """Whether the mask's words one place before a hit are equal too."""
-    return " AND ".join(f"words[p - 1 + {i}] = item[q - 1 + {i}]" for i, c in enumerate(mask) if c == "1")
+def _exploded(rows: DataFrame, key: str, words: str, at: str) -> DataFrame:
+    """(key, at, h) of every seed."""
+    rows = rows.select(key, F.size(words).alias("n"), F.posexplode(F.expr(_seeds(words))).alias("i", "h"))
+    start, place = "0", "i"
+    for before, mask in zip(MASKS, MASKS[1:], strict=False):
+        start = f"{start} + greatest(n - {len(before) - 1}, 0)"
+        place = f"CASE WHEN i >= {start} THEN i - ({start}) ELSE {place} END"
+    return rows.select(key, F.expr(place).alias(at), "h")
 
 
-def _seeds(rows: DataFrame, words: str, at: str, *keep: str) -> DataFrame:
-    """One row for each mask and position: the mask's number m, the position and the seed h."""
-    least = min(map(len, MASKS))
-    rows = rows.select(*keep, words, F.explode(F.expr(f"CASE WHEN size({words}) >= {least} THEN sequence(0, size({words}) - {least}) END")).alias(at))
-    hashes = ", ".join(f"struct({m} AS m, {_seed(mask, words, at)} AS h)" for m, mask in enumerate(MASKS))
-    return rows.select(*keep, words, at, F.explode(F.expr(f"array({hashes})")).alias("s")).select(*keep, words, at, "s.m", "s.h").where("h IS NOT NULL")
+def _small(df: DataFrame, rows: int, width: int) -> DataFrame:
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
 def passages(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -59,22 +58,23 @@ def passages(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     n_places: diagonals on which it does; n_equal of n_window words are equal in the best window.
     """
-    items = benchmark.select("item_id", F.expr(f"transform(filter(split(lower(text), '{_SPLIT}'), w -> w <> ''), w -> xxhash64(w))").alias("item")).where(F.size("item") > 0).distinct()
-    seeds = _seeds(items, "item", "q", "item_id").select("h", "m", "q", "item_id", "item")
-    rows, words = seeds.agg(F.count("*"), F.sum(F.size("item"))).first()
-    if rows * 64 + (words or 0) * 8 <= BROADCAST_BYTES:
-        seeds = F.broadcast(seeds)
-    found = _seeds(documents.select("doc_id", F.expr(_words("coalesce(text, '')")).alias("words")), "words", "p", "doc_id").join(seeds, ["h", "m"])
-    again = " ".join(f"WHEN m = {m} THEN {_same(mask)}" for m, mask in enumerate(MASKS))
-    found = found.where(f"NOT coalesce(CASE WHEN p = 0 OR q = 0 THEN false {again} END, false)")
-    laid = "transform(item, (w, i) -> CASE WHEN p - q + i >= 0 AND p - q + i < size(words) AND words[p - q + i] = w THEN 1 ELSE 0 END)"
-    placed = found.select("doc_id", "item_id", F.expr("p - q").alias("diagonal"), F.expr(laid).alias("equal"))
+    items = written(benchmark.select("item_id", F.expr(f"transform(filter(split(lower(text), '{_SPLIT}'), w -> w <> ''), w -> xxhash64(w))").alias("item")).where(F.size("item") > 0).distinct(), "items")
+    n_items, n_words = items.agg(F.count("*"), F.coalesce(F.sum(F.size("item")), F.lit(0))).first()
+    seeds = _small(_exploded(items, "item_id", "item", "q"), n_words * len(MASKS), 64)
+    words = F.expr(f"transform(split(lower(coalesce(text, '')), '{_SPLIT}'), w -> xxhash64(w))")
+    met = _exploded(documents.select("doc_id", words.alias("words")), "doc_id", "words", "p").join(seeds, "h")
+    places = written(met.select("doc_id", "item_id", F.expr("p - q").alias("diagonal")).distinct(), "places")
+
+    found = _small(places.withColumnRenamed("doc_id", "id"), places.count(), 64)
+    rows = documents.select("doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
+    rows = rows.withColumn("words", words).drop("text").join(_small(items, n_items * 16 + n_words * 8, 1), "item_id")
+    laid = "transform(item, (w, i) -> CASE WHEN diagonal + i >= 0 AND diagonal + i < size(words) AND words[diagonal + i] = w THEN 1 ELSE 0 END)"
     window = f"least({WINDOW}, size(equal))"
     best = f"array_max(transform(sequence(0, size(equal) - {window}), i -> aggregate(slice(equal, i + 1, {window}), 0, (a, x) -> a + x)))"
-    judged = placed.select("doc_id", "item_id", "diagonal", F.expr(f"size(equal)").alias("item_words"), F.expr(window).alias("n_window"), F.expr(best).alias("n_equal"))
+    judged = rows.select("doc_id", "item_id", "diagonal", F.expr(laid).alias("equal")).select("doc_id", "item_id", "diagonal", F.size("equal").alias("item_words"), F.expr(window).alias("n_window"), F.expr(best).alias("n_equal"))
     judged = judged.where(F.col("n_equal") >= F.ceil(F.lit(SHARE) * F.col("n_window")))
-    places = judged.groupBy("doc_id", "item_id", "diagonal").agg(F.max("n_equal").alias("n_equal"), F.max("n_window").alias("n_window"), F.max("item_words").alias("item_words"))
-    return places.groupBy("doc_id", "item_id").agg(
+    diagonals = judged.groupBy("doc_id", "item_id", "diagonal").agg(F.max("n_equal").alias("n_equal"), F.max("n_window").alias("n_window"), F.max("item_words").alias("item_words"))
+    return diagonals.groupBy("doc_id", "item_id").agg(
         F.count("*").alias("n_places"), F.max("n_equal").cast("long").alias("n_equal"), F.max("n_window").cast("long").alias("n_window"), F.max("item_words").cast("long").alias("item_words")
     )
 
