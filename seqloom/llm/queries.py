@@ -5,13 +5,17 @@ from __future__ import annotations
 from . import decontam
 from .decontam import op8_decontaminate
 from .langid import op9_language
+from .pii import op1_pii
+from .piece import op7_sentencepiece
 from .quality import op4_quality
 from .simhash import op10_simhash
 from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_decontaminate": op8_decontaminate,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
