@@ -289,17 +289,41 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids array<int>) of every row; the model file is read by each worker at ``path``."""
+def _encoded(own: Codec, texts: pa.Array):
+    """Of a column of texts: ids, decimal names and decoded bytes, flat, with offsets, for each chunk."""
+    for _, _, data, offsets in ft.chunks(texts):
+        ids, limit = own.encode(data, offsets)
+        yield ids, limit, own.names(ids, limit), own.decode(ids, limit)
+
+
+def _hashes(body: np.ndarray, limit: np.ndarray, less: int = 0) -> list[str]:
+    raw = memoryview(body.tobytes())
+    return [hashlib.sha256(raw[a : b - less]).hexdigest() for a, b in zip(limit[:-1].tolist(), limit[1:].tolist(), strict=True)]
+
+
+def encode(documents: DataFrame, path: str | None = None, *keep: str) -> DataFrame:
+    """(doc_id, other columns to keep, ids, n_tokens, decoded_sha256): texts as ids, and the hash of what they decode to.
+
+    The model file is read by each worker at ``path``.
+    """
     path = path or default_model()
+    names = ["doc_id", *keep]
+    schema = documents.select(*names).schema
 
     def encoded(batches):
         own = codec(path)
         for batch in batches:
-            made = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(ids.astype(np.int32))) for _, _, data, offsets in ft.chunks(ft.filled(batch.column("text"))) for ids, o in (own.encode(data, offsets),)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            made, back, count = [], [], []
+            for ids, limit, _, decoded in _encoded(own, ft.filled(batch.column("text"))):
+                made.append(pa.ListArray.from_arrays(pa.array(limit.astype(np.int32)), pa.array(ids.astype(np.int32))))
+                back += _hashes(*decoded)
+                count.append(np.diff(limit))
+            ids = pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.int32()))
+            n = np.concatenate(count) if count else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), ids, pa.array(n, pa.int64()), pa.array(back, pa.string())], [*names, "ids", "n_tokens", "decoded_sha256"])
 
-    return documents.select("doc_id", "text").mapInArrow(encoded, "doc_id long, ids array<int>")
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    return documents.select(*names, "text").mapInArrow(encoded, f"{kept}, ids array<int>, n_tokens long, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -310,7 +334,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         own = codec(path)
         for batch in batches:
             column = batch.column("ids")
-            size = np.array([0 if x is None else x for x in column.value_lengths().to_pylist()], dtype=np.int64)
+            size = np.array([x or 0 for x in column.value_lengths().to_pylist()], dtype=np.int64)
             body, limit = own.decode(column.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(size)]))
             raw = body.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(limit[:-1].tolist(), limit[1:].tolist(), strict=True)], pa.string())], ["doc_id", "text"])
@@ -324,17 +348,11 @@ def digests(documents: DataFrame, path: str | None = None) -> DataFrame:
 
     def hashed(batches):
         own = codec(path)
-        sha = lambda raw, a, b: hashlib.sha256(raw[a:b]).hexdigest()
         for batch in batches:
             count, named, back = [], [], []
-            for _, _, data, offsets in ft.chunks(ft.filled(batch.column("text"))):
-                ids, limit = own.encode(data, offsets)
-                names, at = own.names(ids, limit)
-                names = memoryview(names.tobytes())
-                named += [sha(names, a, b - 1) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                body, at = own.decode(ids, limit)
-                body = memoryview(body.tobytes())
-                back += [sha(body, a, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            for _, limit, names, decoded in _encoded(own, ft.filled(batch.column("text"))):
+                named += _hashes(*names, less=1)
+                back += _hashes(*decoded)
                 count.append(np.diff(limit))
             n = np.concatenate(count) if count else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(named, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

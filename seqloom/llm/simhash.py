@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import flattext as ft
 from .components import components
-from .tables import table, written
+from .tables import fitting, table, written
 
 SHINGLE = 3
 SEED = 42
@@ -114,7 +114,11 @@ def links(classes: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, fp, component, component_id) of every row: its fingerprint, the group's smallest fingerprint and doc_id."""
-    prints = written(fingerprints(documents), "fingerprints")
+    return grouped(written(fingerprints(documents), "fingerprints"))
+
+
+def grouped(prints: DataFrame) -> DataFrame:
+    """The same of a table of (doc_id, fp), which is read several times."""
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     joined = components(links(classes.select("fp")))
     named = classes.join(joined.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
@@ -123,6 +127,38 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return prints.join(named.select("fp", "component").join(ids, "component"), "fp").select("doc_id", "fp", "component", "component_id")
 
 
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """One row of ``documents`` for each group of near duplicates: the one with the group's smallest doc_id.
+
+    Of rows with equal ids, and of a group without any id, one row stays. The ids to go are broadcast if their counted size
+    allows it, so texts aren't shuffled then.
+    """
+    prints = written(fingerprints(documents), "fingerprints")
+    found = written(grouped(prints), "groups")
+    gone = written(found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct(), "gone")
+    rows = documents.where(F.col("doc_id").isNotNull()).join(fitting(gone), "doc_id", "left_anti")
+    if prints.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["doc_id"])
+    if not prints.where(F.col("doc_id").isNull()).limit(1).count():
+        return rows.select(documents.columns)
+    nameless = documents.where(F.col("doc_id").isNull()).mapInArrow(_with_print(documents.columns), _schema_with_print(documents))
+    lone = found.where(F.col("component_id").isNull()).select(F.col("fp").alias("_fp"), F.col("component").alias("_group")).distinct()
+    return rows.select(documents.columns).union(nameless.join(lone, "_fp").dropDuplicates(["_group"]).select(documents.columns))
+
+
+def _schema_with_print(documents: DataFrame):
+    return documents.select("*", F.lit(0).cast("long").alias("_fp")).schema
+
+
+def _with_print(names: list[str]):
+    def made(batches):
+        for batch in batches:
+            found = [fingerprint(t.encode()) for t in ft.filled(batch.column("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, pa.int64())], [*names, "_fp"])
+
+    return made
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -34,6 +34,18 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes that may be broadcast; larger sides are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+
+
+def fitting(df: DataFrame, width: int = 16) -> DataFrame:
+    """df with a broadcast hint if its rows, counted now, take no more than ``BROADCAST_BYTES`` at ``width`` bytes each.
+
+    Larger sides are hashed, so that the other side's long rows aren't sorted.
+    """
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df.hint("shuffle_hash")
+
+
 def remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string")) % F.lit(modulus)
