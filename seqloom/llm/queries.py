@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import decontam, license_scan
 from .decontam import op8_decontaminate
 from .langid import op9_language
+from .lattice import op3_lattice
+from .license_scan import op6_licenses
 from .pii import op1_pii
 from .piece import op7_sentencepiece
 from .quality import op4_quality
+from .rollup import op2_token_counts
 from .simhash import op10_simhash
 from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_token_counts": op2_token_counts,
+    "op3_lattice": op3_lattice,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
+    "op6_licenses": op6_licenses,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_decontaminate": op8_decontaminate,
     "op9_language": op9_language,
@@ -22,5 +28,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op6_licenses": license_scan.sql_of(),
     "op8_decontaminate": decontam.sql_of(),
 }
