@@ -100,7 +100,8 @@ def links(classes: DataFrame) -> DataFrame:
 
     classes: distinct values in column fp.
     """
-    index = signatures(classes)
+    # each row becomes 66, so the rows are dealt to as many tasks as a shuffle has, however few bytes they are
+    index = signatures(classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
     keys = index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.min("bit").alias("lo"), F.max("bit").alias("hi"))
     # a wildcard key whose rows agree on the wildcard bit adds nothing to the whole segment's key
     keys = written(keys.where((F.col("n") >= 2) & (F.col("lo").isNull() | (F.col("lo") < F.col("hi")))), "keys")

@@ -9,7 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch, unless the session says otherwise than Spark's 10,000: a batch holds whole texts.
+BATCH_ROWS = 500
+_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Arrow batches get fewer rows, so that a worker's memory is bounded by a few texts."""
+    if spark.conf.get(_SETTING) == "10000":
+        spark.conf.set(_SETTING, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

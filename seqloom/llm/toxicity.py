@@ -25,13 +25,15 @@ from . import flattext as ft
 from .tables import label_sample, remainder, table
 
 #: Labelled rows that the network is fitted on, at most; they are taken in the order of a hash of the id.
-FIT_ROWS = 6000
+FIT_ROWS = 4000
 WIDTH, STRIDE = 32, 16
 WORD_BITS, CHAR_BITS, STEM_BITS = 18, 12, 18
 WORD_DIM, CHAR_DIM, STEM_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8, 8
 STEMS = range(4, 11)
 INPUT = WORD_DIM + CHAR_DIM + STEM_DIM
-BLOCK = 8192
+BLOCK = 4096
+#: Words whose input is computed at a time.
+SLICE = 1 << 15
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,11 +118,16 @@ class Network:
     def inputs(self, parts):
         """Vectors of words, a column each."""
         at, *lists = parts
-        means = []
-        for weight, (bucket, first) in zip((self.chars, self.stems), lists, strict=True):
-            many = np.diff(np.append(first, len(bucket)))[:, None].astype(np.float32)
-            means.append(np.add.reduceat(weight[bucket], first, axis=0) / many)
-        return np.ascontiguousarray(np.concatenate([self.words[at], *means], axis=1).T)
+        out = np.empty((INPUT, len(at)), dtype=np.float32)
+        for a in range(0, len(at), SLICE):
+            b, start = min(a + SLICE, len(at)), WORD_DIM
+            out[:WORD_DIM, a:b] = self.words[at[a:b]].T
+            for weight, (bucket, first) in zip((self.chars, self.stems), lists, strict=True):
+                cut = np.append(first[a:b], first[b] if b < len(at) else len(bucket))
+                means = np.add.reduceat(weight[bucket[cut[0] : cut[-1]]], cut[:-1] - cut[0], axis=0) / np.diff(cut)[:, None].astype(np.float32)
+                out[start : start + means.shape[1], a:b] = means.T
+                start += means.shape[1]
+        return out
 
     def _direction(self, d, gates, index, order, keep, mask):
         """Hidden states [step][HIDDEN, windows] in the order of the text."""

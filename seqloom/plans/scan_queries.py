@@ -27,9 +27,9 @@ def motif_rows() -> str:
 
 SCORED = (
     motif_rows(),
-    "bases AS (SELECT seq_id, length(seq) AS len, unnest(string_split(seq, '')) AS base, unnest(range(0, length(seq))) AS at FROM seqs)",
-    """scored AS (SELECT seq_id, motif, width, pos, greatest(a, b) AS score, b > a AS reverse FROM (SELECT seq_id, motif, width, at - col AS pos, round(sum(f), 9) AS a, round(sum(r), 9) AS b
-FROM bases JOIN motifs USING (base) WHERE at >= col AND at - col + width <= len GROUP BY seq_id, motif, width, at - col))""",
+    "bases AS (SELECT seq_id, length(seq) AS len, unnest(string_split(seq, '')) AS base, unnest(range(0, length(seq))) AS place FROM seqs)",
+    """scored AS (SELECT seq_id, motif, width, pos, greatest(a, b) AS score, b > a AS reverse FROM (SELECT seq_id, motif, width, place - col AS pos, round(sum(f), 9) AS a, round(sum(r), 9) AS b
+FROM bases JOIN motifs USING (base) WHERE place >= col AND place - col + width <= len GROUP BY seq_id, motif, width, place - col))""",
 )
 HITS = (*SCORED, f"hits AS (SELECT s.*, length(q.seq) AS seq_len, q.weight FROM scored s JOIN seqs q USING (seq_id) WHERE score >= {THRESHOLD})")
 BEST = (*SCORED, "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq_id, motif ORDER BY score DESC, pos, reverse) AS k FROM scored) WHERE k = 1)")
