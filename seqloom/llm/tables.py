@@ -42,6 +42,13 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 #: Bytes that may be broadcast; larger sides are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 

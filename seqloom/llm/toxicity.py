@@ -14,6 +14,8 @@ With no usable label, or labels of one kind only, every score is that share of t
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -52,7 +54,7 @@ def trigrams(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     code = padded[:-2] << np.uint32(16) | padded[1:-1] << np.uint32(8) | padded[2:]
     code = code[ft.spread(first, size)] * np.uint32(0x9E3779B1)
     code = (code ^ (code >> np.uint32(15))) * np.uint32(0x85EBCA77)
-    return (code >> np.uint32(32 - CHAR_BITS)).astype(np.int64), np.concatenate([[0], np.cumsum(size)])[:-1]
+    return (code >> np.uint32(32 - CHAR_BITS)).astype(np.int32), np.concatenate([[0], np.cumsum(size)])[:-1]
 
 
 def stems(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +65,7 @@ def stems(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     word = np.repeat(np.arange(len(starts)), many)
     length = np.minimum(ft.spread(np.full(len(starts), STEMS[0]), many), size[word])
     length[first[size >= STEMS[0]]] = STEMS[0]
-    return (ft.Hashes(low)(starts[word], starts[word] + length) >> np.uint64(64 - STEM_BITS)).astype(np.int64), first
+    return (ft.Hashes(low)(starts[word], starts[word] + length) >> np.uint64(64 - STEM_BITS)).astype(np.int32), first
 
 
 def parts_of(hashes, low, starts, ends):
@@ -305,6 +307,7 @@ def fit(texts: pa.Array, labels: np.ndarray, *, rounds: tuple[int, ...] = (6, 3)
     at, (roots, root) = parts[0], parts[2]
     many = np.diff(np.append(root, len(roots)))
     known, group = np.unique(roots, return_inverse=True)
+    group = group.astype(np.int32)
     word_odds, stem_odds = _log_odds(code, cut, labels, held, len(distinct), root, many, group, len(known))
     net.words[at, 0] = word_odds / 2  # a word's vector starts with its own log-odds, and a stem's with the stem's
     net.stems[known, 0] = stem_odds / 2
@@ -359,14 +362,22 @@ def fit(texts: pa.Array, labels: np.ndarray, *, rounds: tuple[int, ...] = (6, 3)
 
 
 def _rank(net, parts, code, where, size):
-    """Logits of all training windows."""
-    x = net.inputs(parts)
+    """Logits of all training windows; the words of a block of windows are looked up for that block alone."""
     out = np.empty(len(size))
     for a in range(0, len(size), BLOCK):
-        out[a : a + BLOCK] = net.forward(x, code[where(slice(a, a + BLOCK))], np.arange(WIDTH)[:, None] < size[a : a + BLOCK])
+        part = slice(a, a + BLOCK)
+        used, index = np.unique(code[where(part)], return_inverse=True)
+        out[part] = net.forward(net.inputs(subset(parts, used)), index.reshape(WIDTH, -1), np.arange(WIDTH)[:, None] < size[part])
     return out
 
 
+def _release() -> None:
+    """Gives freed memory back to the system, lest a long-lived driver keeps what a fit took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic regression of y on z, by Newton steps with a small penalty."""
     x, w = np.stack([z, np.ones_like(z)], axis=1), np.array([1.0, 0.0])
@@ -385,7 +396,10 @@ def train(documents: DataFrame, labels: DataFrame, *, bound: int = FIT_ROWS) ->
     """Fits on at most ``bound`` labelled rows, which go to the driver; their ids are broadcast to find their texts."""
     chosen = label_sample(labels, "toxic", 4, 2, bound)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toArrow().sort_by("doc_id")
-    return fit(ft.filled(rows["text"]), rows["label"].to_numpy())
+    net = fit(ft.filled(rows["text"]), rows["label"].to_numpy())
+    del rows
+    _release()
+    return net
 
 
 def score(documents: DataFrame, net: Network) -> DataFrame:
