@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import BROADCAST_BYTES, fitting, table, written
+from .tables import BROADCAST_BYTES, fitting, free_name, table, written
 
 #: Of pairs of masks with weight 6, these find 99.8 % of windows of 20 words with 4 random replacements.
 MASKS = ("111100101", "10111011")
@@ -81,8 +81,9 @@ def passages(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_passages(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents`` that hold no passage of the benchmark, all columns unchanged."""
     key = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("hash"))
-    found = written(passages(documents.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
-    return documents.join(fitting(found, 48), F.col("_key").eqNullSafe(key), "left_anti")
+    own = free_name(documents, "found_in")
+    found = written(passages(documents.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(own)).distinct(), "contaminated")
+    return documents.join(fitting(found, 48), F.col(own).eqNullSafe(key), "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
