@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import flattext as ft
 from .components import components
-from .tables import fitting, table, written
+from .tables import fitting, free_name, table, written
 
 SHINGLE = 3
 SEED = 42
@@ -96,12 +96,12 @@ def _dense(rows: DataFrame) -> DataFrame:
 
 
 def links(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that connect just those within 2 bits of each other, through others maybe.
+    """Edges (a, b) whose components are those of all links, pairs within 2 bits; an edge may stand for a way over several links.
 
     classes: distinct values in column fp.
     """
     # each row becomes 66, so the rows are dealt to as many tasks as a shuffle has, however few bytes they are
-    index = signatures(classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
+    index = signatures(classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp")))
     keys = index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.min("bit").alias("lo"), F.max("bit").alias("hi"))
     # a wildcard key whose rows agree on the wildcard bit adds nothing to the whole segment's key
     keys = written(keys.where((F.col("n") >= 2) & (F.col("lo").isNull() | (F.col("lo") < F.col("hi")))), "keys")
@@ -142,20 +142,18 @@ def one_of_each(documents: DataFrame) -> DataFrame:
         rows = rows.dropDuplicates(["doc_id"])
     if not prints.where(F.col("doc_id").isNull()).limit(1).count():
         return rows.select(documents.columns)
-    nameless = documents.where(F.col("doc_id").isNull()).mapInArrow(_with_print(documents.columns), _schema_with_print(documents))
-    lone = found.where(F.col("component_id").isNull()).select(F.col("fp").alias("_fp"), F.col("component").alias("_group")).distinct()
-    return rows.select(documents.columns).union(nameless.join(lone, "_fp").dropDuplicates(["_group"]).select(documents.columns))
+    fp, group = free_name(documents, "own_fp"), free_name(documents, "own_group")
+    schema = documents.select("*", F.lit(0).cast("long").alias(fp)).schema
+    nameless = documents.where(F.col("doc_id").isNull()).mapInArrow(_with_print(documents.columns, fp), schema)
+    lone = found.where(F.col("component_id").isNull()).select(F.col("fp").alias(fp), F.col("component").alias(group)).distinct()
+    return rows.select(documents.columns).union(nameless.join(lone, fp).dropDuplicates([group]).select(documents.columns))
 
 
-def _schema_with_print(documents: DataFrame):
-    return documents.select("*", F.lit(0).cast("long").alias("_fp")).schema
-
-
-def _with_print(names: list[str]):
+def _with_print(names: list[str], fp: str):
     def made(batches):
         for batch in batches:
             found = [fingerprint(t.encode()) for t in ft.filled(batch.column("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, pa.int64())], [*names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, pa.int64())], [*names, fp])
 
     return made
 
