@@ -274,7 +274,7 @@ def _log_odds(code, cut, labels, held, n, root, many, group, n_stems):
     return out
 
 
-def fit(texts: pa.Array, labels: np.ndarray, *, rounds: tuple[int, ...] = (6, 3), batch: int = 128, seed: int = 11) -> Network:
+def fit(texts: pa.Array, labels: np.ndarray, *, rounds: tuple[int, ...] = (6, 3, 3), batch: int = 128, seed: int = 11) -> Network:
     """Fits on labelled texts. rounds: passes over the chosen windows, before each of which the windows are chosen anew."""
     n, positive = len(labels), int(np.sum(labels))
     if not n or positive in (0, n):
@@ -327,10 +327,11 @@ def fit(texts: pa.Array, labels: np.ndarray, *, rounds: tuple[int, ...] = (6, 3)
         top = _chosen(rank, rows, n)
         clean = _chosen(rng.random(len(rank)), rows, n)
         pick = np.concatenate([top[(top >= 0) & ~held], clean[(clean >= 0) & ~held & (labels == 0)]])
+        size_of = min(batch, max(8, len(pick) // 32))
         for _ in range(epochs):
             rng.shuffle(pick)
-            for a in range(0, len(pick), batch):
-                w = pick[a : a + batch]
+            for a in range(0, len(pick), size_of):
+                w = pick[a : a + size_of]
                 y = labels[rows[w]].astype(np.float32)
                 mask = np.arange(WIDTH)[:, None] < size[w]
                 used, index = np.unique(code[where(w)], return_inverse=True)
