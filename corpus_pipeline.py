@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm import decontam, pii, piece, simhash, toxicity
-from seqloom.llm.tables import table, written
+from seqloom.llm.tables import small_batches, table, written
 
 #: Documents with this calibrated probability of being toxic, or a larger one, are rejected.
 TOXIC = 0.3
@@ -23,6 +23,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash.one_of_each(docs)
 
 
@@ -31,10 +32,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pii.redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return piece.encode(docs, None, "lang", "source")
 
 

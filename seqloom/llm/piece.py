@@ -163,7 +163,9 @@ class Codec:
                 early[inside] = self._ranked(made[at[inside]], symbols[right[inside]])[1] <= least[word[inside]]
                 inside = np.flatnonzero((at > 0) & (number[at - 1] == word))
                 before = at[inside] - 1
-                left = np.where(np.isin(before, at + 1), before - 1, before)
+                taken = np.zeros(len(symbols) + 1, dtype=bool)
+                taken[at + 1] = True
+                left = np.where(taken[before], before - 1, before)
                 early[inside] |= self._ranked(after[left], made[at[inside]])[1] <= least[word[inside]]
                 unsafe = np.bincount(word[early], minlength=len(lead)) > 0
                 at = at[first | ~unsafe[word]]
@@ -174,10 +176,11 @@ class Codec:
             at = place[at]
             symbols, words, made, rank = symbols[keep], words[keep], made[keep], rank[keep]
             made[at], rank[at] = -1, _NONE
-            changed = np.unique(np.concatenate([at, at[at > 0] - 1]))
-            changed = changed[changed + 1 < len(words)]
-            same = words[changed] == words[changed + 1]
-            pair = changed[same]
+            touched = np.zeros(len(words), dtype=bool)
+            touched[at] = True
+            touched[at[at > 0] - 1] = True
+            pair = np.flatnonzero(touched[:-1])
+            pair = pair[words[pair] == words[pair + 1]]
             made[pair], rank[pair] = self._ranked(symbols[pair], symbols[pair + 1])
         if not done_symbols:
             return symbols, words

@@ -14,10 +14,14 @@ BATCH_ROWS = 500
 _SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. Arrow batches get fewer rows, so that a worker's memory is bounded by a few texts."""
+def small_batches(spark: SparkSession) -> None:
+    """Gives Arrow batches fewer rows, so that a worker's memory is bounded by a few texts."""
     if spark.conf.get(_SETTING) == "10000":
         spark.conf.set(_SETTING, str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
