@@ -6,14 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from . import kmers
 
 
 def prefix_counts(sequences: DataFrame, order: int, weight=None) -> DataFrame:
-    """(prefix, n): weighted counts of all strings of 1 to order + 1 letters on both strands."""
-    w = F.lit(1.0) if weight is None else F.col(weight)
-    strands = F.array(F.col("seq"), dna.reverse_complement("seq"))
-    found = F.flatten(F.transform(strands, lambda s: F.flatten(F.array(*(dna.windows(s, k) for k in range(1, order + 2))))))
-    return sequences.select(F.explode(found).alias("prefix"), w.alias("w")).groupBy("prefix").agg(F.sum("w").alias("n"))
+    """(prefix, n): weighted counts of all strings of 1 to order + 1 letters on both strands.
+
+    Only the longest strings are exploded, once and on one strand. Shorter ones are their beginnings, and those in the last
+    ``order`` letters of a sequence; the other strand's counts are those of the reverse complements.
+    """
+    k = order + 1
+    rows = sequences.select(F.lit(0).alias("seq_id"), "seq", (F.lit(1.0) if weight is None else F.col(weight)).alias("w"))
+    longest = kmers.explode(rows, k, "w").groupBy(F.col("kmer").alias("prefix")).agg(F.sum("w").alias("n"))
+    parts = longest
+    if order:
+        own = F.transform(F.sequence(F.lit(1), F.lit(order)), lambda i: F.substring(F.col("prefix"), F.lit(1), i))
+        parts = parts.union(longest.select(F.explode(own).alias("prefix"), "n"))
+        tail = F.right(F.col("seq"), F.lit(order))
+        found = F.flatten(F.array(*(dna.windows(tail, i) for i in range(1, k))))
+        parts = parts.union(rows.select(F.explode(found).alias("prefix"), F.col("w").alias("n")))
+    counts = parts.groupBy("prefix").agg(F.sum("n").alias("n"))
+    return counts.union(counts.select(dna.reverse_complement("prefix").alias("prefix"), "n")).groupBy("prefix").agg(F.sum("n").alias("n"))
 
 
 def fit(sequences: DataFrame, order: int, weight=None) -> DataFrame:
@@ -32,19 +45,18 @@ def fit(sequences: DataFrame, order: int, weight=None) -> DataFrame:
 def log_probability(sequences: DataFrame, model: DataFrame, order: int) -> DataFrame:
     """(seq_id, logp) of whole sequences under a model, which is broadcast: 4 ** (order + 1) rows for each length."""
     logs = model.select("prefix", F.log("p").alias("logp"))
-    return (
-        sequences.select("seq_id", "seq", F.explode(F.sequence(F.lit(1), F.length("seq"))).alias("i"))
-        .select("seq_id", F.substring(F.col("seq"), F.greatest(F.col("i") - order, F.lit(1)), F.least(F.col("i"), F.lit(order + 1))).alias("prefix"))
-        .join(F.broadcast(logs), "prefix")
-        .groupBy("seq_id")
-        .agg(F.sum("logp").alias("logp"))
-    )
+    rows = sequences.select("seq_id", F.col("seq").cast("binary").alias("b"))
+    rows = rows.select("seq_id", "b", F.explode(F.when(F.length("b") > 0, F.sequence(F.lit(1), F.length("b")))).alias("i"))
+    prefix = F.substring(F.col("b"), F.greatest(F.col("i") - order, F.lit(1)), F.least(F.col("i"), F.lit(order + 1))).cast("string")
+    return rows.select("seq_id", prefix.alias("prefix")).join(F.broadcast(logs), "prefix").groupBy("seq_id").agg(F.sum("logp").alias("logp"))
 
 
 def flanks(sequences: DataFrame, k: int, width: int) -> DataFrame:
     """(kmer, col, base, n): bases around each k-mer, merged with its reverse complement; col is the offset from its start."""
-    rows = sequences.where(F.length("seq") >= k).select("seq", F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos"))
-    rows = rows.select(F.substring(F.col("seq"), F.col("pos") + 1, F.lit(k)).alias("kmer"), dna.site("seq", F.col("pos") - width, k + 2 * width).alias("around"))
+    padded = sequences.select(F.concat(F.lit("N" * width), "seq", F.lit("N" * width)).cast("binary").alias("b"))
+    rows = padded.where(F.length("b") >= k + 2 * width).select("b", F.explode(F.sequence(F.lit(1), F.length("b") - k - 2 * width + 1)).alias("pos"))
+    around = F.substring(F.col("b"), F.col("pos"), F.lit(k + 2 * width)).cast("string")
+    rows = rows.select(F.substring(around, width + 1, k).alias("kmer"), around.alias("around"))
     back = rows.select(dna.reverse_complement("kmer").alias("kmer"), dna.reverse_complement("around").alias("around"))
     cells = rows.union(back).select("kmer", F.posexplode(F.split("around", "")).alias("i", "base")).where(F.col("base").isin(*dna.BASES))
     return cells.groupBy("kmer", (F.col("i") - width).alias("col"), "base").agg(F.count("*").alias("n"))

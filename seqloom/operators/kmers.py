@@ -3,22 +3,33 @@ early and aggregate before they shuffle."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from .scan import numbered
+
+
+def _placed(sequences: DataFrame, k: int, keep, compat: bool) -> DataFrame:
+    """(seq_id, kept columns, pos, kmer): windows are cut from bytes, which finds a place at once, where a string is walked
+    through from its start. The letters are ASCII, so bytes and letters are the same."""
+    rows = sequences.select("seq_id", *keep, F.col("seq").cast("binary").alias("_b"))
+    last = F.length("_b") - k - (1 if compat else 0)
+    rows = rows.where(last >= 0).select("seq_id", *keep, "_b", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
+    return rows.select("seq_id", *keep, "pos", F.substring(F.col("_b"), F.col("pos") + 1, F.lit(k)).cast("string").alias("kmer"))
 
 
 def explode(sequences: DataFrame, k: int, *keep: str, compat: bool = False) -> DataFrame:
     """(seq_id, kept columns, pos, kmer) of every window; ``compat`` leaves out the last one of each sequence."""
-    last = F.length("seq") - k - (1 if compat else 0)
-    rows = sequences.where(last >= 0).select("seq_id", *keep, "seq", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
-    return rows.select("seq_id", *keep, "pos", F.substring("seq", F.col("pos") + 1, F.lit(k)).alias("kmer"))
+    return _placed(sequences, k, keep, compat)
 
 
 def kmers_only(sequences: DataFrame, k: int) -> DataFrame:
     """(kmer) of every window: what counting needs, without positions."""
-    return sequences.where(F.length("seq") >= k).select(F.explode(dna.windows("seq", k)).alias("kmer"))
+    rows = sequences if "seq_id" in sequences.columns else sequences.withColumn("seq_id", F.lit(0))
+    return _placed(rows, k, (), False).select("kmer")
 
 
 def count(sequences: DataFrame, k: int) -> DataFrame:
@@ -33,11 +44,44 @@ def entropy(sequences: DataFrame, k: int) -> DataFrame:
     return sums.select("seq_id", "n", (F.log2("n") - F.col("s") / F.col("n")).alias("bits"))
 
 
-def weighted_presence(sequences: DataFrame, k: int) -> DataFrame:
-    """(kmer, n_seqs, mean_weight): each sequence credits a k-mer and its reverse complement once."""
-    both = F.array_distinct(F.concat(dna.windows("seq", k), dna.windows(dna.reverse_complement("seq"), k)))
-    rows = sequences.select("weight", F.explode(both).alias("kmer"))
-    return rows.groupBy("kmer").agg(F.count("*").alias("n_seqs"), F.avg("weight").alias("mean_weight"))
+def weighted_presence(sequences: DataFrame, k: int, both_strands: bool = True) -> DataFrame:
+    """(kmer, n_seqs, mean_weight): each sequence credits a k-mer, and its reverse complement if ``both_strands``, once.
+
+    Each task adds up its own sequences in numpy and emits 4**k rows at most; k is at most 12. A null weight counts as 0.
+    """
+    size, schema = 4**k, "code long, n long, w double"
+
+    def counted(batches):
+        n, total = np.zeros(size, dtype=np.int64), np.zeros(size)
+        for batch in batches:
+            codes, offsets = numbered(batch.column("seq"))
+            weights = np.nan_to_num(batch.column("weight").to_numpy(zero_copy_only=False).astype(float))
+            low = 0
+            while low < len(weights):
+                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + (1 << 20), side="right")) - 1)
+                part, cut = codes[offsets[low] : offsets[high]].astype(np.int64), offsets[low : high + 1] - offsets[low]
+                if len(part) >= k:
+                    width = len(part) - k + 1
+                    forward, backward, bad = np.zeros(width, dtype=np.int64), np.zeros(width, dtype=np.int64), np.zeros(width, dtype=bool)
+                    for i in range(k):
+                        c = part[i : i + width]
+                        forward, backward = forward * 4 + c, backward + (3 - c) * 4**i
+                        bad |= c > 3
+                    row = np.searchsorted(cut, np.arange(width), side="right") - 1
+                    good = ~bad & (np.arange(width) + k <= cut[row + 1])
+                    key = row[good] * size + forward[good]
+                    if both_strands:
+                        key = np.concatenate([key, row[good] * size + backward[good]])
+                    key = np.unique(key)
+                    n += np.bincount(key % size, minlength=size)
+                    total += np.bincount(key % size, weights=weights[low:high][key // size], minlength=size)
+                low = high
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(total[at])], ["code", "n", "w"])
+
+    rows = sequences.select("seq", F.col("weight").cast("double").alias("weight")).mapInArrow(counted, schema)
+    sums = rows.groupBy("code").agg(F.sum("n").alias("n_seqs"), F.sum("w").alias("w"))
+    return sums.select(dna.from_code("code", k).alias("kmer"), "n_seqs", (F.col("w") / F.col("n_seqs")).alias("mean_weight"))
 
 
 def neighbourhood(counts: DataFrame, k: int) -> DataFrame:

@@ -412,8 +412,8 @@ def j02(spark, sf_dir):
 
 @query("j03_anchor_then_verify", over_seqs("SELECT k.seq_id, CAST(k.pos AS INTEGER) AS pos FROM kmers4 k JOIN seqs s ON k.seq_id = s.seq_id WHERE k.kmer = 'GATT' AND regexp_full_match(substr(s.seq, k.pos + 1, 10), 'GATT..[AT]A.T')", windows(4)))
 def j03(spark, sf_dir):
-    rows = kmers.explode(sequences(spark, sf_dir).withColumn("own", F.col("seq")), 4, "own").where("kmer = 'GATT'")
-    return rows.where(F.substring(F.col("own"), F.col("pos") + 1, F.lit(10)).rlike("^GATT..[AT]A.T$")).select("seq_id", "pos")
+    rows = kmers.explode(sequences(spark, sf_dir), 10)
+    return rows.where(F.col("kmer").startswith("GATT") & F.col("kmer").rlike("^GATT..[AT]A.T$")).select("seq_id", "pos")
 
 
 _ITEMS = "items AS (SELECT DISTINCT substr(seq, p + 1, 20) AS kmer FROM (SELECT seq, unnest(range(0, length(seq) - 19)) AS p FROM (SELECT regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM benchmark)))"

@@ -260,7 +260,7 @@ def f06(spark, sf_dir):
 
 @query("a29_coverage", over_seqs("SELECT kmer, count(DISTINCT seq_id) AS n_seqs FROM kmers6 GROUP BY kmer", windows(6)))
 def a29(spark, sf_dir):
-    return sequences(spark, sf_dir).select(F.explode(F.array_distinct(dna.windows("seq", 6))).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n_seqs"))
+    return kmers.weighted_presence(sequences(spark, sf_dir), 6, both_strands=False).select("kmer", "n_seqs")
 
 
 @query(

@@ -165,7 +165,6 @@ def gapped(text: str) -> Iterator[Motif]:
 #: Endings, or parts, of file names and their readers. The order decides names that fit several.
 FORMATS: list[tuple[str, Callable[[str], Iterator[Motif]]]] = [
     (".dpwm", gapped),
-    (".pomoda", transfac),
     (".pwm", transfac),
     (".dat", transfac),
     (".jaspar", jaspar),
