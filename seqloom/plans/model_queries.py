@@ -210,11 +210,15 @@ def a11(spark, sf_dir):
     return counts.select("motif", "col", "base", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("motif", "col")), 6).alias("w"))
 
 
-@query("a12_normalise", "SELECT vec_id, list_transform(v, lambda x: round(CASE WHEN s > 0 THEN (greatest(x, 0) + 1e-14) / s ELSE 1.0 / len(v) END, 6)) AS p FROM (SELECT vec_id, v, list_sum(list_transform(v, lambda x: greatest(x, 0))) AS s FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings))")
+@query(
+    "a12_normalise",
+    "SELECT vec_id, CAST(i AS INTEGER) AS i, round(CASE WHEN s > 0 THEN (greatest(v[i + 1], 0) + 1e-14) / s ELSE 1.0 / len(v) END, 6) AS p FROM (SELECT vec_id, v, list_sum(list_transform(v, lambda x: greatest(x, 0))) AS s, unnest(range(0, len(v))) AS i FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings))",
+)
 def a12(spark, sf_dir):
     v = F.transform("embedding", lambda x: x.cast("double"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v")).withColumn("s", F.aggregate("v", F.lit(0.0), lambda s, x: s + F.greatest(x, F.lit(0.0))))
-    return rows.select("vec_id", F.transform("v", lambda x: F.round(F.when(F.col("s") > 0, (F.greatest(x, F.lit(0.0)) + motifs.TINY) / F.col("s")).otherwise(1.0 / F.size("v")), 6)).alias("p"))
+    cells = rows.select("vec_id", "s", F.size("v").alias("n"), F.posexplode("v").alias("i", "x"))
+    return cells.select("vec_id", "i", F.round(F.when(F.col("s") > 0, (F.greatest("x", F.lit(0.0)) + motifs.TINY) / F.col("s")).otherwise(1.0 / F.col("n")), 6).alias("p"))
 
 
 @query("a13_prefix_sums", "SELECT event_id, round(sum(value) OVER (ORDER BY event_id) - value, 3) AS before FROM events")

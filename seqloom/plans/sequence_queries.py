@@ -123,10 +123,10 @@ def x12(spark, sf_dir):
     return sequences(spark, sf_dir).select("seq_id", F.md5(dna.overwritten("seq", middle, F.lit(6), "X")).alias("masked_md5"))
 
 
-@query("x13_trim_empties", "SELECT event_id, list_filter(string_split(event_type || '__' || user_id || '_', '_'), lambda x: x <> '') AS parts FROM events")
+@query("x13_trim_empties", "SELECT event_id, array_to_string(list_filter(string_split(event_type || '__' || user_id || '_', '_'), lambda x: x <> ''), '|') AS parts FROM events")
 def x13(spark, sf_dir):
     parts = F.split(F.concat_ws("", "event_type", F.lit("__"), "user_id", F.lit("_")), "_")
-    return table(spark, sf_dir, "events").select("event_id", F.filter(parts, lambda x: x != "").alias("parts"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.filter(parts, lambda x: x != ""), "|").alias("parts"))
 
 
 @query("x14_replace_and_join", over_seqs("SELECT seq_id, 'Z' || substr(seq, 2, 4) AS replaced, array_to_string(list_transform(range(1, 6), lambda i: substr(seq, i, 1)), '-') AS joined FROM seqs"))
