@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
@@ -17,16 +17,14 @@ def prefix_counts(sequences: DataFrame, order: int, weight=None) -> DataFrame:
     """
     k = order + 1
     rows = sequences.select(F.lit(0).alias("seq_id"), "seq", (F.lit(1.0) if weight is None else F.col(weight)).alias("w"))
-    longest = kmers.explode(rows, k, "w").groupBy(F.col("kmer").alias("prefix")).agg(F.sum("w").alias("n"))
-    parts = longest
+    own = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.substring(F.col("kmer"), F.lit(1), i))
+    parts = kmers.explode(rows, k, "w").groupBy("kmer").agg(F.sum("w").alias("n")).select(F.explode(own).alias("prefix"), "n")
     if order:
-        own = F.transform(F.sequence(F.lit(1), F.lit(order)), lambda i: F.substring(F.col("prefix"), F.lit(1), i))
-        parts = parts.union(longest.select(F.explode(own).alias("prefix"), "n"))
         tail = F.right(F.col("seq"), F.lit(order))
         found = F.flatten(F.array(*(dna.windows(tail, i) for i in range(1, k))))
         parts = parts.union(rows.select(F.explode(found).alias("prefix"), F.col("w").alias("n")))
-    counts = parts.groupBy("prefix").agg(F.sum("n").alias("n"))
-    return counts.union(counts.select(dna.reverse_complement("prefix").alias("prefix"), "n")).groupBy("prefix").agg(F.sum("n").alias("n"))
+    both = parts.groupBy("prefix").agg(F.sum("n").alias("n")).select(F.explode(F.array("prefix", dna.reverse_complement("prefix"))).alias("prefix"), "n")
+    return both.groupBy("prefix").agg(F.sum("n").alias("n"))
 
 
 def fit(sequences: DataFrame, order: int, weight=None) -> DataFrame:
@@ -38,8 +36,8 @@ def fit(sequences: DataFrame, order: int, weight=None) -> DataFrame:
     counts = names.join(prefix_counts(sequences, order, weight), "prefix", "left")
     counts = counts.select("prefix", (F.coalesce("n", F.lit(0.0)) + F.pow(F.lit(4.0), -F.length("prefix"))).alias("n"))
     parent = F.substring(F.col("prefix"), F.lit(1), F.length("prefix") - 1)
-    totals = counts.groupBy(parent.alias("parent")).agg(F.sum("n").alias("total"))
-    return counts.withColumn("parent", parent).join(totals, "parent").select("prefix", (F.col("n") / F.col("total")).alias("p"))
+    total = F.sum("n").over(Window.partitionBy(parent))  # over the 4 ** (order + 1) strings and their beginnings
+    return counts.select("prefix", (F.col("n") / total).alias("p"))
 
 
 def log_probability(sequences: DataFrame, model: DataFrame, order: int) -> DataFrame:
