@@ -10,13 +10,13 @@ from ..sources.corpus import sequences, table
 from .registry import over_seqs, query, rc, windows
 
 
-def ends(spark, sf_dir, k):
-    """(kmer, n): the first k letters of each sequence, counted: a few distinct strings for the operators on single k-mers."""
-    return sequences(spark, sf_dir).groupBy(F.substring("seq", 1, k).alias("kmer")).agg(F.count("*").alias("n"))
+def every(spark, sf_dir, k):
+    """(kmer, n) of all sequences: distinct strings for the operators on single k-mers."""
+    return kmers.count(sequences(spark, sf_dir), k)
 
 
-def sql_ends(k):
-    return f"ends AS (SELECT substr(seq, 1, {k}) AS kmer, count(*) AS n FROM seqs GROUP BY 1)"
+def sql_every(k):
+    return f"{windows(k)}, every AS (SELECT kmer, count(*) AS n FROM kmers{k} GROUP BY kmer)"
 
 
 @query("x01_reverse_complement", over_seqs(f"SELECT seq_id, md5({rc('seq')}) AS rc_md5, {rc('seq')} = seq AS palindrome FROM seqs"))
@@ -54,12 +54,12 @@ _N = "substr(kmer, 1, 1) || 'N' || substr(kmer, 3, 2) || 'N' || substr(kmer, 6)"
     "x05_n_expansion",
     over_seqs(
         "SELECT pattern, substr(pattern, 1, 1) || a.b || substr(pattern, 3, 2) || c.b || substr(pattern, 6) AS kmer FROM p, (SELECT unnest(['A','C','G','T']) AS b) a, (SELECT unnest(['A','C','G','T']) AS b) c",
-        sql_ends(7),
-        f"p AS (SELECT DISTINCT {_N} AS pattern FROM ends)",
+        sql_every(7),
+        f"p AS (SELECT DISTINCT {_N} AS pattern FROM every)",
     ),
 )
 def x05(spark, sf_dir):
-    patterns = ends(spark, sf_dir, 7).select(F.expr(_N).alias("pattern")).distinct()
+    patterns = every(spark, sf_dir, 7).select(F.expr(_N).alias("pattern")).distinct()
     return patterns.select("pattern", F.explode(dna.expansions("pattern")).alias("kmer"))
 
 
@@ -71,12 +71,12 @@ def x06(spark, sf_dir):
 @query(
     "x07_mismatch_neighbourhood",
     over_seqs(
-        f"SELECT kmer, count(DISTINCT v) AS n_variants, min(v) AS least, max(v) AS greatest FROM (SELECT kmer, substr(s, 1, i - 1) || b || substr(s, i + 1) AS v FROM (SELECT kmer, unnest([kmer, {rc('kmer')}]) AS s FROM ends), (SELECT unnest(range(1, 6)) AS i), (SELECT unnest(['A','C','G','T']) AS b)) GROUP BY kmer",
-        sql_ends(5),
+        f"SELECT kmer, count(DISTINCT v) AS n_variants, min(v) AS least, max(v) AS greatest FROM (SELECT kmer, substr(s, 1, i - 1) || b || substr(s, i + 1) AS v FROM (SELECT kmer, unnest([kmer, {rc('kmer')}]) AS s FROM every), (SELECT unnest(range(1, 6)) AS i), (SELECT unnest(['A','C','G','T']) AS b)) GROUP BY kmer",
+        sql_every(5),
     ),
 )
 def x07(spark, sf_dir):
-    found = ends(spark, sf_dir, 5).select("kmer", dna.neighbours("kmer").alias("v"))
+    found = every(spark, sf_dir, 5).select("kmer", dna.neighbours("kmer").alias("v"))
     return found.select("kmer", F.size("v").cast("long").alias("n_variants"), F.array_min("v").alias("least"), F.array_max("v").alias("greatest"))
 
 
@@ -90,12 +90,10 @@ def x08(spark, sf_dir):
 
 @query(
     "x09_site_cleanup",
-    over_seqs(
-        "SELECT seq_id, CASE WHEN contains(substr(s, 1, 5), 'N') THEN 'NNNNN' || substr(s, 6) WHEN contains(substr(s, 6), 'N') THEN substr(s, 1, 5) || 'NNNNN' ELSE s END AS site FROM (SELECT seq_id, replace(substr(seq, 1, 10), 'G', 'N') AS s FROM seqs)"
-    ),
+    over_seqs("SELECT kmer, CASE WHEN contains(substr(s, 1, 3), 'N') THEN 'NNN' || substr(s, 4) WHEN contains(substr(s, 4), 'N') THEN substr(s, 1, 3) || 'NNN' ELSE s END AS site FROM (SELECT kmer, replace(kmer, 'G', 'N') AS s FROM every)", sql_every(6)),
 )
 def x09(spark, sf_dir):
-    return sequences(spark, sf_dir).select("seq_id", dna.cleaned_site(F.replace(F.substring("seq", 1, 10), F.lit("G"), F.lit("N"))).alias("site"))
+    return every(spark, sf_dir, 6).select("kmer", dna.cleaned_site(F.replace("kmer", F.lit("G"), F.lit("N"))).alias("site"))
 
 
 @query("x10_sequence_entropy", over_seqs("SELECT seq_id, round(-sum(p * log2(p)), 6) AS bits FROM (SELECT seq_id, count(*) / sum(count(*)) OVER (PARTITION BY seq_id) AS p FROM kmers2 GROUP BY seq_id, kmer) GROUP BY seq_id", windows(2)))
@@ -129,9 +127,9 @@ def x13(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(F.filter(parts, lambda x: x != ""), "|").alias("parts"))
 
 
-@query("x14_replace_and_join", over_seqs("SELECT seq_id, 'Z' || substr(seq, 2, 4) AS replaced, array_to_string(list_transform(range(1, 6), lambda i: substr(seq, i, 1)), '-') AS joined FROM seqs"))
+@query("x14_replace_and_join", over_seqs("SELECT kmer, 'Z' || substr(kmer, 2) AS replaced, array_to_string(string_split(kmer, ''), '-') AS joined FROM every", sql_every(5)))
 def x14(spark, sf_dir):
-    return sequences(spark, sf_dir).select("seq_id", F.overlay(F.substring("seq", 1, 5), F.lit("Z"), 1, 1).alias("replaced"), F.array_join(F.split(F.substring("seq", 1, 5), ""), "-").alias("joined"))
+    return every(spark, sf_dir, 5).select("kmer", F.overlay("kmer", F.lit("Z"), 1, 1).alias("replaced"), F.array_join(F.split("kmer", ""), "-").alias("joined"))
 
 
 _DIFF = "len(list_filter([1, 2, 4, 6, 7, 8], lambda i: substr({0}, i, 1) <> substr('TANTNATA', i, 1)))"
@@ -147,12 +145,10 @@ def f02(spark, sf_dir):
     return rows.select("seq_id", F.col("pos").cast("long").alias("pos"), least.alias("mismatches")).where("mismatches <= 1")
 
 
-@query(
-    "f03_hamming",
-    over_seqs("SELECT seq_id, len(list_filter(range(1, 61), lambda i: i <= length(seq) AND substr(seq, i, 1) <> substr(repeat('ACGT', 15), i, 1))) AS distance FROM seqs"),
-)
+@query("f03_hamming", over_seqs(f"SELECT seq_id, len(list_filter(list_zip(string_split(seq, ''), string_split({rc('seq')}, '')), lambda x: x[1] <> x[2])) AS distance FROM seqs"))
 def f03(spark, sf_dir):
-    return sequences(spark, sf_dir).select("seq_id", dna.hamming("seq", F.lit("ACGT" * 15)).cast("long").alias("distance"))
+    """Places where a sequence differs from its reverse complement."""
+    return sequences(spark, sf_dir).select("seq_id", dna.hamming("seq", dna.reverse_complement("seq")).cast("long").alias("distance"))
 
 
 @query("f05_support", over_seqs("SELECT kmer, count(*) AS n, count(DISTINCT seq_id) AS n_seqs FROM kmers6 GROUP BY kmer HAVING count(*) >= 10 AND count(DISTINCT seq_id) >= 0.2 * (SELECT count(*) FROM seqs)", windows(6)))
@@ -284,8 +280,8 @@ def u02(spark, sf_dir):
 
 @query(
     "u04_disjoint_groups",
-    over_seqs("SELECT kmer, list_has_any(list_slice(g, 1, 3), list_slice(g, 4, 6)) AS overlap FROM (SELECT kmer, [substr(kmer, 1, 1), substr(kmer, 2, 1), substr(kmer, 3, 1), substr(kmer, 4, 1), substr(kmer, 5, 1), substr(kmer, 6, 1)] AS g FROM ends)", sql_ends(6)),
+    over_seqs("SELECT kmer, list_has_any(list_slice(g, 1, 3), list_slice(g, 4, 6)) AS overlap FROM (SELECT kmer, [substr(kmer, 1, 1), substr(kmer, 2, 1), substr(kmer, 3, 1), substr(kmer, 4, 1), substr(kmer, 5, 1), substr(kmer, 6, 1)] AS g FROM every)", sql_every(6)),
 )
 def u04(spark, sf_dir):
     g = F.split("kmer", "")
-    return ends(spark, sf_dir, 6).select("kmer", F.arrays_overlap(F.slice(g, 1, 3), F.slice(g, 4, 3)).alias("overlap"))
+    return every(spark, sf_dir, 6).select("kmer", F.arrays_overlap(F.slice(g, 1, 3), F.slice(g, 4, 3)).alias("overlap"))
