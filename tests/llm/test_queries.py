@@ -1,0 +1,85 @@
+"""Queries that SQL can't express, against brute force over whole small tables."""
+
+import hashlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+import sentencepiece
+from test_operators import brute_spans, united
+
+from seqloom.llm import pii, piece, queries, rollup, simhash
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return {r[0]: r[1] or "" for r in duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()}
+
+
+def run(spark, name):
+    return queries.QUERIES[name](spark, SF).collect()
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_pii(spark, texts):
+    got = run(spark, "op1_pii")
+    assert len(got) == len(texts)
+    for r in got:
+        base = brute_spans(texts[r.doc_id])
+        kinds = Counter(k for k, _, _ in base)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(kinds[k] for k in pii.KINDS)
+        assert r.base_sha256 == sha(pii.listed(base)) and set(filter(None, pii.listed(base).split(","))) <= set(r.spans.split(","))
+
+
+def test_token_counts(spark, texts):
+    encode = rollup._encoding(rollup.default_ranks()).encode_ordinary
+    docs, tokens = Counter(), Counter()
+    for i, source, lang in duckdb.sql(f"SELECT doc_id, source, lang FROM '{SF}/documents.parquet'").fetchall():
+        docs[source, lang] += 1
+        tokens[source, lang] += len(encode(texts[i]))
+    got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in run(spark, "op2_token_counts")}
+    assert got == {k: (docs[k], tokens[k]) for k in docs}
+
+
+def test_lattice(spark):
+    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{SF}/embeddings.parquet' ORDER BY vec_id").fetchall()
+    u = np.array([r[1] for r in rows], dtype=np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    ids = [r[0] for r in rows]
+    at = {v: i for i, v in enumerate(ids)}
+    root = united(ids, lambda x, y: near[at[x], at[y]])
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in run(spark, "op3_lattice")}
+    assert got == {v: (int(near[i].sum()), root[v], root[v] == v) for i, v in enumerate(ids)}
+
+
+def test_pieces(spark, texts):
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece.default_model())
+    for r in run(spark, "op7_sentencepiece"):
+        ids = sp.encode(texts[r.doc_id], add_eos=True)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(sp.decode(ids)))
+
+
+def test_simhash(spark, texts):
+    prints = {i: simhash.fingerprint(t.encode()) & ((1 << 64) - 1) for i, t in texts.items()}
+    root = united(sorted(texts), lambda x, y: (prints[x] ^ prints[y]).bit_count() <= 2)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in run(spark, "op10_simhash")}
+    assert got == {i: (f"{prints[i]:016x}", root[i]) for i in texts}
+
+
+@pytest.mark.parametrize("name", ["op4_quality", "op5_toxicity", "op9_language"])
+def test_scores(spark, texts, name):
+    import zlib
+
+    modulus, held = {"op4_quality": (3, 1), "op5_toxicity": (4, 2), "op9_language": (5, 0)}[name]
+    got = run(spark, name)
+    assert len(got) == len(texts) and all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % modulus == held) for r in got)
+    if name != "op9_language":
+        limit = 0.5 if name == "op4_quality" else 0.3
+        assert all(r.predicted == int(r.score >= limit) for r in got)
