@@ -21,6 +21,10 @@ def normalise(weights) -> np.ndarray:
     return np.where(total > 0, (w + TINY) / np.where(total > 0, total, 1.0), 1.0 / w.shape[-1])
 
 
+def _mirrored(word: str) -> str:
+    return word if word == "N" else word.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+
+
 @dataclass
 class Motif:
     """Columns x 4 probabilities in the order A, C, G, T."""
@@ -51,7 +55,37 @@ class Motif:
         return np.log(normalise(self.weights))
 
     def reverse_complement(self) -> Motif:
-        return Motif(self.name, self.weights[::-1, ::-1], self.score, self.sites, dict(self.extra))
+        extra = dict(self.extra)
+        if "groups" in extra:
+            extra["groups"] = {tuple(len(self) - 1 - c for c in reversed(columns)): {_mirrored(w): p for w, p in words.items()} for columns, words in extra["groups"].items()}
+        return Motif(self.name, self.weights[::-1, ::-1], self.score, self.sites, extra)
+
+    def with_groups(self, groups: dict[tuple[int, ...], dict[str, float]]) -> Motif:
+        """The motif with joint probabilities of words at some columns, in place of the columns' own; N stands for all other words."""
+        return Motif(self.name, self.weights, self.score, self.sites, {**self.extra, "groups": groups})
+
+    def group_logs(self) -> list[tuple[tuple[int, ...], np.ndarray]]:
+        """Of each group: its columns, and the log probability of every word, by its number to base 5 (4: other letters).
+
+        What N has is shared by the words that aren't listed; words with other letters get the least of all.
+        """
+        out = []
+        for columns, words in self.extra.get("groups", {}).items():
+            d = len(columns)
+            listed = {w: p for w, p in words.items() if set(w) <= set(BASES)}
+            rest = max(words.get("N", 1 - sum(listed.values())), TINY) / max(4**d - len(listed), 1)
+            logs = np.full(5**d, np.log(rest))
+            for w, p in listed.items():
+                logs[int("".join(str(BASES.index(b)) for b in w), 5)] = np.log(max(p, TINY))
+            other = [i for i in range(5**d) if "4" in np.base_repr(i, 5)]
+            logs[other] = logs.min()
+            out.append((columns, logs))
+        return out
+
+    def parameters(self) -> int:
+        """Free numbers: three for each column outside groups, and the listed words of each group."""
+        grouped = {c for columns in self.extra.get("groups", {}) for c in columns}
+        return 3 * (len(self) - len(grouped)) + sum(len([w for w in words if w != "N"]) for words in self.extra.get("groups", {}).values())
 
     def sub(self, start: int, end: int) -> Motif:
         return Motif(self.name, self.weights[start:end], self.score, self.sites, dict(self.extra))

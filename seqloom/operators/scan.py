@@ -31,21 +31,31 @@ def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _NUMBER[data[offsets[0] : offsets[-1]]], offsets - offsets[0]
 
 
-def scores(codes: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """The sum of log weights of the window that starts at each place; other letters count as a quarter."""
+def scores(codes: np.ndarray, logs: np.ndarray, groups=()) -> np.ndarray:
+    """The sum of log weights of the window that starts at each place; other letters count as a quarter.
+
+    groups: columns that count jointly, with the log probabilities of their words, in place of the columns' own weights.
+    """
     n = len(codes) - len(logs) + 1
     if n <= 0:
         return np.zeros(0)
     full = np.concatenate([logs, np.full((len(logs), 1), np.log(0.25))], axis=1)
-    total = np.zeros(n)
+    total, joint = np.zeros(n), {c for columns, _ in groups for c in columns}
     for c in range(len(logs)):
-        total += full[c][codes[c : c + n]]
+        if c not in joint:
+            total += full[c][codes[c : c + n]]
+    for columns, table in groups:
+        word = np.zeros(n, dtype=np.int64)
+        for c in columns:
+            word = word * 5 + codes[c : c + n]
+        total += table[word]
     return np.round(total, 9)
 
 
 def both_strands(codes: np.ndarray, motif: Motif) -> tuple[np.ndarray, np.ndarray]:
     """The better strand's score at each place, and whether it is the reverse one, which has to be greater."""
-    forward, backward = scores(codes, motif.logs), scores(codes, motif.reverse_complement().logs)
+    back = motif.reverse_complement()
+    forward, backward = scores(codes, motif.logs, motif.group_logs()), scores(codes, back.logs, back.group_logs())
     return np.maximum(forward, backward), backward > forward
 
 

@@ -290,6 +290,17 @@ def c06(spark, sf_dir):
     return spark.createDataFrame([("-".join(map(str, sorted(g))), round(score[g], 6)) for g in search.dependency_groups(score, 6)], "columns string, score double")
 
 
+@query("c08_gap_motif")
+def c08(spark, sf_dir):
+    """A motif whose second and fifth column count jointly, as the sequences' 6-mers pair them, and its best hits."""
+    from ..operators import cluster
+
+    rows = cluster.dependence(kmers.kmers_only(sequences(spark, sf_dir), 6).withColumnRenamed("kmer", "site"), [1, 4], 7).collect()
+    motif = MOTIFS[0].with_groups({(1, 4): {r["word"]: r["p"] for r in rows}})
+    found = scan.scan(sequences(spark, sf_dir), [motif], None, best_only=True)
+    return found.groupBy("motif").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.lit(motif.parameters()).alias("parameters"))
+
+
 @query("c11_column_learning")
 def c11(spark, sf_dir):
     """Clusters of embedding rows, and how well a forest finds a row's cluster from its first 16 numbers."""

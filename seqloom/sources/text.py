@@ -91,6 +91,21 @@ def answers(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).where(F.size(parts) >= 2).select(F.try_element_at(parts, F.lit(-2)).try_cast("long").alias("seq_id"), F.try_element_at(parts, F.lit(-1)).try_cast("long").alias("pos")).where("seq_id IS NOT NULL AND pos IS NOT NULL")
 
 
+def amino_acids(spark: SparkSession, path: str) -> DataFrame:
+    """(row, col, aa, probs, protein) of lines ``column residues p,p,p,p [protein]``: training rows for a column predictor."""
+    parts = F.split(F.trim("value"), r"\s+")
+    rows = lines(spark, path).where(F.size(parts) >= 3)
+    probs = F.transform(F.split(parts[2], ","), lambda x: x.try_cast("double"))
+    return rows.select("row", parts[0].try_cast("int").alias("col"), parts[1].alias("aa"), probs.alias("probs"), F.get(parts, F.lit(3)).alias("protein")).where((F.size("probs") == 4) & F.forall("probs", lambda x: x.isNotNull()))
+
+
+def residues(rows: DataFrame, size: int) -> DataFrame:
+    """rows with ``features``: one number for each of the first ``size`` residues and each of the 20 amino acids, 1 where they meet."""
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    cells = [F.when(F.substring("aa", i + 1, 1) == c, 1.0).otherwise(0.0) for i in range(size) for c in letters]
+    return rows.withColumn("features", F.array(*cells))
+
+
 #: Patterns of lines that give a predicted site: groups of the sequence and the position.
 SITE_PATTERNS = {
     "csv": r"^\s*(\S+?)\s*,\s*(-?\d+)\s*$",

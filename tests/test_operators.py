@@ -156,3 +156,13 @@ def test_mixing_share(spark):
     rows = spark.createDataFrame([(10.0,)] * 30 + [(0.05,)] * 70, "r double")
     x = em.mixing_share(rows, "r")
     assert abs(sum(n * (r - 1) / (1 - x + x * r) for n, r in ((30, 10.0), (70, 0.05)))) < 1e-6
+
+
+def test_gap_motifs(spark):
+    m = Motif.of_consensus("g", "ACGT").with_groups({(1, 2): {"CG": 0.5, "GC": 0.4, "N": 0.1}})
+    rows = seqs(spark, "TTACGTTT", "TTAGCTTT", "TTACCTTT", "TTANGTTT")
+    best = {r.seq_id: r.score for r in scan.scan(rows, [m], None, best_only=True).collect()}
+    assert abs(best[0] - (2 * math.log(0.85) + math.log(0.5))) < 1e-6 and abs(best[1] - (2 * math.log(0.85) + math.log(0.4))) < 1e-6
+    assert abs(best[2] - (2 * math.log(0.85) + math.log(0.1 / 14))) < 1e-6 and m.parameters() == 8
+    back = m.reverse_complement()
+    assert back.extra["groups"] == {(1, 2): {"CG": 0.5, "GC": 0.4, "N": 0.1}} and back.reverse_complement().extra == m.extra

@@ -101,3 +101,9 @@ def test_round_trips(spark, tmp_path):
     row = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "pos")).first()
     assert row.site == "GTAC" and row.strand == "-"
     assert spark.range(1).select(text.clean(F.lit("aXc"))).first()[0] == "AC"
+
+
+def test_amino_acids(spark, tmp_path):
+    rows = text.amino_acids(spark, written(tmp_path, "aa.txt", "1 ACD 0.1,0.2,0.3,0.4 p1\n2 CCC 0.7,0.1,0.1,0.1\nbad line\n3 AAA 1,2\n"))
+    got = text.residues(rows, 2).orderBy("row").collect()
+    assert [(r.col, r.aa, list(r.probs), r.protein, sum(r.features)) for r in got] == [(1, "ACD", [0.1, 0.2, 0.3, 0.4], "p1", 2.0), (2, "CCC", [0.7, 0.1, 0.1, 0.1], None, 2.0)]
