@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flattext as ft
-from .tables import label_sample, remainder, table
+from .tables import label_sample, remainder, sample_texts, table
 
 #: Labelled rows that a model is fitted on, at most; they are taken in the order of a hash of the id.
 FIT_ROWS = 4000
@@ -118,7 +118,7 @@ def vectors_of(texts: pa.Array, bits: int = BITS) -> list[tuple[np.ndarray, np.n
 def train(documents: DataFrame, labels: DataFrame, *, bound: int = FIT_ROWS, bits: int = BITS) -> Model:
     """Fits on at most ``bound`` labelled rows; executors make the sparse vectors, the driver only gets those."""
     chosen = label_sample(labels, "quality", 3, 1, bound)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = sample_texts(documents, chosen)
 
     def sparse(batches):
         for batch in batches:

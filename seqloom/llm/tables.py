@@ -83,3 +83,10 @@ def label_sample(labels: DataFrame, label: str, modulus: int, held: int, bound:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(bound)
     )
+
+
+def sample_texts(documents: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, label, text) of a label sample: one row for each id, the least text of repeated ones, so that the sample's
+    bound holds however often an id is repeated. The ids are broadcast."""
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))

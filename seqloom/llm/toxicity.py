@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flattext as ft
-from .tables import label_sample, remainder, table
+from .tables import label_sample, remainder, sample_texts, table
 
 #: Labelled rows that the network is fitted on, at most; they are taken in the order of a hash of the id.
 FIT_ROWS = 4000
@@ -396,7 +396,7 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(documents: DataFrame, labels: DataFrame, *, bound: int = FIT_ROWS) -> Network:
     """Fits on at most ``bound`` labelled rows, which go to the driver; their ids are broadcast to find their texts."""
     chosen = label_sample(labels, "toxic", 4, 2, bound)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toArrow().sort_by("doc_id")
+    rows = sample_texts(documents, chosen).toArrow().sort_by("doc_id")
     net = fit(ft.filled(rows["text"]), rows["label"].to_numpy())
     del rows
     _release()
