@@ -64,14 +64,15 @@ def greedy_pairs(left: list, right: list, within: int, compat: bool = False) ->
 
 
 def greedy(left: DataFrame, right: DataFrame, by: str, pos: str, within: int, compat: bool = False) -> DataFrame:
-    """(by, a, b) of the greedy one-to-one pairing in each group; a group's two lists are one task's."""
-    schema = f"{by} {left.schema[by].dataType.simpleString()}, a long, b long"
+    """(by, a, b) of the greedy one-to-one pairing in each group; a group's two sorted lists are one row."""
+    lists = lambda side, name: side.groupBy(by).agg(F.sort_array(F.collect_list(F.col(pos).cast("long"))).alias(name))
 
-    def pair(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = greedy_pairs(sorted(a[pos].tolist()), sorted(b[pos].tolist()), within, compat)
-        return pd.DataFrame({by: [key[0]] * len(found), "a": [x for x, _ in found], "b": [y for _, y in found]})
+    @F.pandas_udf("array<struct<a:bigint,b:bigint>>")
+    def pair(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([[{"a": int(i), "b": int(j)} for i, j in greedy_pairs(list(p), list(q), within, compat)] for p, q in zip(x, y, strict=True)], dtype=object)
 
-    return left.select(by, pos).groupBy(by).cogroup(right.select(by, pos).groupBy(by)).applyInPandas(pair, schema)
+    both = lists(left, "_x").join(lists(right, "_y"), by)
+    return both.select(by, F.explode(pair("_x", "_y")).alias("_p")).select(by, "_p.a", "_p.b")
 
 
 def sliding_max(rows: DataFrame, by: list[str], pos: str, score: str, reach: int) -> Column:
