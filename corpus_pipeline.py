@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import decontam, pii, piece, simhash, toxicity
+from seqloom.llm import copies, decontam, pii, piece, toxicity
 from seqloom.llm.tables import small_batches, table, written
 
 #: Documents with this calibrated probability of being toxic, or a larger one, are rejected.
@@ -24,7 +24,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return simhash.one_of_each(docs)
+    return copies.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

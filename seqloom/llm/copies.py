@@ -1,0 +1,164 @@
+"""Near copies: texts whose sets of word shingles have a Jaccard similarity of ``SHARE`` or more, and what is linked by them.
+
+A shingle is five consecutive words, lower-cased (ASCII); a shorter text is one shingle. Each distinct set is indexed under
+``BANDS`` keys, each of ``ROWS`` minima of its shingles' hashes under other permutations. Sets that meet under a key are
+candidates and are verified by their whole sets, so no pair below the similarity is linked. A pair of similarity s meets with
+probability 1 - (1 - s^ROWS)^BANDS: 0.999997 at 0.8, more above.
+
+Equal sets are one row of the index, so exact copies cost nothing. Only components are wanted, so the members of a key are
+first compared with one of them, and then with each other where their components still differ. Four bits of each minimum are
+compared before whole sets are fetched: of 640 bits, 64 differ on the average at 0.8, and more than ``BITS`` about once in a
+million pairs at that similarity, less often above. No key is left out, however many sets it has.
+
+Null and empty texts, and texts of white space, have the empty set and are copies of each other.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import flattext as ft
+from .components import components
+from .tables import fitting, free_name, written
+
+SHINGLE = 5
+SHARE = 0.8
+BANDS, ROWS = 32, 5
+BITS = 124
+
+_draws = np.random.default_rng(42)
+_FLIP = _draws.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_ODD = _draws.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Shingles whose permuted hashes are held at once.
+_BLOCK = 4096
+
+
+def shingle_sets(texts: pa.Array):
+    """The sorted distinct hashes of the shingles of each text, one after the other."""
+    for low, high, data, offsets in ft.chunks(texts):
+        starts, ends = ft.runs(~ft.SPACE[data], offsets)
+        words = ft.hash_runs(ft.LOWER[data], starts, ends)
+        limits = np.searchsorted(starts, offsets)
+        levels = [words]  # of runs of 1, 2, ... words
+        for k in range(1, SHINGLE):
+            levels.append(ft.mix(levels[-1][:-1] * _STEP + words[k:]) if len(words) > k else words[:0])
+        for a, b in zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True):
+            width = min(SHINGLE, b - a)
+            yield np.unique(levels[width - 1][a : b - width + 1]) if width else words[:0]
+
+
+def set_id(items: np.ndarray) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(items.tobytes(), 42), "big", signed=True) if len(items) else 0
+
+
+def sketch(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a set, and four bits of each of its minima."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for low in range(0, len(items), _BLOCK):
+        np.minimum(least, ((items[low : low + _BLOCK, None] ^ _FLIP) * _ODD).min(axis=0), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for part in least.reshape(BANDS, ROWS).T:
+        keys = ft.mix(keys * _STEP + part)
+    nibbles = (ft.mix(least) >> np.uint64(60)).reshape(-1, 16) << np.arange(0, 64, 4, dtype=np.uint64)
+    return keys.view(np.int64), np.bitwise_or.reduce(nibbles, axis=1).view(np.int64)
+
+
+def sketches(documents: DataFrame) -> DataFrame:
+    """(doc_id, fp, n, keys, bits) of every row: the id and the size of its set, and the set's sketch."""
+
+    def made(batches):
+        for batch in batches:
+            ids, sizes, keys, bits = [], [], [], []
+            for items in shingle_sets(ft.filled(batch.column("text"))):
+                ids.append(set_id(items))
+                sizes.append(len(items))
+                own = sketch(items)
+                keys.append(own[0])
+                bits.append(own[1])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, bits)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), *lists], ["doc_id", "fp", "n", "keys", "bits"])
+
+    return documents.select("doc_id", "text").mapInArrow(made, "doc_id long, fp long, n int, keys array<long>, bits array<long>")
+
+
+def _sets(documents: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(fp, items) of the wanted sets, made again from the texts of one id each."""
+
+    def made(batches):
+        for batch in batches:
+            found = list(shingle_sets(ft.filled(batch.column("text"))))
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["fp", "items"])
+
+    ids = rows.join(wanted, "fp").groupBy("fp").agg(F.min("doc_id").alias("id")).select("id").distinct()
+    texts = documents.select("doc_id", "text").join(fitting(written(ids, "candidates")), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    return texts.mapInArrow(made, "fp long, items array<long>").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("items").alias("items"))
+
+
+def _judged(pairs: DataFrame, documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b, near) of pairs (a, b), by their whole sets."""
+    sets = written(_sets(documents, rows, pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()), "sets")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("items").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.select("a", "b", (common >= F.lit(SHARE) * (F.size("x") + F.size("y") - common)).alias("near"))
+
+
+def _candidates(members: DataFrame, firsts: bool) -> DataFrame:
+    """(a, b), a < b, of members (key, fp, n, bits, c) of a key whose components c differ; with one member of each key if firsts."""
+    open_keys = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("fp", "n", "bits", "c")).alias("x")).where("lo < hi")
+    sides = members.select("key", F.struct("fp", "n", "bits", "c").alias("y"))
+    others = open_keys.select("key", "x") if firsts else sides.join(open_keys.select("key"), "key").withColumnRenamed("y", "x")
+    apart = " + ".join(f"bit_count(x.bits[{i}] ^ y.bits[{i}])" for i in range(BANDS * ROWS // 16))
+    sized = F.least("x.n", "y.n") >= F.lit(SHARE) * F.greatest("x.n", "y.n")  # sets of these sizes can be as similar as that
+    pairs = others.join(sides, "key").where(F.expr("x.fp < y.fp AND x.c <> y.c") & sized & (F.expr(apart) <= BITS))
+    return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+
+
+def near_copies(documents: DataFrame) -> DataFrame:
+    """(doc_id, fp, component) of every row: the id of its set and the least id of a set linked to it."""
+    rows = written(sketches(documents), "sketches")
+    classes = rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    index = classes.select("fp", F.explode("keys").alias("key"))
+    met = index.join(index.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "key")
+    met = written(met.join(classes.select("fp", "n", "bits"), "fp").select("key", "fp", "n", "bits"), "met")
+    firsts = written(_candidates(met.withColumn("c", F.col("fp")), True), "pairs")
+    near = written(_judged(firsts, documents, rows), "judged")
+    linked = written(components(near.where("near")), "linked").withColumnRenamed("node", "fp")
+    named = met.join(linked, "fp", "left").withColumn("c", F.coalesce("component", "fp")).drop("component")
+    more = written(_judged(written(_candidates(named, False).join(near, ["a", "b"], "left_anti"), "pairs"), documents, rows), "judged")
+    linked = written(components(near.union(more).where("near")), "linked").withColumnRenamed("node", "fp")
+    return rows.select("doc_id", "fp").join(linked, "fp", "left").select("doc_id", "fp", F.coalesce("component", "fp").alias("component"))
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """One row of ``documents`` for each group of near copies: the one with the group's smallest doc_id.
+
+    Of rows with equal ids, and of a group without any id, one row stays. The ids to go are broadcast if their counted size
+    allows it, so texts aren't shuffled then.
+    """
+    prints = written(near_copies(documents), "copies")
+    found = written(prints.join(prints.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component"), "groups")
+    gone = written(found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct(), "gone")
+    rows = documents.where(F.col("doc_id").isNotNull()).join(fitting(gone), "doc_id", "left_anti")
+    if prints.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["doc_id"])
+    if not prints.where(F.col("doc_id").isNull()).limit(1).count():
+        return rows.select(documents.columns)
+    fp, group = free_name(documents, "own_fp"), free_name(documents, "own_group")
+    schema = documents.select("*", F.lit(0).cast("long").alias(fp)).schema
+    nameless = documents.where(F.col("doc_id").isNull()).mapInArrow(_with_print(documents.columns, fp), schema)
+    lone = found.where(F.col("component_id").isNull()).select(F.col("fp").alias(fp), F.col("component").alias(group)).distinct()
+    return rows.select(documents.columns).union(nameless.join(lone, fp).dropDuplicates([group]).select(documents.columns))
+
+
+def _with_print(names: list[str], fp: str):
+    def made(batches):
+        for batch in batches:
+            found = [set_id(items) for items in shingle_sets(ft.filled(batch.column("text")))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, pa.int64())], [*names, fp])
+
+    return made

@@ -1,0 +1,51 @@
+"""The near-duplicate stage of the pipeline against all pairs."""
+
+import random
+
+from conftest import prose
+
+import corpus_pipeline
+from seqloom.llm import copies
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_pairs(texts):
+    sets = [shingles(t) for t in texts]
+    return {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if len(x & y) >= 0.8 * len(x | y)}
+
+
+def replaced(rng, text, n):
+    words = text.split()
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_near_copies(spark, tmp_path):
+    rng = random.Random(11)
+    texts = []
+    for size in (4, 30, 80, 200, 600):
+        for _ in range(8):
+            base = prose(rng, size)
+            texts += [base, base.upper() + " \n"]
+            texts += [replaced(rng, base, max(1, round(size * share))) for share in (0.005, 0.012, 0.018, 0.022, 0.03, 0.05)]
+    pairs = near_pairs(texts)
+    parent = list(range(len(texts)))
+    for i, j in sorted(pairs):
+        parent = [parent[i] if p == parent[j] else p for p in parent]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component for r in copies.near_copies(docs).collect()}
+    wanted = {}
+    for i, p in enumerate(parent):
+        wanted.setdefault(p, set()).add(i)
+    got = {}
+    for i, c in found.items():
+        got.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, wanted.values()))
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == {min(g) for g in wanted.values()}
+    assert len(pairs) > 100 and len(kept) < len(texts)
