@@ -135,27 +135,29 @@ def near_copies(documents: DataFrame) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """One row of ``documents`` for each group of near copies: the one with the group's smallest doc_id.
+    """One row of ``documents`` for each group of near copies: one with the group's smallest doc_id.
 
-    Of rows with equal ids, and of a group without any id, one row stays. The ids to go are broadcast if their counted size
-    allows it, so texts aren't shuffled then.
+    Rows are told apart by id and set, so one id on rows of several groups stays once in each; of rows with equal ids and
+    sets, and of a group without any id, one row stays. The ids to go are broadcast if their counted size allows it, so texts
+    aren't shuffled then; only texts of null and repeated ids are read again.
     """
-    prints = written(near_copies(documents), "copies")
-    found = written(prints.join(prints.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component"), "groups")
-    gone = written(found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct(), "gone")
-    rows = documents.where(F.col("doc_id").isNotNull()).join(fitting(gone), "doc_id", "left_anti")
-    if prints.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count():
-        rows = rows.dropDuplicates(["doc_id"])
-    if not prints.where(F.col("doc_id").isNull()).limit(1).count():
-        return rows.select(documents.columns)
-    fp, group = free_name(documents, "own_fp"), free_name(documents, "own_group")
+    found = written(near_copies(documents), "copies")
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp")).alias("k")).select("k.doc_id", "k.fp")
+    kept = written(kept, "kept")
+    several = written(found.groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1 OR doc_id IS NULL").select("doc_id"), "several")
+    gone = written(found.where(F.col("doc_id").isNotNull()).join(kept, ["doc_id", "fp"], "left_anti").select("doc_id").union(several.where(F.col("doc_id").isNotNull())).distinct(), "gone")
+    rows = documents.where(F.col("doc_id").isNotNull()).join(fitting(gone), "doc_id", "left_anti").select(documents.columns)
+    if not several.limit(1).count():
+        return rows
+    fp, own, kept_fp = (free_name(documents, n) for n in ("own_fp", "own_id", "kept_fp"))
     schema = documents.select("*", F.lit(0).cast("long").alias(fp)).schema
-    nameless = documents.where(F.col("doc_id").isNull()).mapInArrow(_with_print(documents.columns, fp), schema)
-    lone = found.where(F.col("component_id").isNull()).select(F.col("fp").alias(fp), F.col("component").alias(group)).distinct()
-    return rows.select(documents.columns).union(nameless.join(lone, fp).dropDuplicates([group]).select(documents.columns))
+    again = documents.join(fitting(several.withColumnRenamed("doc_id", own)), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi").mapInArrow(_with_set(documents.columns, fp), schema)
+    chosen = kept.select(F.col("doc_id").alias(own), F.col("fp").alias(kept_fp))
+    again = again.join(fitting(chosen, 24), F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(fp) == F.col(kept_fp)), "left_semi")
+    return rows.union(again.dropDuplicates(["doc_id", fp]).select(documents.columns))
 
 
-def _with_print(names: list[str], fp: str):
+def _with_set(names: list[str], fp: str):
     def made(batches):
         for batch in batches:
             found = [set_id(items) for items in shingle_sets(ft.filled(batch.column("text")))]

@@ -49,3 +49,14 @@ def test_near_copies(spark, tmp_path):
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert kept == {min(g) for g in wanted.values()}
     assert len(pairs) > 100 and len(kept) < len(texts)
+
+
+def test_one_id_on_two_texts(spark):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(3, a), (5, a), (5, b), (8, b), (5, c), (9, d), (9, d), (9, d + " more"), (None, d), (None, "no id " + a), (None, "no id " + a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [tuple(r) for r in copies.one_of_each(docs).collect()]
+    assert sorted(found[:], key=str) == sorted([(3, a), (5, b), (5, c), (9, next(t for i, t in found if i == 9))], key=str)
+    alone = spark.createDataFrame([(None, a), (None, a), (None, b)], "doc_id long, text string")
+    assert sorted(r.text for r in copies.one_of_each(alone).collect()) == sorted([a, b])
