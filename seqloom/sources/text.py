@@ -115,16 +115,42 @@ SITE_PATTERNS = {
 }
 
 
-def predicted_sites(spark: SparkSession, path: str, tool: str) -> DataFrame:
-    """(list_id, seq, pos): lines that match the tool's pattern; a new list starts where matches resume after other lines."""
+#: The reports of motif tools by the suffix of their files: a pattern found anywhere in a line, and its groups of the
+#: sequence, the strand (0: the tool gives none) and the position.
+TOOL_PATTERNS = {
+    "out": (r">SEQ_(\d+)\s([b,f])(\d+)\s([A,C,G,T]+)", 1, 2, 3),
+    "mds_out": (r">(\S+)\s\w+\s[\w+\s]*([b,f])(\d+)\s([A,C,G,T]+)", 1, 2, 3),
+    "bpout": (r">SEQ_(\d+)\s\w+\s[\w+\s]*([r,f])(\d+)\s\S+\s([A,C,G,T]+)", 1, 2, 3),
+    "annspec_out": (r"\w+\s+\S+\s+\S+\s+(\d+)\s+([A,C,G,T]+)\s+\S+\s+>SEQ_(\d+)", 3, 0, 1),
+    "wee": (r"(\d+)\s+([+,-])\s+([\[,\],A,C,G,T]+)\s+(\d+)\s+\(", 1, 2, 4),
+    "txt": (r"(\S+)\s+(\d+)\s+\d+\.\d+e", 1, 0, 2),
+    "meme_out": (r"(\S+)\s+([+,-])\s+(\d+)\s+\d+\.\d+e", 1, 2, 3),
+}
+
+
+def predicted_sites(spark: SparkSession, path: str, tool: str | None = None, *, length: int = 200) -> DataFrame:
+    """(list_id, seq, pos): lines that match the tool's pattern; a new list starts where matches resume after other lines.
+
+    tool: a key of ``TOOL_PATTERNS`` or ``SITE_PATTERNS``; the file's suffix if it isn't given. Tools of ``TOOL_PATTERNS`` also
+    give ``reverse``; their positions on the reverse strand are counted from the end and become ``length`` less the position,
+    where ``length`` is that of the sequences. ``SEQ_`` before a number isn't part of seq.
+    """
     from pyspark.sql import Window
 
-    pattern = SITE_PATTERNS[tool]
+    tool = path.rsplit("/", 1)[-1].rsplit(".", 1)[-1] if tool is None else tool
+    if tool not in TOOL_PATTERNS and tool not in SITE_PATTERNS:
+        raise ValueError(f"no pattern of predicted sites is known by the name {tool}")
+    pattern, seq, strand, pos = TOOL_PATTERNS[tool] if tool in TOOL_PATTERNS else (SITE_PATTERNS[tool], 1, 0, 2)
     rows = lines(spark, path).select("row", "value", F.col("value").rlike(pattern).alias("ok"))
     w = Window.orderBy("row")  # a tool's report is one file of lists, in order
     rows = rows.withColumn("start", (F.col("ok") & ~F.coalesce(F.lag("ok").over(w), F.lit(False))).cast("int"))
     rows = rows.withColumn("list_id", (F.sum("start").over(w) - 1).cast("int")).where("ok")
-    return rows.select("list_id", F.regexp_extract("value", pattern, 1).alias("seq"), F.regexp_extract("value", pattern, 2).cast("long").alias("pos"))
+    group = lambda i: F.regexp_extract("value", pattern, i)
+    if tool in SITE_PATTERNS:
+        return rows.select("list_id", group(seq).alias("seq"), group(pos).cast("long").alias("pos"))
+    reverse = group(strand).isin("r", "b", "-") if strand else F.lit(False)
+    place = group(pos).cast("long")
+    return rows.select("list_id", F.regexp_replace(group(seq), r"^SEQ_(\d+)$", "$1").alias("seq"), F.when(reverse, length - place).otherwise(place).alias("pos"), reverse.alias("reverse"))
 
 
 def name_index(sequences: DataFrame, size: int = 24) -> DataFrame:

@@ -107,3 +107,24 @@ def test_amino_acids(spark, tmp_path):
     rows = text.amino_acids(spark, written(tmp_path, "aa.txt", "1 ACD 0.1,0.2,0.3,0.4 p1\n2 CCC 0.7,0.1,0.1,0.1\nbad line\n3 AAA 1,2\n"))
     got = text.residues(rows, 2).orderBy("row").collect()
     assert [(r.col, r.aa, list(r.probs), r.protein, sum(r.features)) for r in got] == [(1, "ACD", [0.1, 0.2, 0.3, 0.4], "p1", 2.0), (2, "CCC", [0.7, 0.1, 0.1, 0.1], None, 2.0)]
+
+
+#: Two lines of each tool's report, one of them on the reverse strand where the tool tells.
+REPORTS = {
+    "out": ([">SEQ_3 f17 ACGT", ">SEQ_4 b20 ACGT"], [("3", 17, False), ("4", 180, True)]),
+    "mds_out": ([">name_1 len 200 f17 ACGT", ">SEQ_4 len 200 b20 ACGT"], [("name_1", 17, False), ("4", 180, True)]),
+    "bpout": ([">SEQ_3 len 200 f17 0.5 ACGT", ">SEQ_4 len 200 r20 0.5 ACGT"], [("3", 17, False), ("4", 180, True)]),
+    "annspec_out": (["site 1 2.5 17 ACGT 0.5 >SEQ_3", "site 2 2.5 20 ACGT 0.5 >SEQ_4"], [("3", 17, False), ("4", 20, False)]),
+    "wee": (["  3 + ACGT 17 (98.5)", "  4 - [ACGT] 20 (90.1)"], [("3", 17, False), ("4", 180, True)]),
+    "txt": (["MACS_LNCAPARDHT_001776      179  5.25e-06 TCAACTTATT CTCCTGCC TCAGTTTTCC", "SEQ_4 20 1.00e-05 AC"], [("MACS_LNCAPARDHT_001776", 179, False), ("4", 20, False)]),
+    "meme_out": (["SEQ_3   +  17  1.25e-06 ACGT", "name_4  -  20  2.50e-06 ACGT"], [("3", 17, False), ("name_4", 180, True)]),
+}
+
+
+@pytest.mark.parametrize("suffix", sorted(REPORTS))
+def test_reports_of_tools(spark, tmp_path, suffix):
+    (first, second), wanted = REPORTS[suffix]
+    path = written(tmp_path, f"report.fa.{suffix}", f"# head\n{first}\n\n# next\n{second}\n")
+    assert [tuple(r) for r in text.predicted_sites(spark, path).orderBy("list_id").collect()] == [(i, *w) for i, w in enumerate(wanted)]
+    with pytest.raises(ValueError):
+        text.predicted_sites(spark, str(tmp_path / "x.unknown"))
