@@ -141,8 +141,18 @@ def trawler(text: str) -> Iterator[Motif]:
 
 
 def amadeus(text: str) -> Iterator[Motif]:
-    """``Motif name`` headers with rows of four numbers behind a column number."""
-    return headed_rows(text, "Motif", 1, 1)
+    """``PwmMotif(...):`` lines, each followed by a row of column heads, a rule and four rows of numbers between bars, one for
+    each base. Files without such a line: ``Motif name`` headers with rows of four numbers behind a column number."""
+    rows = text.splitlines()
+    heads = [i for i, line in enumerate(rows) if "PwmMotif(" in line]
+    if not heads:
+        yield from headed_rows(text, "Motif", 1, 1)
+    for i in heads:
+        width = rows[i + 1].count("|") - 1 if i + 1 < len(rows) else 0
+        cells = [line.split("|")[1 : width + 1] for line in rows[i + 3 : i + 7]]
+        if width < 1 or len(cells) < 4 or any(len(c) < width for c in cells):
+            raise ValueError(f"the motif of line {i + 1} isn't whole")
+        yield _made(rows[i].split(":")[0], np.array([[float(c) for c in row] for row in cells]).T)
 
 
 def comma_transfac(text: str) -> Iterator[Motif]:
@@ -162,30 +172,40 @@ def gapped(text: str) -> Iterator[Motif]:
             yield m
 
 
-#: Endings, or parts, of file names and their readers. The order decides names that fit several.
+#: Endings of file names (those with a dot), or parts of them, and their readers. The order decides names that fit several: up
+#: to jaspar it is that of older programs.
 FORMATS: list[tuple[str, Callable[[str], Iterator[Motif]]]] = [
+    (".pomoda", transfac),
+    (".dat", transfac),
+    (".zifnet", lambda t: four_rows(t, True)),
+    (".traw", trawler),
     (".dpwm", gapped),
     (".pwm", transfac),
-    (".dat", transfac),
-    (".jaspar", jaspar),
     (".meme", meme),
-    ("chipmunk", chipmunk),
+    ("meme.txt", meme),
+    (".wee", weeder),
+    (".cisf", cisfinder),
+    ("cisfinder", cisfinder),
     ("thetafinal", four_rows),
+    (".unip", uniprobe),
+    ("chipmunk", chipmunk),
+    ("jaspar", jaspar),
+    (".transfac", comma_transfac),
+    (".trans", comma_transfac),
+    (".admout", amadeus),
     ("zifnet", lambda t: four_rows(t, True)),
     ("uniprobe", uniprobe),
-    ("cisfinder", cisfinder),
     ("weeder", weeder),
     ("wee", weeder),
     ("trawler", trawler),
     ("amadeus", amadeus),
-    (".transfac", comma_transfac),
 ]
 
 
 def read(spark: SparkSession, path: str, limit: int | None = None) -> list[Motif]:
     """The motifs of a file, by its name; the best ``limit`` ones by score, if given."""
     name = path.rsplit("/", 1)[-1].lower()
-    parser = next((p for key, p in FORMATS if name.endswith(key)), None) or next((p for key, p in FORMATS if key in name), None)
+    parser = next((p for key, p in FORMATS if (name.endswith(key) if key.startswith(".") else key in name)), None) or next((p for key, p in FORMATS if key in name), None)
     if parser is None:
         raise ValueError(f"no motif format is known by the name {name}")
     text = spark.read.text(path, wholetext=True).first()

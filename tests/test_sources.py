@@ -128,3 +128,17 @@ def test_reports_of_tools(spark, tmp_path, suffix):
     assert [tuple(r) for r in text.predicted_sites(spark, path).orderBy("list_id").collect()] == [(i, *w) for i, w in enumerate(wanted)]
     with pytest.raises(ValueError):
         text.predicted_sites(spark, str(tmp_path / "x.unknown"))
+
+
+BARS = "\n".join(f"{b}|{'|'.join(r.split())}|" for b, r in zip("ACGT", BY_BASE))
+AMADEUS = "".join(f"PwmMotif(m{i}): score 1.5\n |1|2|3|4|5|\n-----------\n{BARS}\n\n" for i in (1, 2))
+SUFFIXES = {"x.admout": AMADEUS, "y.amadeus": AMADEUS, "x.traw": FILES["trawler.txt"], "x.cisf": FILES["cisfinder.txt"], "x.unip": FILES["uniprobe.txt"]}
+SUFFIXES |= {"x.trans": FILES["x.transfac"], "meme.txt": FILES["x.meme"], "x.pomoda": FILES["x.pwm"], "x.wee": FILES["weeder.txt"], "cisfinder.unip": FILES["cisfinder.txt"]}
+
+
+@pytest.mark.parametrize("name", sorted(SUFFIXES))
+def test_suffixes_of_older_programs(spark, tmp_path, name):
+    found = motif_files.read(spark, written(tmp_path, name, SUFFIXES[name]))
+    assert [m.best() for m in found] == ["ACGTA"] * 2
+    if "PwmMotif" in SUFFIXES[name]:
+        assert [m.name for m in found] == ["PwmMotif(m1)", "PwmMotif(m2)"] and np.allclose(found[0].weights[0], [0.9, 0.03, 0.03, 0.04], atol=1e-6)
