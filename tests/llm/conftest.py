@@ -1,15 +1,11 @@
 import random
 
 import pytest
+from brute import prose
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def prose(rng, n):
-    parts = ["the", "an", "in", "er", "on", "tion", "re", "st", "nd", "ou", "es", "le"]
-    return " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def odd_tables(spark, tmp_path_factory):
     """Tables with nulls in every column, empty and very long texts, repeated rows, ties and columns with clashing names."""

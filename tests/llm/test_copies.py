@@ -2,7 +2,7 @@
 
 import random
 
-from conftest import prose
+from brute import prose
 
 import corpus_pipeline
 from seqloom.llm import copies

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
+from brute import brute_spans, united
 from oracle import same
 
 from seqloom.llm import decontam, e8, flattext, langid, lattice, license_scan, pii, piece, quality, queries, rollup, simhash, toxicity
@@ -21,17 +22,6 @@ def test_against_sql(spark, name):
     same(queries.QUERIES[name](spark, SF), queries.SQL[name], SF)
 
 
-def brute_spans(text):
-    out = []
-    for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
-        for m in re.finditer(pattern, text):
-            digits = re.sub("[^0-9]", "", m[0])
-            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")) or kind == "card" and not (14 <= len(digits) <= 19 and pii.luhn(digits)) or kind == "phone" and not 10 <= len(digits) <= 15:
-                continue
-            out.append((kind, *m.span()))
-    return pii.in_order(out)
-
-
 def test_base_spans():
     rng = random.Random(1)
     parts = ["a", ".", "@", "1", "5", "-", " ", "+", "(", "256", "4111111111111111", "b.c", "é"]
@@ -80,22 +70,6 @@ def test_encode_then_decode(spark):
     assert {r.doc_id: r.text for r in piece.decode(piece.encode(docs)).collect()} == {1: "Ab c\n😀", 2: ""}
 
 
-def united(values, linked):
-    parent = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for i, x in enumerate(values):
-        for y in values[i + 1 :]:
-            if linked(x, y):
-                a, b = sorted((root(x), root(y)))
-                parent[b] = a
-    return {x: root(x) for x in values}
-
-
 def test_simhash_links(spark, monkeypatch):
     rng = random.Random(8)
     centres = [rng.getrandbits(64) for _ in range(6)]

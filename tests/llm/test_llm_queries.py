@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 import sentencepiece
-from test_operators import brute_spans, united
+from brute import brute_spans, united
 
 from seqloom.llm import pii, piece, queries, rollup, simhash
 
