@@ -99,7 +99,8 @@ def _grow(n: int) -> None:
 class Hashes:
     """64-bit hashes of the bytes of any runs of a buffer, the same wherever a run stands.
 
-    A polynomial in a fixed odd base: one prefix sum over the bytes, then a difference and an inverse power for each run.
+    A polynomial in a fixed odd base: one prefix sum over the bytes, then a difference and an inverse power for each run. Runs
+    of a thousand bytes and more can be made up that have equal hashes; where that matters, use ``distinct`` or ``equal``.
     """
 
     def __init__(self, data: np.ndarray):
@@ -124,6 +125,37 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def equal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each run are those of the other run beside it."""
+    size = ends - starts
+    same = size == other_ends - other_starts
+    at = np.flatnonzero(same)
+    unlike = data[spread(starts[at], size[at])] != other[spread(other_starts[at], size[at])]
+    if unlike.any():
+        same[np.repeat(at, size[at])[unlike]] = False
+    return same
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, code): a run for each distinct sequence of bytes, and the number of its sequence for every run.
+
+    Runs with equal hashes are compared byte by byte, since there are texts made to have equal hashes.
+    """
+    _, first, code = np.unique(hash_runs(data, starts, ends), return_index=True, return_inverse=True)
+    like = first[code]
+    more = np.flatnonzero(like != np.arange(len(starts)))
+    wrong = more[~equal(data, starts[more], ends[more], data, starts[like[more]], ends[like[more]])]
+    if len(wrong):
+        numbers: dict[bytes, int] = {}
+        for i in wrong.tolist():
+            word = data[starts[i] : ends[i]].tobytes()
+            if word not in numbers:
+                numbers[word] = len(first)
+                first = np.append(first, i)
+            code[i] = numbers[word]
+    return first, code
+
+
 def sums(values: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
     """Sum of the values of each of n owners."""
     return np.bincount(owners, weights=values, minlength=n)[:n]
