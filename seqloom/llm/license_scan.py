@@ -7,13 +7,16 @@ ordered by their frequency in all texts, rarest first, and
 
 * prefix: a found block holds one of the first |T| - need + 1 words, so only blocks with one of them are looked at;
 * length: a block with fewer words than ``need`` can't be found;
-* position: with k of the prefix words in the block, at most k + (the words behind the prefix) can match.
+* position: the template's words in the block and the template itself stand in the same order. Where the k-th common word is a
+  prefix word, k plus the words behind it can match, in the block or in the template, whichever has fewer left.
 
+Words of no template come first in that order, before the rarest word of a template, so they are never behind a common one.
 The frequencies are one pass over all texts, of which the driver gets one number for each word of the templates. Besides, fixed
 phrases are found wherever their words stand consecutively.
 
-Null and empty texts have no words and no labels. Texts are read whole. Repeated rows get equal results. Where words are
-equally frequent, their order is alphabetical.
+Null and empty texts have no words and no labels. Texts are read whole, however long, in chunks. Repeated rows get equal
+results, and an empty table an empty result. Where words are equally frequent, their order is alphabetical. Only doc_id and text
+are looked at, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -65,28 +68,39 @@ def vocabulary(templates=TEMPLATES) -> list[str]:
     return sorted({w for _, text in templates for w in text.split()})
 
 
-def _lookup(words: np.ndarray, hashes: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The number of each word in the vocabulary, or -1."""
-    at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
-    return np.where(hashes[at] == words, order[at], -1)
+class Numbers:
+    """Numbers of words: their places in a list."""
 
+    def __init__(self, words: list[str]):
+        hashes = np.array([_hash(w) for w in words], dtype=np.uint64)
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+        raw = [w.encode() for w in words]
+        self.ends = np.cumsum([len(w) for w in raw], dtype=np.int64)
+        self.starts = self.ends - np.array([len(w) for w in raw], dtype=np.int64)
+        self.body = np.frombuffer(b"".join(raw), dtype=np.uint8)
 
-def _sorted_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    hashes = np.array([_hash(w) for w in words], dtype=np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], order
+    def __call__(self, body: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each run of the body, or -1; equal hashes are looked at byte by byte."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        out = np.where(self.hashes[at] == hashes, self.order[at], -1)
+        hit = np.flatnonzero(out >= 0)
+        same = ft.equal(body, starts[hit], ends[hit], self.body, self.starts[out[hit]], self.ends[out[hit]])
+        out[hit[~same]] = -1
+        return out
 
 
 def frequencies(documents: DataFrame, templates=TEMPLATES) -> dict[str, int]:
     """How often each word of the templates stands in all texts."""
     words = vocabulary(templates)
-    hashes, order = _sorted_hashes(words)
+    numbers = Numbers(words)
 
     def counted(batches):
         total = np.zeros(len(words), dtype=np.int64)
         for batch in batches:
             for _, _, data, offsets in ft.chunks(ft.filled(batch.column("text"))):
-                found = _lookup(ft.hash_runs(ft.LOWER[data], *ft.runs(ft.WORD[data], offsets)), hashes, order)
+                body, runs = ft.LOWER[data], ft.runs(ft.WORD[data], offsets)
+                found = numbers(body, *runs, ft.hash_runs(body, *runs))
                 total += np.bincount(found[found >= 0], minlength=len(words))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["word", "n"])
@@ -106,19 +120,47 @@ class Index:
 
     def __post_init__(self):
         words = sorted(vocabulary(self.templates), key=lambda w: (self.count.get(w, 0), w))
-        self.hashes, self.order = _sorted_hashes(words)
+        self.numbers = Numbers(words)
+        self.size = len(words)
         number = {w: i for i, w in enumerate(words)}
         for label, text in self.templates:
             own = text.split()
             tokens = np.array(sorted({number[w] for w in own}))
             least = need(len(tokens))
-            member = np.zeros(len(words) + 1, dtype=bool)  # the last place is for words of no template
-            member[tokens] = True
-            prefix = np.zeros(len(words) + 1, dtype=bool)
-            prefix[tokens[: len(tokens) - least + 1]] = True
-            self.items.append((label, len(own), len(tokens), least, least - 1, member, prefix))
+            place = np.full(len(words), -1)  # of the template's words in its order
+            place[tokens] = np.arange(len(tokens))
+            self.items.append((label, len(own), len(tokens), least, place, (place >= 0) & (place < len(tokens) - least + 1)))
         self.spelled = [([_hash(w) for w in p.split()], p, label) for p, label in self.phrases]
 
+    def blocks(self, item, start: np.ndarray, end: np.ndarray, known: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Of blocks of words from start to end that hold a prefix word of the template: those that are found, how many of its words
+        each holds, and how many blocks there were and passed the length and the position filter.
+
+        known: places of the words of templates, ascending; token: their numbers.
+        """
+        _, _, size, least, place, prefix = item
+        passed = [len(start)]
+        keep = np.flatnonzero(end - start >= least)
+        passed.append(len(keep))
+        a, b = np.searchsorted(known, start[keep]), np.searchsorted(known, end[keep])
+        # the distinct words of templates in each block, in the global order
+        key = np.unique(np.repeat(np.arange(len(keep)), b - a) * self.size + token[ft.spread(a, b - a)])
+        block, word = key // self.size, key % self.size
+        last = np.searchsorted(block, np.arange(len(keep)), side="right")
+        common = place[word] >= 0
+        upto = np.cumsum(common)
+        before = np.concatenate([[0], upto])[np.searchsorted(block, np.arange(len(keep)))]
+        meets = np.flatnonzero(prefix[word])
+        of = block[meets]
+        behind = np.minimum(size - 1 - place[word[meets]], last[of] - 1 - meets)
+        bound = np.full(len(keep), size)
+        np.minimum.at(bound, of, upto[meets] - before[of] + behind)
+        live = bound >= least
+        passed.append(int(live.sum()))
+        held = np.bincount(block[common], minlength=len(keep))
+        found = np.flatnonzero(live & (held >= least))
+        return keep[found], held[found], passed
+
     def scan(self, texts: pa.Array):
         """Of each text: words, places of phrases, first and last place, labels of phrases, labels of templates, containment."""
         for low, high, data, offsets in ft.chunks(texts):
@@ -139,30 +181,20 @@ class Index:
                         places[row[i]].append((i - int(cut[row[i]]), label))
             labels: list[set[str]] = [set() for _ in range(high - low)]
             best = np.zeros(high - low)
-            token = _lookup(words, self.hashes, self.order)
+            token = self.numbers(body, starts, ends, words)
             known = np.flatnonzero(token >= 0)
             token = token[known]
-            for label, m, size, least, behind, member, prefix in self.items:
+            for item in self.items:
+                label, m, size, _, _, prefix = item
                 first = known[prefix[token]]
                 if not len(first):
                     continue
                 block = (first - cut[row[first]]) // m
-                where = np.concatenate([cut[row[first]] + block * m, (cut[row[first]] + (block - 1) * m)[block > 0]])
-                own = known[member[token]]
-                kind = token[member[token]]
-                for start in np.unique(where).tolist():
-                    r = row[start]
-                    end = min(start + 2 * m, int(cut[r + 1]))
-                    if end - start < least:
-                        continue  # length
-                    a, b = np.searchsorted(own, (start, end))
-                    inside = kind[a:b]
-                    if len(np.unique(inside[prefix[inside]])) + behind < least:
-                        continue  # position
-                    share = len(np.unique(inside)) / size
-                    if round(share * size) >= least:
-                        labels[r].add(label)
-                        best[r] = max(best[r], share)
+                start = np.unique(np.concatenate([cut[row[first]] + block * m, (cut[row[first]] + (block - 1) * m)[block > 0]]))
+                found, held, _ = self.blocks(item, start, np.minimum(start + 2 * m, cut[row[start] + 1]), known, token)
+                for r, n_held in zip(row[start[found]].tolist(), held.tolist(), strict=True):
+                    labels[r].add(label)
+                    best[r] = max(best[r], n_held / size)
             for i in range(high - low):
                 at = [p for p, _ in places[i]]
                 yield int(n[i]), len(at), min(at, default=None), max(at, default=None), {x for _, x in places[i]}, labels[i], float(best[i])
