@@ -6,18 +6,26 @@ written. Totals are the sums of all committed deltas, so they never need the tex
 
 Under one root, on any file system that Spark writes to: ``state/<attempt>`` what each document of a batch counts for now,
 ``deltas/<attempt>`` the batch's difference, ``commits/<number>`` the batch's id and attempt. A batch takes effect when its
-commit file comes into being, which is created exclusively; until then its files are ignored, so a job may die anywhere and be
-run again. A batch whose id is committed is not applied a second time, and of two writers with the same number the later one
-starts over from the other's state.
+commit file comes into being: it is written under another name and renamed, which fails if the number is taken. Until then
+the batch's files are ignored, so a job may die anywhere and be run again, and readers never see half a commit; files that
+aren't whole commits are passed over, and their numbers aren't used again. A batch whose id is committed is not applied a second
+time, and of two writers with the same number the later one starts over from the other's state. As with the checkpoints of
+streams, the file system's rename must be atomic.
+
+After every ``compact`` commits the state, the totals and the ids of all batches so far are written as a snapshot, which takes
+effect in the same way. Reading needs the latest snapshot and the commits behind it, so neither the plans nor the files that the
+driver opens grow with the number of batches. A job that dies while it makes a snapshot leaves the totals as they are.
 
 All rows of an id in a batch together are that document's state: repeated rows count as often as they come, and a later batch
-replaces them all. A null id is one document. Null and empty texts count as documents with no tokens. Null sources or
-languages are groups of their own. Unknown operations are an error. Totals that return to no documents aren't listed.
+replaces them all. A null id is one document. Null and empty texts count as documents with no tokens; texts are counted whole,
+however long. Null sources or languages are groups of their own. Unknown operations are an error. An empty batch is committed
+and changes nothing. Totals that return to no documents aren't listed. Other columns of a batch are not looked at.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 import uuid
 from functools import lru_cache
 
@@ -65,52 +73,129 @@ def counted(rows: DataFrame, path: str | None = None) -> DataFrame:
     return rows.mapInArrow(count, schema)
 
 
+_STATE = "doc_id long, source string, lang string, tokenizer string, version string, docs long, tokens long"
+_DELTA = "source string, lang string, tokenizer string, version string, docs long, tokens long"
+
+
 class Rollup:
     """Totals under a root folder. tokenizer and version name what ``ranks`` counts, and are dimensions of the totals."""
 
-    def __init__(self, spark: SparkSession, root: str, tokenizer: str = TOKENIZER, version: str = VERSION, ranks: str | None = None):
-        self.spark, self.root, self.tokenizer, self.version, self.ranks = spark, root.rstrip("/"), tokenizer, version, ranks
+    def __init__(self, spark: SparkSession, root: str, tokenizer: str = TOKENIZER, version: str = VERSION, ranks: str | None = None, compact: int = 16):
+        self.spark, self.root, self.tokenizer, self.version, self.ranks, self.compact = spark, root.rstrip("/"), tokenizer, version, ranks, compact
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def commits(self) -> list[tuple[int, str, str]]:
-        """(number, batch id, attempt) of the committed batches, in order."""
-        folder = self._path(f"{self.root}/commits")
-        if not self._fs.exists(folder):
-            return []
-        out = []
-        for status in self._fs.listStatus(folder):
-            stream = self._fs.open(status.getPath())
-            attempt, batch = bytes(stream.readAllBytes()).decode().split("\n", 1)
+    def _numbers(self, folder: str) -> list[int]:
+        """The numbers of the files of a folder, ascending."""
+        path = self._path(f"{self.root}/{folder}")
+        names = [s.getPath().getName() for s in self._fs.listStatus(path)] if self._fs.exists(path) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _read(self, name: str) -> str:
+        stream = self._fs.open(self._path(f"{self.root}/{name}"))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
             stream.close()
-            out.append((int(status.getPath().getName()), batch, attempt))
-        return sorted(out)
 
-    def _commit(self, number: int, batch: str, attempt: str) -> bool:
-        """Whether this writer's commit is the one with this number."""
-        path = self._path(f"{self.root}/commits/{number:09d}")
+    def _create(self, name: str, text: str) -> bool:
+        """Makes a file with its whole text, unless there is one of that name."""
+        target, draft = self._path(f"{self.root}/{name}"), self._path(f"{self.root}/drafts/{uuid.uuid4().hex}")
+        stream = self._fs.create(draft, False)
+        stream.write(text.encode())
+        stream.close()
+        self._fs.mkdirs(target.getParent())
+        if self._fs.exists(target):
+            self._fs.delete(draft, False)
+            return False
+        return self._renamed(draft, target)
+
+    def _renamed(self, draft, target) -> bool:
+        if self._fs.getScheme() == "file":  # its rename would replace a file
+            try:
+                os.link(draft.toUri().getPath(), target.toUri().getPath())
+            except FileExistsError:
+                return False
+            finally:
+                self._fs.delete(draft, False)
+            return True
+        jvm = self.spark._jvm
+        mode = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        mode[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
         try:
-            stream = self._fs.create(path, False)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, target, mode)
         except Exception:
-            if self._fs.exists(path):
+            if self._fs.exists(target):
+                self._fs.delete(draft, False)
                 return False
             raise
-        stream.write(f"{attempt}\n{batch}".encode())
-        stream.close()
         return True
 
-    def _state(self, commits) -> DataFrame | None:
-        """What each document counted for, by all commits; the row with the largest number is the latest."""
-        parts = [self.spark.read.parquet(f"{self.root}/state/{a}").withColumn("number", F.lit(n)) for n, _, a in commits]
-        out = parts[0] if parts else None
-        for p in parts[1:]:
-            out = out.unionByName(p)
+    def _snapshot(self) -> tuple[int, str | None]:
+        """The number of the last commit in the latest snapshot, and its folder."""
+        numbers = self._numbers("snapshots")
+        return (numbers[-1], f"{self.root}/compact/{self._read(f'snapshots/{numbers[-1]:09d}')}") if numbers else (0, None)
+
+    def _view(self) -> tuple[tuple[int, str | None], list[tuple[int, str, str]], int]:
+        """The latest snapshot, the (number, batch id, attempt) of the commits behind it in order, and the next free number."""
+        snapshot, out = self._snapshot(), []
+        numbers = self._numbers("commits")
+        for n in numbers:
+            if n > snapshot[0] and "\n" in (text := self._read(f"commits/{n:09d}")):
+                attempt, batch = text.split("\n", 1)
+                out.append((n, batch, attempt))
+        return snapshot, out, max([snapshot[0], *numbers]) + 1
+
+    def _commit(self, number: int, batch: str, attempt: str) -> bool:
+        """Whether this writer's commit is the one with this number."""
+        return self._create(f"commits/{number:09d}", f"{attempt}\n{batch}")
+
+    def committed(self, batch: str) -> bool:
+        """Whether the batch has taken effect."""
+        (_, folder), commits, _ = self._view()
+        if any(b == batch for _, b, _ in commits):
+            return True
+        return bool(folder) and self.spark.read.schema("batch string").parquet(f"{folder}/batches").where(F.col("batch") == batch).limit(1).count() > 0
+
+    def _state(self, snapshot, commits) -> DataFrame | None:
+        """What each document counted for; the row with the largest number is the latest."""
+        number, folder = snapshot
+        parts = [(number, f"{folder}/state")] if folder else []
+        parts += [(n, f"{self.root}/state/{a}") for n, _, a in commits]
+        out = None
+        for n, path in parts:
+            one = self.spark.read.schema(_STATE).parquet(path).withColumn("number", F.lit(n))
+            out = one if out is None else out.unionByName(one)
         return out
 
+    def _latest(self, state: DataFrame) -> DataFrame:
+        last = state.groupBy(F.col("doc_id").alias("id")).agg(F.max("number").alias("last"))
+        return state.join(last, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("number") == F.col("last"))).drop("id", "last")
+
+    def snapshot(self) -> bool:
+        """Writes state, totals and batch ids up to the last commit as one table each. False if another writer did."""
+        before, commits, _ = self._view()
+        if not commits:
+            return False
+        attempt = uuid.uuid4().hex
+        folder = f"{self.root}/compact/{attempt}"
+        latest = self._latest(self._state(before, commits)).where("docs > 0")
+        latest.select("doc_id", *DIMENSIONS, "docs", "tokens").write.parquet(f"{folder}/state")
+        self._deltas(before, commits).write.parquet(f"{folder}/totals")
+        batches = self.spark.createDataFrame([(b,) for _, b, _ in commits], "batch string")
+        if before[1]:
+            batches = batches.union(self.spark.read.schema("batch string").parquet(f"{before[1]}/batches"))
+        batches.write.parquet(f"{folder}/batches")
+        return self._create(f"snapshots/{commits[-1][0]:09d}", attempt)
+
+    def _deltas(self, snapshot, commits) -> DataFrame:
+        paths = ([f"{snapshot[1]}/totals"] if snapshot[1] else []) + [f"{self.root}/deltas/{a}" for _, _, a in commits]
+        rows = self.spark.read.schema(_DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], _DELTA)
+        return rows.groupBy(*DIMENSIONS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
+
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Applies a batch of (doc_id, op, source, lang, text), op being put or drop. False if it was committed already."""
-        commits = self.commits()
-        if any(b == batch for _, b, _ in commits):
+        if self.committed(batch):
             return False
         attempt = uuid.uuid4().hex
         op = F.when(F.col("op").isin("put", "drop"), F.col("op")).otherwise(F.raise_error(F.concat(F.lit("unknown operation: "), F.coalesce("op", F.lit("null")))))
@@ -123,36 +208,36 @@ class Rollup:
         now.write.parquet(f"{self.root}/state/{attempt}")
         now = self.spark.read.parquet(f"{self.root}/state/{attempt}")
         while True:
+            snapshot, commits, number = self._view()
             signed = now.select(*DIMENSIONS, "docs", "tokens")
-            if (before := self._state(commits)) is not None:
+            if (before := self._state(snapshot, commits)) is not None:
                 ids = now.select(F.col("doc_id").alias("id")).distinct()
-                before = before.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-                last = before.groupBy(F.col("doc_id").alias("id")).agg(F.max("number").alias("last"))
-                before = before.join(last, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("number") == F.col("last")))
+                before = self._latest(before.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"))
                 signed = signed.union(before.select(*DIMENSIONS, -F.col("docs"), -F.col("tokens")))
             delta = signed.groupBy(*DIMENSIONS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
             delta.write.mode("overwrite").parquet(f"{self.root}/deltas/{attempt}")
-            if self._commit((commits[-1][0] if commits else 0) + 1, batch, attempt):
+            if self._commit(number, batch, attempt):
+                if len(commits) + 1 >= self.compact:
+                    self.snapshot()
                 return True
-            commits = self.commits()
-            if any(b == batch for _, b, _ in commits):
+            if self.committed(batch):
                 return False
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, version, n_docs, n_tokens) by all committed deltas."""
-        paths = [f"{self.root}/deltas/{a}" for _, _, a in self.commits()]
-        schema = "source string, lang string, tokenizer string, version string, docs long, tokens long"
-        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-        return rows.groupBy(*DIMENSIONS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens")).where("n_docs <> 0 OR n_tokens <> 0")
+        return self._deltas(*self._view()[:2]).withColumnsRenamed({"docs": "n_docs", "tokens": "n_tokens"})
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of the documents table after a load of all rows, its repetition, the removal of some and their return."""
+    """Totals of the documents table after a load of all rows, its repetition, a revision of some texts, which makes them longer
+    and moves them to another source, the removal of half of these, and the return of all to what they were."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     rollup = Rollup(spark, shared_dir(spark, "token-counts"))
     some = documents.where("doc_id % 20 = 0")
+    revised = some.select("doc_id", F.concat(F.lit("revised "), F.coalesce("source", F.lit(""))).alias("source"), "lang", F.concat(F.coalesce("text", F.lit("")), F.lit(" as revised")).alias("text"))
     rollup.apply("load", documents.withColumn("op", F.lit("put")))
     rollup.apply("load", documents.withColumn("op", F.lit("put")))
-    rollup.apply("removal", some.withColumn("op", F.lit("drop")))
+    rollup.apply("revision", revised.withColumn("op", F.lit("put")))
+    rollup.apply("removal", some.where("doc_id % 40 = 0").withColumn("op", F.lit("drop")))
     rollup.apply("return", some.withColumn("op", F.lit("put")))
     return rollup.totals()

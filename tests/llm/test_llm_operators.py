@@ -166,12 +166,76 @@ def test_rollup(spark, tmp_path):
     assert totals() == {("b", "en"): (1, n("a revised text")), ("b", None): (1, 0)}
     assert r.apply("z", frame((1, "drop", None, None, None), (3, "drop", None, None, None))) and totals() == {}
     assert r.apply("w", frame((2, "put", "a", "en", "four"))) and totals() == {("a", "en"): (1, n("four"))}
-    commit = r._commit
-    assert not commit(4, "other", "attempt")  # the number is taken
+    assert not r._commit(4, "other", "attempt")  # the number is taken
     with pytest.raises(Exception, match="unknown operation"):
         r.apply("v", frame((1, "copy", "a", "en", "x")))
 
 
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["before the commit", "while the commit is drafted", "after the commit", "while the snapshot is made"])
+def test_rollup_killed(spark, tmp_path, monkeypatch, step):
+    frame = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, op string, source string, lang string, text string")
+    r = rollup.Rollup(spark, str(tmp_path / "r"), compact=2)
+    totals = lambda: {(x.source, x.lang): x.n_docs for x in r.totals().collect()}
+    assert r.apply("x", frame((1, "put", "a", "en", "one"), (2, "put", "a", "en", "two")))
+    second = frame((1, "put", "b", "en", "one"), (3, "put", "a", "de", "three"))
+
+    def killed(*_, **__):
+        raise Killed
+
+    with monkeypatch.context() as m, pytest.raises(Killed):
+        if step == "before the commit":
+            m.setattr(r, "_commit", killed)
+        elif step == "while the commit is drafted":
+            m.setattr(r, "_renamed", killed)
+        elif step == "after the commit":
+            m.setattr(r, "snapshot", killed)
+        else:
+            create = r._create
+            m.setattr(r, "_create", lambda name, text: killed() if name.startswith("snapshots") else create(name, text))
+        r.apply("y", second)
+    committed = step in ("after the commit", "while the snapshot is made")
+    after = {("a", "en"): 1, ("b", "en"): 1, ("a", "de"): 1}
+    assert totals() == (after if committed else {("a", "en"): 2})
+    assert r.apply("y", second) is not committed and not r.apply("x", frame()) and totals() == after
+    assert r.apply("z", frame((1, "drop", None, None, None))) and not r.apply("y", second)
+    assert totals() == {("a", "en"): 1, ("a", "de"): 1}
+
+
+def test_rollup_files_of_dead_writers(spark, tmp_path):
+    frame = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, op string, source string, lang string, text string")
+    r = rollup.Rollup(spark, str(tmp_path / "r"))
+    assert r.apply("x", frame((1, "put", "a", "en", "one")))
+    (tmp_path / "r/commits/000000002").write_text("")
+    assert [x.n_docs for x in r.totals().collect()] == [1]
+    assert r.apply("y", frame((2, "put", "a", "en", "two"))) and not r.apply("y", frame((2, "put", "a", "en", "two")))
+    assert [x.n_docs for x in r.totals().collect()] == [2]
+
+
+def test_rollup_of_two_writers(spark, tmp_path, monkeypatch):
+    """Another writer commits a batch between a writer's look at the state and its commit."""
+    frame = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, op string, source string, lang string, text string")
+    one, other = (rollup.Rollup(spark, str(tmp_path / "r"), compact=3) for _ in range(2))
+    commit, waiting = one._commit, ["p", "q"]
+
+    def late(*args):
+        if waiting:
+            assert other.apply(waiting.pop(), frame((1, "put", "b", "en", "by the other")))
+        return commit(*args)
+
+    monkeypatch.setattr(one, "_commit", late)
+    assert one.apply("mine", frame((1, "put", "a", "en", "one"), (2, "put", "a", "en", "two")))
+    assert {(x.source, x.n_docs) for x in one.totals().collect()} == {("a", 2)}
+    monkeypatch.undo()
+    for i in range(7):  # through several snapshots
+        assert one.apply(f"more {i}", frame((i % 3, "put", f"s{i}", "en", "text " * i)))
+    assert {x.source: x.n_docs for x in other.totals().collect()} == {"s6": 1, "s4": 1, "s5": 1}
+    assert not other.apply("mine", frame((1, "put", "a", "en", "one"))) and len(other._view()[1]) < 3
+
+
 def held_out(spark, name, label):
     rows = queries.QUERIES[name](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").collect()
     s, y = np.array([r.score for r in rows]), np.array([r[label] for r in rows])
