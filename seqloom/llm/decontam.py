@@ -6,12 +6,17 @@ are joined, and around each hit the item is laid over the document on the hit's
 passage if, in some window of ``WINDOW`` aligned words (of the whole item, if that is shorter), at least ``SHARE`` of the
 words are equal. So words that were replaced don't hide a passage, wherever the masks' ignored positions meet them.
 
-Words are compared by a 64-bit hash. The first pass only makes (document, item, diagonal) rows, the second lays items over
-the documents that have some. The benchmark's seeds, and then the places found, are broadcast if their counted size is within
-``BROADCAST_BYTES``; else those joins are dealt by hash.
+The masks lose nothing: whichever words of a window that counts differ, one of its masks meets equal words somewhere in it
+(the tests go through all cases). Which masks do so depends on the number of words; an item is indexed under those of its
+size, and the texts under the masks of the sizes that the benchmark has. Items of up to 4 words are found whole only.
 
-Null and empty texts contain nothing. Items with fewer words than the shortest mask can't be found. Repeated rows of a
-document are one result; a null doc_id is a document of its own. An empty table gives an empty result.
+Words are compared by a 64-bit hash. The first pass only makes (document, item, diagonal) rows, the second splits the texts of
+the documents that have some, once each, and lays the items over the words. The benchmark's seeds, and then the places found,
+are broadcast if their counted size is within ``BROADCAST_BYTES``; else those joins are dealt by hash.
+
+Null and empty texts contain nothing, and items without a word aren't contained in any. Texts are read whole, however long.
+Repeated rows of a document are one result, and so are all texts of one doc_id; a null doc_id is a document of its own. An
+empty table gives an empty result. Of the tables, only doc_id and text, and item_id and text, are looked at.
 """
 
 from __future__ import annotations
@@ -21,31 +26,38 @@ from pyspark.sql import functions as F
 
 from .tables import BROADCAST_BYTES, fitting, free_name, table, written
 
-#: Of pairs of masks with weight 6, these find 99.8 % of windows of 20 words with 4 random replacements.
-MASKS = ("111100101", "10111011")
+#: Masks by the least number of words of the items that they serve.
+MASKS = {13: ("110111", "111101"), 5: ("1101", "1011"), 4: ("1111",), 3: ("111",), 2: ("11",), 1: ("1",)}
 WINDOW = 20
 SHARE = 0.8
 
 _SPLIT = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
-def _seeds(words: str) -> str:
-    """The seeds of all places, one mask after the other; the mask's length keeps the masks apart."""
+def masks_of(words: int) -> tuple[str, ...]:
+    """The masks that an item of so many words is indexed under."""
+    return MASKS[max(n for n in MASKS if n <= words)]
+
+
+def _sized(words: str) -> str:
+    """The class of an item by its number of words: the key of its masks."""
+    return "CASE " + " ".join(f"WHEN size({words}) >= {n} THEN {n}" for n in sorted(MASKS, reverse=True)) + " END"
+
+
+def _seeds(masks: list[str]) -> str:
+    """The seeds of place p; the mask itself keeps masks apart. A mask that goes beyond the words has none."""
     parts = []
-    for mask in MASKS:
-        kept = ", ".join(f"{words}[p + {i}]" for i, c in enumerate(mask) if c == "1")
-        parts.append(f"CASE WHEN size({words}) >= {len(mask)} THEN transform(sequence(0, size({words}) - {len(mask)}), p -> xxhash64({len(mask)}, {kept})) ELSE array() END")
-    return f"concat({', '.join(parts)})"
+    for mask in masks:
+        kept = ", ".join(f"words[p + {i}]" for i, c in enumerate(mask) if c == "1")
+        parts.append(f"CASE WHEN p <= n - {len(mask)} THEN xxhash64('{mask}', {kept}) END")
+    return f"array({', '.join(parts)})"
 
 
-def _exploded(rows: DataFrame, key: str, words: str, at: str) -> DataFrame:
-    """(key, at, h) of every seed."""
-    rows = rows.select(key, F.size(words).alias("n"), F.posexplode(F.expr(_seeds(words))).alias("i", "h"))
-    start, place = "0", "i"
-    for before, mask in zip(MASKS, MASKS[1:], strict=False):
-        start = f"{start} + greatest(n - {len(before) - 1}, 0)"
-        place = f"CASE WHEN i >= {start} THEN i - ({start}) ELSE {place} END"
-    return rows.select(key, F.expr(place).alias(at), "h")
+def _exploded(rows: DataFrame, key: str, masks: list[str], at: str) -> DataFrame:
+    """(key, at, h) of every seed of rows (key, words)."""
+    rows = rows.withColumn("n", F.size("words")).where(F.col("n") >= min(map(len, masks)))
+    rows = rows.select(key, "words", "n", F.explode(F.expr(f"sequence(0, n - {min(map(len, masks))})")).alias("p"))
+    return rows.select(key, F.col("p").alias(at), F.explode(F.expr(_seeds(masks))).alias("h")).where("h IS NOT NULL")
 
 
 def _small(df: DataFrame, rows: int, width: int) -> DataFrame:
@@ -57,16 +69,26 @@ def passages(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     n_places: diagonals on which it does; n_equal of n_window words are equal in the best window.
     """
-    items = written(benchmark.select("item_id", F.expr(f"transform(filter(split(lower(text), '{_SPLIT}'), w -> w <> ''), w -> xxhash64(w))").alias("item")).where(F.size("item") > 0).distinct(), "items")
-    n_items, n_words = items.agg(F.count("*"), F.coalesce(F.sum(F.size("item")), F.lit(0))).first()
-    seeds = _small(_exploded(items, "item_id", "item", "q"), n_words * len(MASKS), 64)
+    items = benchmark.select("item_id", F.expr(f"transform(filter(split(lower(text), '{_SPLIT}'), w -> w <> ''), w -> xxhash64(w))").alias("item")).where(F.size("item") > 0).distinct()
+    items = written(items.withColumn("masks", F.expr(_sized("item"))), "items")
+    sizes = items.groupBy("masks").agg(F.count("*").alias("items"), F.sum(F.size("item")).alias("words")).collect()
+    n_items, n_words = sum(r["items"] for r in sizes), sum(r["words"] for r in sizes)
+    present = sorted({m for r in sizes for m in MASKS[r["masks"]]}) or ["1"]
+    seeds = [_exploded(items.where(F.col("masks") == r["masks"]).select("item_id", F.col("item").alias("words")), "item_id", list(MASKS[r["masks"]]), "q") for r in sizes]
+    seeds = seeds or [_exploded(items.select("item_id", F.col("item").alias("words")), "item_id", present, "q")]
+    for more in seeds[1:]:
+        seeds[0] = seeds[0].union(more)
+    seeds = _small(seeds[0], 2 * n_words, 64)
+    # the empty string before a separator that a text begins with, or after its last one, is a word that no item has
     words = F.expr(f"transform(split(lower(coalesce(text, '')), '{_SPLIT}'), w -> xxhash64(w))")
-    met = _exploded(documents.select("doc_id", words.alias("words")), "doc_id", "words", "p").join(seeds, "h")
+    met = _exploded(documents.select("doc_id", words.alias("words")), "doc_id", present, "p").join(seeds, "h")
     places = written(met.select("doc_id", "item_id", F.expr("p - q").alias("diagonal")).distinct(), "places")
 
-    found = _small(places.withColumnRenamed("doc_id", "id"), places.count(), 64)
-    rows = documents.select("doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
-    rows = rows.withColumn("words", words).drop("text").join(_small(items, n_items * 16 + n_words * 8, 1), "item_id")
+    found = _small(places.select(F.col("doc_id").alias("id")).distinct(), places.count(), 48)
+    rows = documents.select("doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    rows = rows.select("doc_id", words.alias("words")).distinct().withColumnRenamed("doc_id", "id")
+    rows = rows.join(_small(places, places.count(), 64), F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
+    rows = rows.join(_small(items.drop("masks"), n_items * 16 + n_words * 8, 1), "item_id")
     laid = "transform(item, (w, i) -> CASE WHEN diagonal + i >= 0 AND diagonal + i < size(words) AND words[diagonal + i] = w THEN 1 ELSE 0 END)"
     window = f"least({WINDOW}, size(equal))"
     best = f"array_max(transform(sequence(0, size(equal) - {window}), i -> aggregate(slice(equal, i + 1, {window}), 0, (a, x) -> a + x)))"
@@ -79,8 +101,11 @@ def passages(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_passages(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that hold no passage of the benchmark, all columns unchanged."""
-    key = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("hash"))
+    """The rows of ``documents`` that hold no passage of the benchmark, all columns unchanged.
+
+    Rows are told apart by doc_id and text, so a clean text under the id of another one stays.
+    """
+    key = F.struct("doc_id", F.xxhash64("text").alias("hash"))
     own = free_name(documents, "found_in")
     found = written(passages(documents.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(own)).distinct(), "contaminated")
     return documents.join(fitting(found, 48), F.col(own).eqNullSafe(key), "left_anti")
@@ -90,27 +115,20 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _sql_seeds(rows: str, words: str, at: str) -> str:
-    parts = []
-    for m, mask in enumerate(MASKS):
-        kept = ", ".join(f"{words}[{at} + {i + 1}]" for i, c in enumerate(mask) if c == "1")
-        parts.append(f"SELECT *, {m} AS m, [{kept}] AS h FROM (SELECT *, unnest(range(0, len({words}) - {len(mask)} + 1)) AS {at} FROM {rows})")
-    return " UNION ALL ".join(parts)
-
-
 _RE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The places that may hold an item, by the same masks over the words themselves.
-_PLACES = f"""
+#: Every diagonal on which enough words are equal, without seeds: each equal word of a document and an item is a point of its
+#: diagonal, a window of an item that counts has SHARE of its words there, and so has the item at least ``least`` points.
+_HITS = f"""
 items AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(text), '{_RE}'), lambda w: w <> '') AS item FROM benchmark),
-words AS (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '{_RE}') AS words FROM {{documents}}),
-item_seeds AS ({_sql_seeds("items", "item", "q")}),
-word_seeds AS ({_sql_seeds("words", "words", "p")}),
-places AS (SELECT DISTINCT doc_id, words, item_id, item, p - q AS diagonal FROM word_seeds JOIN item_seeds USING (h, m)),
-laid AS (SELECT doc_id, item_id, diagonal, list_transform(range(0, len(item)), lambda i: CASE WHEN diagonal + i >= 0 AND diagonal + i < len(words) AND words[diagonal + i + 1] = item[i + 1] THEN 1 ELSE 0 END) AS eq FROM places),
-judged AS (SELECT doc_id, item_id, diagonal, len(eq) AS item_words, least({WINDOW}, len(eq)) AS n_window,
-  list_max(list_transform(range(0, len(eq) - least({WINDOW}, len(eq)) + 1), lambda i: list_sum(list_slice(eq, i + 1, i + least({WINDOW}, len(eq)))))) AS n_equal FROM laid),
+item_words AS (SELECT item_id, unnest(item) AS w, unnest(range(0, len(item))) AS q, len(item) AS m FROM items),
+words AS (SELECT DISTINCT doc_id, string_split_regex(lower(coalesce(text, '')), '{_RE}') AS words FROM {{documents}}),
+doc_words AS (SELECT DISTINCT doc_id, hash(words) AS text_hash, unnest(words) AS w, unnest(range(0, len(words))) AS p FROM words),
+points AS (SELECT doc_id, text_hash, item_id, p - q AS diagonal, m, q FROM doc_words JOIN item_words USING (w)),
+lines AS (SELECT doc_id, text_hash, item_id, diagonal, m, list(DISTINCT q) AS qs FROM points GROUP BY ALL HAVING count(DISTINCT q) >= ceil({SHARE} * least({WINDOW}, m))),
+judged AS (SELECT doc_id, item_id, diagonal, m AS item_words, least({WINDOW}, m) AS n_window,
+  list_max(list_transform(range(0, m - least({WINDOW}, m) + 1), lambda i: len(list_filter(qs, lambda q: q >= i AND q < i + least({WINDOW}, m))))) AS n_equal FROM lines),
 hits AS (SELECT doc_id, item_id, diagonal, max(n_equal) AS n_equal, max(n_window) AS n_window, max(item_words) AS item_words FROM judged WHERE n_equal >= ceil({SHARE} * n_window) GROUP BY ALL)"""
 
 
 def sql_of(documents: str = "documents") -> str:
-    return f"WITH {_PLACES.format(documents=documents)} SELECT doc_id, item_id, CAST(count(*) AS BIGINT) AS n_places, CAST(max(n_equal) AS BIGINT) AS n_equal, CAST(max(n_window) AS BIGINT) AS n_window, CAST(max(item_words) AS BIGINT) AS item_words FROM hits GROUP BY doc_id, item_id"
+    return f"WITH {_HITS.format(documents=documents)} SELECT doc_id, item_id, CAST(count(*) AS BIGINT) AS n_places, CAST(max(n_equal) AS BIGINT) AS n_equal, CAST(max(n_window) AS BIGINT) AS n_window, CAST(max(item_words) AS BIGINT) AS item_words FROM hits GROUP BY doc_id, item_id"
