@@ -12,7 +12,8 @@ product, and only counts and spanning edges leave it. A link that several cells
 the least key, or else as a distinct pair.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of different
-lengths or rows with a null vec_id. Repeated rows count as vectors of their own. An empty table gives an empty result.
+lengths or rows with a null vec_id. Repeated rows count as vectors of their own. An empty table gives an empty result. Only
+vec_id and embedding are looked at, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -178,17 +179,17 @@ def links(classes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
-    rows = embeddings.select("vec_id", F.expr(f"CASE WHEN {usable('embedding')} THEN embedding END").alias("embedding"))
-    classes = rows.where("embedding IS NOT NULL").groupBy("embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("rep"))
+    # equal vectors share a class, known by 128 bits, so that vectors themselves are shuffled once
+    usable_rows = embeddings.where(usable("embedding")).select("vec_id", "embedding", F.xxhash64("embedding").alias("h"), F.xxhash64(F.lit(SEED), "embedding").alias("g"))
+    classes = usable_rows.groupBy("h", "g", "embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("rep"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
     counts, edges = links(classes.select("cid", "n", "embedding"), threshold)
-    named = classes.select("cid", "n", "rep").join(components(edges).withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    named = classes.select("cid", "h", "g", "n", "rep").join(components(edges).withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    result = named.join(ids, "component").join(counts, "cid", "left").select("cid", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    result = classes.select("cid", "embedding").join(result, "cid").drop("cid")
-    component = F.coalesce("component_id", "vec_id")
-    out = rows.join(result, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    result = named.join(ids, "component").join(counts, "cid", "left").select("h", "g", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), "component_id")
+    linked = usable_rows.select("vec_id", "h", "g").join(result, ["h", "g"]).select("vec_id", "n_links", "component_id")
+    alone = embeddings.where(f"NOT coalesce({usable('embedding')}, false)").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
