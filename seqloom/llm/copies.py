@@ -10,7 +10,8 @@ first compared with one of them, and then with each other where their components
 compared before whole sets are fetched: of 640 bits, 64 differ on the average at 0.8, and more than ``BITS`` about once in a
 million pairs at that similarity, less often above. No key is left out, however many sets it has.
 
-Null and empty texts, and texts of white space, have the empty set and are copies of each other.
+Words and shingles are compared by 64-bit hashes. Null and empty texts, and texts of white space, have the empty set and are
+copies of each other. Texts are read whole, however long. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ same pair whatever the word is. A feature's value is its share of the text's fea
 sum for each text: a sparse dot product, without sorting.
 
 Nulls and empty texts have no features and get the intercept's score. Repeated rows get equal scores. With no usable
-label, or labels of one kind only, every score is that share of positive labels (0.5 with none).
+label, or labels of one kind only, every score is that share of positive labels (0.5 with none). An empty table gives an empty
+result. Texts are read whole, however long, in chunks. Only doc_id and text are looked at, and doc_id and quality of the
+labels, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -116,7 +118,8 @@ def vectors_of(texts: pa.Array, bits: int = BITS) -> list[tuple[np.ndarray, np.n
 
 
 def train(documents: DataFrame, labels: DataFrame, *, bound: int = FIT_ROWS, bits: int = BITS) -> Model:
-    """Fits on at most ``bound`` labelled rows; executors make the sparse vectors, the driver only gets those."""
+    """Fits on at most ``bound`` labelled rows of ``tables.FIT_BYTES`` at most together; executors make the sparse vectors, the
+    driver only gets those."""
     chosen = label_sample(labels, "quality", 3, 1, bound)
     rows = sample_texts(documents, chosen)
 

@@ -11,7 +11,8 @@ under one such key differ from it by one bit each, which bounds a group by 66 ro
 of a group are listed and nothing is capped.
 
 Null and empty texts, and texts of white space, have fingerprint zero and are linked like any other. A null doc_id is never
-the smallest id of a component unless all its ids are null. Repeated rows come back as often as they came.
+the smallest id of a component unless all its ids are null. Repeated rows come back as often as they came. An empty table gives
+an empty result. Texts are read whole, however long. Only doc_id and text are looked at, whatever other columns there are.
 """
 
 from __future__ import annotations

@@ -88,8 +88,24 @@ def label_sample(labels: DataFrame, label: str, modulus: int, held: int, bound:
     )
 
 
-def sample_texts(documents: DataFrame, chosen: DataFrame) -> DataFrame:
+#: UTF-8 bytes of the texts that a model is fitted on, at most.
+FIT_BYTES = 48 << 20
+
+
+def sample_texts(documents: DataFrame, chosen: DataFrame, most: int = FIT_BYTES) -> DataFrame:
     """(doc_id, label, text) of a label sample: one row for each id, the least text of repeated ones, so that the sample's
-    bound holds however often an id is repeated. The ids are broadcast."""
+    bound holds however often an id is repeated. The ids are broadcast.
+
+    Texts are whole; in the order of a hash of the id they are taken while their bytes are at most ``most`` together, and one
+    that goes beyond that is passed over.
+    """
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = written(rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "sample")
+    sizes = rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    total, over = 0, []
+    for r in sizes:
+        if total + r["size"] <= most:
+            total += r["size"]
+        else:
+            over.append(r["doc_id"])
+    return rows.where(~F.col("doc_id").isin(over)) if over else rows

@@ -9,7 +9,9 @@ log-odds, later ones by the network itself, and the calibration uses labelled ro
 Scoring computes the input part of the gates once for each distinct word of a chunk, then steps all windows together.
 
 Nulls and texts without a word have no window and get the lowest score that the model gives. Repeated rows get equal scores.
-With no usable label, or labels of one kind only, every score is that share of toxic labels (0 with none).
+With no usable label, or labels of one kind only, every score is that share of toxic labels (0 with none). An empty table gives
+an empty result. Texts are scored whole, however long, in chunks; a text is fitted on whole or not at all. Only doc_id and text
+are looked at, and doc_id and toxic of the labels, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ SLICE = 1 << 15
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes, and of each word its start, end and hash."""
+    """Lower-cased bytes, and of each word its start, end and hash; words with equal hashes count as one word."""
     low = ft.LOWER[data]
     starts, ends = ft.runs(ft.WORD[data], offsets)
     return low, starts, ends, ft.hash_runs(low, starts, ends)
@@ -394,7 +396,8 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(documents: DataFrame, labels: DataFrame, *, bound: int = FIT_ROWS) -> Network:
-    """Fits on at most ``bound`` labelled rows, which go to the driver; their ids are broadcast to find their texts."""
+    """Fits on at most ``bound`` labelled rows of ``tables.FIT_BYTES`` at most together, which go to the driver; their ids are
+    broadcast to find their texts."""
     chosen = label_sample(labels, "toxic", 4, 2, bound)
     rows = sample_texts(documents, chosen).toArrow().sort_by("doc_id")
     net = fit(ft.filled(rows["text"]), rows["label"].to_numpy())

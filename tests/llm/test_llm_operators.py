@@ -1,8 +1,11 @@
 """Operators against brute force, libraries, SQL and held-out labels."""
 
+import itertools
 import random
 import re
+import time
 
+import brute
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -153,6 +156,102 @@ def test_substitutions(spark):
     assert sorted(r.doc_id for r in decontam.without_passages(docs, items).collect()) == [3]
 
 
+def test_masks_lose_nothing():
+    """Whichever words of a window differ, a mask of its class meets equal words in it."""
+    for n in range(1, decontam.WINDOW + 1):
+        differing = n - -(-int(10 * decontam.SHARE) * n // 10)
+        for gone in itertools.combinations(range(n), differing):
+            equal = [i not in gone for i in range(n)]
+            assert any(all(equal[p + i] for i, c in enumerate(m) if c == "1") for m in decontam.masks_of(n) for p in range(n - len(m) + 1)), (n, gone)
+
+
+def test_short_items(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(30)]
+    docs, items = [], []
+    for n in range(1, 15):
+        item = rng.choices(words, k=n)
+        items.append((n, " ".join(item)))
+        for differing in range(4):
+            own = [f"x{i}" if i in rng.sample(range(n), min(differing, n)) else w for i, w in enumerate(item)]
+            docs.append((len(docs), " ".join(rng.choices(words, k=5) + own + rng.choices(words, k=5))))
+    wanted = {(i, k): len(d) for i, t in docs for k, item in items if (d := brute.passages(t, item))}
+    got = decontam.passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.n_places for r in got.collect()} == wanted and {k for _, k in wanted} == set(range(1, 15))
+
+
+def test_a_clean_text_under_the_id_of_another(spark):
+    passage = " ".join(f"word{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, passage), (1, "a clean text"), (None, passage), (None, "clean too"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(9, passage)], "item_id long, text string")
+    assert sorted(map(str, (r.text for r in decontam.without_passages(docs, items).collect()))) == ["None", "a clean text", "clean too"]
+
+
+def test_blocks_of_languages(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(7):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 6)
+        rows += [(f"l{i}", " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(rng.randint(1, 9)))) for _ in range(20)]
+    rows += [("l1", None), ("l1", "123"), ("l2", ""), (None, "abc def")]
+    docs = spark.createDataFrame([(i % 130, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string")
+    whole, parts = langid.train(docs), langid.train(docs, block=2)
+    assert len(whole) == 1 and len(parts) == 4 and {n for i in range(4) for n in parts.model(i).languages} == {f"l{i}" for i in range(7)}
+    of = lambda learned: sorted((-1 if r.doc_id is None else r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.predict(docs, learned).collect())
+    assert of(whole) == of(parts) and len(of(parts)) == len(rows) and sum(x[1] == "und" for x in of(parts)) == 3
+
+
+def test_license_filters(monkeypatch):
+    """The filters prune and lose nothing: every block is looked at without them."""
+    texts = [r[0] for r in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet'").fetchall()]
+    index, passed, blocks = license_scan.Index({}), np.zeros(3, dtype=int), license_scan.Index.blocks
+
+    def counted(self, item, start, end, known, token):
+        found, held, n = blocks(self, item, start, end, known, token)
+        passed[:] += n
+        _, _, _, least, place, _ = item
+        slow = [(i, len({w for w in token[(known >= a) & (known < b)].tolist() if place[w] >= 0})) for i, (a, b) in enumerate(zip(start, end)) if i % 5 == 0]
+        assert {i: n for i, n in zip(found.tolist(), held.tolist()) if i % 5 == 0} == {i: n for i, n in slow if n >= least}
+        return found, held, n
+
+    monkeypatch.setattr(license_scan.Index, "blocks", counted)
+    rows = list(index.scan(flattext.filled(pa.array(texts))))
+    assert len(rows) == len(texts) and passed[0] > passed[1] > 100 * passed[2] > 0
+
+
+def test_long_texts_take_their_length():
+    own = pii.model()
+    for text in ("1" * 10**6, "1." * 500000, "1" * 999999 + ".", "+" + "1 " * 500000 + "(", "a@" * 500000):
+        began = time.time()
+        pii.all_spans(text, own)
+        assert time.time() - began < 30
+    assert pii.base_spans("9" * 1000 + ".1.2.3 1.2.3.4.5.6.7.8 01.002.3.255x") == brute_spans("9" * 1000 + ".1.2.3 1.2.3.4.5.6.7.8 01.002.3.255x")
+
+
+def test_words_with_equal_hashes():
+    sign = "0"
+    while len(sign) < 1024:
+        sign += sign.translate({48: "1", 49: "0"})
+    a, b = sign.translate({48: "a", 49: "b"}), sign.translate({48: "b", 49: "a"})
+    raw = np.frombuffer((a + b).encode(), dtype=np.uint8)
+    assert len(set(flattext.hash_runs(raw, np.array([0, 1024]), np.array([1024, 2048])).tolist())) == 1
+    rng = random.Random(5)
+    mixed = ["".join(rng.choice(["a", "b", "é", "日", "я", "1", "😀", "ab"]) for _ in range(rng.randint(200, 3000))) for _ in range(20)]
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece.default_model())
+    texts = [f"{a} {b}", f"{b} {a} {a} {b}", a + b, *mixed, " ".join(mixed)]
+    ids, back = encoded(texts)
+    assert ids == [sp.encode(t, add_eos=True) for t in texts] and back == texts
+
+
+def test_bytes_of_a_sample(spark):
+    from seqloom.llm.tables import sample_texts
+
+    docs = spark.createDataFrame([(i, "x" * (1000 if i == 3 else 10)) for i in range(20)], "doc_id long, text string")
+    chosen = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, label int")
+    got = {r.doc_id for r in sample_texts(docs, chosen, 100).collect()}
+    assert len(got) == 10 and 3 not in got and sample_texts(docs, chosen).count() == 20
+
+
 def test_rollup(spark, tmp_path):
     frame = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, op string, source string, lang string, text string")
     r = rollup.Rollup(spark, str(tmp_path / "r"))

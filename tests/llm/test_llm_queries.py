@@ -1,15 +1,18 @@
 """Queries that SQL can't express, against brute force over whole small tables."""
 
 import hashlib
+import zlib
 from collections import Counter
 
+import brute
 import duckdb
 import numpy as np
 import pytest
 import sentencepiece
 from brute import brute_spans, united
 
-from seqloom.llm import pii, piece, queries, rollup, simhash
+import corpus_pipeline
+from seqloom.llm import langid, pii, piece, quality, queries, rollup, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,11 +78,46 @@ def test_simhash(spark, texts):
 
 @pytest.mark.parametrize("name", ["op4_quality", "op5_toxicity", "op9_language"])
 def test_scores(spark, texts, name):
-    import zlib
-
+    """Scores by the learned model, one n-gram or one window at a time."""
     modulus, held = {"op4_quality": (3, 1), "op5_toxicity": (4, 2), "op9_language": (5, 0)}[name]
-    got = run(spark, name)
-    assert len(got) == len(texts) and all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % modulus == held) for r in got)
-    if name != "op9_language":
-        limit = 0.5 if name == "op4_quality" else 0.3
-        assert all(r.predicted == int(r.score >= limit) for r in got)
+    got = {r.doc_id: r for r in run(spark, name)}
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    assert set(got) == set(texts) and all(r.held_out == (zlib.crc32(str(i).encode()) % modulus == held) for i, r in got.items())
+    if name == "op9_language":
+        model = langid.train(docs.where("crc32(cast(doc_id as string)) % 5 <> 0")).model(0)
+        for i, t in texts.items():
+            wanted = brute.language(model, t)
+            assert got[i].lang_pred == wanted[0] and abs(got[i].score - wanted[1]) < 1e-6
+        return
+    model = quality.train(docs, labels) if name == "op4_quality" else toxicity.train(docs, labels)
+    for i, t in texts.items():
+        assert got[i].predicted == int(got[i].score >= (0.5 if name == "op4_quality" else 0.3))
+        if name == "op4_quality":
+            assert abs(got[i].score - brute.quality(model, t)) < 1e-6
+        else:
+            assert abs(got[i].score - brute.toxicity(model, t)) < 1e-3
+
+
+def test_decontamination(spark, texts):
+    items = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
+    wanted = {(i, k): len(d) for i, t in texts.items() for k, item in items if (d := brute.passages(t, item))}
+    assert {(r.doc_id, r.item_id): r.n_places for r in run(spark, "op8_decontaminate")} == wanted and wanted
+
+
+def test_pipeline(spark, texts):
+    """Each stage by brute force, after another."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    net, sp = toxicity.train(docs, labels), sentencepiece.SentencePieceProcessor(model_file=piece.default_model())
+    left = {i: t for i, t in texts.items() if brute.toxicity(net, t) < 0.3}
+    assert 0 < len(left) < len(texts)
+    sets = {i: brute.shingles(t) for i, t in left.items()}
+    root = brute.united(sorted(left), lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]))
+    singles = {i: t for i, t in left.items() if root[i] == i}
+    items = duckdb.sql(f"SELECT text FROM '{SF}/benchmark.parquet'").fetchall()
+    clean = {i: t for i, t in singles.items() if not any(brute.passages(t, item) for (item,) in items)}
+    assert len(clean) < len(singles) < len(left)
+    wanted = {}
+    for i, t in clean.items():
+        base = brute.brute_spans(t)
+        wanted[i] = sp.encode(pii.redacted(t, pii.in_order(base + pii.model().added(t, base))), add_eos=True)
+    assert {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, SF).collect()} == wanted
