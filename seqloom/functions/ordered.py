@@ -19,14 +19,19 @@ def _bucketed(rows: DataFrame, order: str, buckets: int) -> DataFrame:
     return rows.withColumn("_bucket", F.coalesce(sum(above, F.lit(0)), F.lit(0)))
 
 
-def running_sums(rows: DataFrame, order: str, values: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """rows with before_<value>: the sum of the value over all rows with a lesser ``order``, which has to be distinct and numeric."""
+def running_sums(rows: DataFrame, order: str, values: list[str], buckets: int = BUCKETS, by: str | None = None) -> DataFrame:
+    """rows with before_<value>: the sum of the value over all rows with a lesser ``order``, which has to be distinct and numeric.
+
+    by: a column of groups, each of which has its own sums and distinct orders; a group is cut into buckets like the whole, so a
+    large one isn't a window of its own. The groups' bucket sums are broadcast, so it is meant for a few thousand groups.
+    """
+    keys = [by] if by else []
     cut = _bucketed(rows, order, buckets)
-    sums = cut.groupBy("_bucket").agg(*(F.sum(v).alias(v) for v in values))
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_bucket", *(F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_{v}") for v in values))
-    within = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = cut.join(F.broadcast(offsets), "_bucket")
+    sums = cut.groupBy(*keys, "_bucket").agg(*(F.sum(v).alias(v) for v in values))
+    earlier = (Window.partitionBy(by) if by else Window).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_bucket", *(F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_{v}") for v in values))
+    within = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.join(F.broadcast(offsets), [*keys, "_bucket"])
     for v in values:
         out = out.withColumn(f"before_{v}", F.coalesce(F.sum(v).over(within), F.lit(0)) + F.col(f"_{v}"))
     return out.drop("_bucket", *(f"_{v}" for v in values))

@@ -37,6 +37,18 @@ def count(sequences: DataFrame, k: int) -> DataFrame:
     return kmers_only(sequences, k).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
+#: Bytes of hashes that may be broadcast; more are joined by a shuffle, before which Spark's own Bloom filters apply.
+BROADCAST_BYTES = 64 << 20
+
+
+def sharing(sequences: DataFrame, others: DataFrame, k: int) -> DataFrame:
+    """(seq_id) of the sequences with a k-mer that others have, compared by 64-bit hashes. Those of the others are counted, and
+    broadcast if they fit."""
+    theirs = explode(others, k).select(F.xxhash64("kmer").alias("h")).distinct()
+    theirs = F.broadcast(theirs) if theirs.count() * 16 <= BROADCAST_BYTES else theirs
+    return explode(sequences, k).select("seq_id", F.xxhash64("kmer").alias("h")).join(theirs, "h", "left_semi").select("seq_id").distinct()
+
+
 def entropy(sequences: DataFrame, k: int) -> DataFrame:
     """(seq_id, n, bits): windows of each sequence and the entropy of its k-mers; at most 4**k rows a sequence are shuffled."""
     counts = explode(sequences, k).groupBy("seq_id", "kmer").agg(F.count("*").alias("c"))
@@ -109,9 +121,14 @@ def with_background(counts: DataFrame, model: DataFrame, k: int, order: int) ->
     return counts.crossJoin(F.broadcast(as_map)).withColumn("p", p).drop("model")
 
 
-def over_represented(counts: DataFrame, model: DataFrame, k: int, order: int, limit: int) -> DataFrame:
-    """The k-mers with the greatest ratio of observed to expected counts, of those above it: (kmer, n, expected, odds)."""
+def represented(counts: DataFrame, model: DataFrame, k: int, order: int) -> DataFrame:
+    """The k-mers that are more frequent than expected: (kmer, n, expected, odds), odds being the ratio."""
     total = counts.agg(F.sum("n").alias("total"))
     scored = with_background(counts, model, k, order).crossJoin(F.broadcast(total))
     scored = scored.withColumn("expected", F.col("p") * F.col("total")).withColumn("odds", F.col("n") / F.col("expected"))
-    return scored.where("n > expected").select("kmer", "n", F.round("expected", 6).alias("expected"), F.round("odds", 6).alias("odds")).orderBy(F.desc("odds"), "kmer").limit(limit)
+    return scored.where("n > expected").select("kmer", "n", F.round("expected", 6).alias("expected"), F.round("odds", 6).alias("odds"))
+
+
+def over_represented(counts: DataFrame, model: DataFrame, k: int, order: int, limit: int) -> DataFrame:
+    """Those with the greatest ratio."""
+    return represented(counts, model, k, order).orderBy(F.desc("odds"), "kmer").limit(limit)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +21,8 @@ def roc(scored: DataFrame) -> DataFrame:
 def auc(scored: DataFrame, by: str | None = None) -> DataFrame:
     """(by, n_pos, n_neg, auc) from the rank sum of the positives, without a loop over scores."""
     keys = [by] if by else []
-    if by is None:
-        steps = scored.groupBy("score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-        ranked = ordered.running_sums(steps, "score", ["n"])
-    else:  # a group's distinct scores are one window partition
-        from pyspark.sql import Window
-
-        steps = scored.groupBy(by, "score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-        before = Window.partitionBy(by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-        ranked = steps.withColumn("before_n", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    steps = scored.groupBy(*keys, "score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
+    ranked = ordered.running_sums(steps, "score", ["n"], by=by)
     ranked = ranked.withColumn("rank", F.col("before_n") + (F.col("n") + 1) / 2)
     sums = ranked.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum(F.col("n") - F.col("pos")).alias("n_neg"), F.sum(F.col("pos") * F.col("rank")).alias("s"))
     return sums.select(*keys, "n_pos", "n_neg", ((F.col("s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
@@ -95,13 +86,8 @@ def chi_square(histogram: DataFrame, bins: int, first: int, last: int) -> DataFr
 
 def kolmogorov(values: DataFrame, value: str, by: str) -> DataFrame:
     """(by, n, ks): the largest distance of a group's values in [0, 1] from the uniform distribution, on both sides of each step."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(by).orderBy(value)
-    steps = values.groupBy(by, value).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("_c").over(Window.partitionBy(by))
-    rows = steps.select(by, F.col(value).alias("_v"), (upto / total).alias("_hi"), ((upto - F.col("_c")) / total).alias("_lo"), total.alias("_n"))
-    return rows.groupBy(by).agg(F.max("_n").alias("n"), F.max(F.greatest(F.abs(F.col("_hi") - F.col("_v")), F.abs(F.col("_lo") - F.col("_v")))).alias("ks"))
-
-
+    steps = values.groupBy(by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    total = steps.groupBy(by).agg(F.sum("_c").alias("_n"))
+    rows = ordered.running_sums(steps, "_v", ["_c"], by=by).join(F.broadcast(total), by)
+    low, high = F.col("before__c") / F.col("_n"), (F.col("before__c") + F.col("_c")) / F.col("_n")
+    return rows.groupBy(by).agg(F.max("_n").alias("n"), F.max(F.greatest(F.abs(high - F.col("_v")), F.abs(low - F.col("_v")))).alias("ks"))

@@ -59,51 +59,71 @@ def both_strands(codes: np.ndarray, motif: Motif) -> tuple[np.ndarray, np.ndarra
     return np.maximum(forward, backward), backward > forward
 
 
-def scan(sequences: DataFrame, motifs: list[Motif], threshold: float | dict[str, float] | None = None, best_only: bool = False, chunk: int = 1 << 20) -> DataFrame:
+LOCATED = f"{HITS}, width int, seq_len int, weight double"
+
+
+def _tiles(offsets: np.ndarray, width: int, chunk: int):
+    """(first row, row after the last, first place, place after the last window's start) of runs of sequences of about ``chunk``
+    letters, and of parts of a longer sequence; the windows that begin in a part may end behind it."""
+    low, n = 0, len(offsets) - 1
+    while low < n:
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + chunk, side="right")) - 1)
+        for start in range(int(offsets[low]), int(offsets[high]), chunk) if high == low + 1 else (int(offsets[low]),):
+            yield low, high, start, min(start + chunk, int(offsets[high])) if high == low + 1 else int(offsets[high])
+        low = high
+
+
+def _best(row: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The places in the lists of each row's greatest value, the first of equal ones."""
+    order = np.lexsort((at, -value, row))
+    return order[np.concatenate([[True], row[order][1:] != row[order][:-1]])] if len(order) else order
+
+
+def scan(sequences: DataFrame, motifs: list[Motif], threshold: float | dict[str, float] | None = None, best_only: bool = False, located: bool = False, chunk: int = 1 << 20) -> DataFrame:
     """(seq_id, motif, pos, reverse, score) of the windows that score at least the threshold.
 
-    best_only: the best window of each sequence and motif only, the first and forward one of equal ones. The motifs are
-    broadcast with the function; they are a few hundred numbers each.
+    best_only: the best window of each sequence and motif only, the first and forward one of equal ones. located: with the
+    motif's width and the sequence's length and weight, which is a column of ``sequences`` then. The motifs are broadcast with
+    the function; they are a few hundred numbers each. Sequences are scanned in parts of about ``chunk`` letters, so memory
+    doesn't grow with the length of a sequence.
     """
     least = threshold if isinstance(threshold, dict) else {m.name: -np.inf if threshold is None else threshold for m in motifs}
 
+    def windows(codes, offsets, m):
+        """(row, place, score, reverse) of a batch's hits, a part at a time."""
+        for low, high, start, stop in _tiles(offsets, len(m), chunk):
+            part = codes[start : min(stop + len(m) - 1, int(offsets[high]))]
+            value, reverse = both_strands(part, m)
+            at = np.flatnonzero(value[: stop - start] >= least[m.name])
+            row = low + np.searchsorted(offsets[low : high + 1], at + start, side="right") - 1
+            inside = at + start + len(m) <= offsets[row + 1]
+            at, row = at[inside], row[inside]
+            if best_only:
+                lead = _best(row, at, value[at])
+                at, row = at[lead], row[lead]
+            if len(at):
+                yield row, at + start, value[at], reverse[at]
+
     def found(batches):
         for batch in batches:
             codes, offsets = numbered(batch.column("seq"))
             ids = batch.column("seq_id").to_numpy(zero_copy_only=False)
-            low = 0
-            while low < len(ids):
-                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + chunk, side="right")) - 1)
-                part, cut = codes[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
-                for m in motifs:
-                    value, reverse = both_strands(part, m)
-                    at = np.flatnonzero(value >= least[m.name])
-                    row = np.searchsorted(cut, at, side="right") - 1
-                    inside = at + len(m) <= cut[row + 1]
-                    at, row = at[inside], row[inside]
-                    if best_only and len(at):
-                        order = np.lexsort((at, -value[at], row))
-                        lead = np.concatenate([[True], row[order][1:] != row[order][:-1]])
-                        at, row = at[order][lead], row[order][lead]
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(ids[low:high][row]), pa.array([m.name] * len(at)), pa.array((at - cut[row]).astype(np.int32)), pa.array(reverse[at]), pa.array(value[at])], ["seq_id", "motif", "pos", "reverse", "score"]
-                        )
-                low = high
-
-    return sequences.select("seq_id", "seq").mapInArrow(found, HITS)
-
-
-def scan_plan(sequences: DataFrame, motif_table: DataFrame) -> DataFrame:
-    """The same scores of the forward strand as a plan of built-in operators: windows, columns, a join and a sum.
-
-    Four rows of the motif table for each column, and as many rows as bases times columns: the form to read, not to run.
-    """
-    width = motif_table.groupBy("motif").agg((F.max("col") + 1).alias("width"))
-    at = sequences.join(F.broadcast(width)).where(F.length("seq") >= F.col("width"))
-    at = at.select("seq_id", "seq", "motif", "width", F.explode(F.expr("sequence(0, length(seq) - width)")).alias("pos"))
-    cells = at.select("seq_id", "motif", "pos", F.posexplode(F.split(F.substring("seq", F.col("pos") + 1, F.col("width")), "")).alias("col", "base")).where("base <> ''")
-    return cells.join(F.broadcast(motif_table), ["motif", "col", "base"]).groupBy("seq_id", "motif", "pos").agg(F.round(F.sum("logw"), 9).alias("score"))
+            for m in motifs:
+                parts = windows(codes, offsets, m)
+                if best_only and (every := list(parts)):  # parts of one sequence have a best window each
+                    joined = [np.concatenate(x) for x in zip(*every, strict=True)]
+                    lead = _best(joined[0], joined[1], joined[2])
+                    parts = [[x[lead] for x in joined]]
+                for row, at, value, reverse in parts:
+                    columns = [pa.array(ids[row]), pa.array([m.name] * len(at)), pa.array((at - offsets[row]).astype(np.int32)), pa.array(reverse), pa.array(value)]
+                    names = ["seq_id", "motif", "pos", "reverse", "score"]
+                    if located:
+                        columns += [pa.array(np.full(len(at), len(m), dtype=np.int32)), pa.array(np.diff(offsets)[row].astype(np.int32)), batch.column("weight").take(pa.array(row))]
+                        names += ["width", "seq_len", "weight"]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    columns = ["seq_id", "seq", F.col("weight").cast("double").alias("weight")] if located else ["seq_id", "seq"]
+    return sequences.select(*columns).mapInArrow(found, LOCATED if located else HITS)
 
 
 def best_hits(hits: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ from ..sources import motif_files, sinks, text
 from ..sources.corpus import sequences, table
 from .model_queries import LIBRARY, UNIFORM, model_rows
 from .registry import over_seqs, query, rc, windows
-from .scan_queries import HITS, MOTIFS, SCORED, best, hits
-from .scratch import folder
+from .scan_queries import HITS, MOTIFS, SCORED, best, hits, shared
+from .scratch import folder, kept
 from .sequence_queries import model_sql
 
 
@@ -24,13 +24,11 @@ def s01(spark, sf_dir):
     return text.fasta(spark, path).select("name", F.md5("seq").alias("seq_md5"), F.length("seq").alias("len"))
 
 
-@query("s03_clean_controls", over_seqs("SELECT count(*) AS n FROM seqs WHERE seq_id NOT IN (SELECT seq_id FROM kmers30 JOIN (SELECT DISTINCT substr(seq, p + 1, 30) AS kmer FROM (SELECT seq, unnest(range(0, length(seq) - 29)) AS p FROM (SELECT regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM benchmark))) USING (kmer))", windows(30)))
+@query("s03_clean_controls", over_seqs("SELECT seq_id, md5(seq) AS seq_md5 FROM seqs WHERE seq_id NOT IN (SELECT seq_id FROM kmers30 JOIN (SELECT DISTINCT substr(seq, p + 1, 30) AS kmer FROM (SELECT seq, unnest(range(0, length(seq) - 29)) AS p FROM (SELECT regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM benchmark))) USING (kmer))", windows(30)))
 def s03(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), text.clean(F.col("text")).alias("seq"))
     seqs = sequences(spark, sf_dir)
-    h = lambda rows: kmers.explode(rows, 30).select("seq_id", F.xxhash64("kmer").alias("h"))
-    shared = h(seqs).join(h(items).select("h").distinct(), "h", "left_semi").select("seq_id").distinct()
-    return seqs.join(shared, "seq_id", "left_anti").agg(F.count("*").alias("n"))
+    left = seqs.join(shared(spark, sf_dir, seqs, 30), "seq_id", "left_anti")
+    return left.select("seq_id", F.md5("seq").alias("seq_md5"))
 
 
 @query("s04_intensities", over_seqs("SELECT substr(seq, 1, 35) AS seq, round(weight / avg(weight) OVER (), 6) AS weight FROM seqs"))
@@ -45,7 +43,7 @@ def s08(spark, sf_dir):
     path = folder(spark)
     rows = table(spark, sf_dir, "embeddings").select(F.array_join(F.concat(F.array(F.col("vec_id").cast("string")), F.transform("embedding", lambda x: F.round(x, 6).cast("double").cast("string"))), "\t"))
     rows.write.text(path)
-    signal = text.matrix(spark, path).select(F.col("values")[0].cast("long").alias("seq_id"), F.slice("values", 2, 1 << 20).alias("values"))
+    signal = text.matrix(spark, path).select(F.col("values")[0].cast("long").alias("seq_id"), F.slice(F.col("values"), F.lit(2), F.size("values")).alias("values"))
     return text.signal_bins(signal, 8).select(F.col("seq_id").alias("vec_id"), "bin", F.round("total", 4).alias("total"))
 
 
@@ -66,7 +64,7 @@ def s23(spark, sf_dir):
 @query("s25_answers", over_seqs("SELECT seq_id, CAST(pos AS BIGINT) AS pos FROM hits WHERE motif = 'm2'", *HITS))
 def s25(spark, sf_dir):
     path = folder(spark)
-    hits(spark, sf_dir).where("motif = 'm2'").select(F.concat_ws("\t", "motif", F.lit("site"), F.col("seq_id").cast("string"), F.col("pos").cast("string"))).write.text(path)
+    hits(spark, sf_dir, "m2").select(F.concat_ws("\t", "motif", F.lit("site"), F.col("seq_id").cast("string"), F.col("pos").cast("string"))).write.text(path)
     return text.answers(spark, path)
 
 
@@ -87,7 +85,7 @@ def s29(spark, sf_dir):
 @query("k05_position_file", over_seqs("SELECT substr(q.seq, pos + 1, 6) AS site, CAST(h.seq_id AS VARCHAR) AS seq, CAST(pos AS INTEGER) AS pos, CASE WHEN reverse THEN '-' ELSE '+' END AS strand FROM hits h JOIN seqs q ON q.seq_id = h.seq_id WHERE motif = 'm1'", *HITS))
 def k05(spark, sf_dir):
     path = folder(spark)
-    sinks.write_positions(hits(spark, sf_dir).where("motif = 'm1'"), sequences(spark, sf_dir), 6, path)
+    sinks.write_positions(hits(spark, sf_dir, "m1"), sequences(spark, sf_dir), 6, path)
     return spark.read.option("sep", "\t").option("header", True).csv(path).select("site", "seq", F.col("pos").cast("int").alias("pos"), "strand")
 
 
@@ -165,7 +163,7 @@ def a27(spark, sf_dir):
     """How unlikely it is that so many hits of one motif lie near hits of another by chance."""
     from ..operators import positions
 
-    found = hits(spark, sf_dir).select("motif", "seq_id", "pos")
+    found = kept(hits(spark, sf_dir).select("motif", "seq_id", "pos"))
     total = sequences(spark, sf_dir).agg(F.sum(F.length("seq"))).first()[0] or 1
     n = {r["motif"]: r["n"] for r in found.groupBy("motif").agg(F.count("*").alias("n")).collect()}
     rows = []
@@ -189,7 +187,7 @@ _ANSWERS = "answers AS (SELECT seq_id, pos FROM hits WHERE motif = 'm1'), predic
     ),
 )
 def a32(spark, sf_dir):
-    found = hits(spark, sf_dir)
+    found = kept(hits(spark, sf_dir, "m1", "m3"))
     rows = search.verification(found.where("motif = 'm1'"), found.where("motif = 'm3'").withColumn("list_id", F.col("reverse")), 5)
     return rows.select("list_id", "n_predicted", "n_found", "n_answers", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import dna, ordered, special
 from ..operators import background, cluster, em, kmers, metrics, motifs, positions, sampling, scan, thresholds
 from ..operators.motifs import Motif
-from ..sources.corpus import sequences, table
+from ..sources.corpus import letters, sequences, table
 from .registry import over_seqs, query, rc, windows
 from .scan_queries import BEST, HITS, LABELLED, MOTIFS, SCORED, best, hits, labelled
+from .scratch import kept
 from .sequence_queries import model_sql
 
 #: Motifs to compare with each other.
@@ -140,12 +141,10 @@ def e03(spark, sf_dir):
     """The probability that a sequence holds a site at all: window ratios normalised within each sequence."""
     m = MOTIFS[0]
     seqs = sequences(spark, sf_dir).select("seq_id", "seq")
-    forward = one_strand(seqs, m)
-    backward = one_strand(seqs, m.reverse_complement())
-    n = seqs.select("seq_id", (F.length("seq") - len(m) + 1).alias("places"))
-    rows = forward.union(backward).join(n, "seq_id")
-    ratio = 0.25 / F.col("places") * F.exp(F.least(F.col("score") - len(m) * F.log(F.lit(0.25)), F.lit(em.CAP)))
-    return rows.groupBy("seq_id").agg(F.sum(ratio).alias("s")).select("seq_id", F.round(F.col("s") / (0.5 + F.col("s")), 6).alias("p"))
+    rows = one_strand(seqs, m).union(one_strand(seqs, m.reverse_complement()))
+    odds = F.exp(F.least(F.col("score") - len(m) * F.log(F.lit(0.25)), F.lit(em.CAP)))
+    sums = rows.groupBy("seq_id").agg((F.sum(odds) * 0.25 / (F.count("*") / 2)).alias("s"))  # as many windows on each strand
+    return sums.select("seq_id", F.round(F.col("s") / (0.5 + F.col("s")), 6).alias("p"))
 
 
 def one_strand(seqs, motif):
@@ -162,14 +161,14 @@ def one_strand(seqs, motif):
 )
 def e04(spark, sf_dir):
     """The cut-off that separates labels best: prefix sums over the ranking instead of a scan for each cut-off."""
-    rows = metrics.roc(labelled(spark, sf_dir).where("motif = 'm2'").select("score", "label")).withColumn("gain", F.col("tpr") - F.col("fpr"))
+    rows = metrics.roc(kept(labelled(spark, sf_dir, "m2").select("score", "label"))).withColumn("gain", F.col("tpr") - F.col("fpr"))
     top = rows.orderBy(F.desc(F.round("gain", 9)), F.desc("score")).limit(1)
     return top.select(F.round("score", 6).alias("score"), F.col("tp").alias("n_pos"), F.col("fp").alias("n_neg"), F.round("gain", 6).alias("gain"))
 
 
 @query("e05_log_odds_sums", over_seqs("SELECT motif, round(sum(score - width * ln(0.25)), 4) AS total, round(max(score - width * ln(0.25)), 6) AS top FROM best GROUP BY motif", *BEST))
 def e05(spark, sf_dir):
-    found = best(spark, sf_dir)
+    found = kept(best(spark, sf_dir))
     rows = None
     for m in MOTIFS:
         part = em.log_odds_by_sequence(found.where(F.col("motif") == m.name), len(m))
@@ -180,8 +179,8 @@ def e05(spark, sf_dir):
 @query("e09_mixing_share")
 def e09(spark, sf_dir):
     """The share of sequences with a site, by Newton steps on an aggregate."""
-    rows = best(spark, sf_dir).where("motif = 'm1'").select(F.exp(F.col("score") - 6 * F.log(F.lit(0.25))).alias("ratio"))
-    return spark.createDataFrame([("m1", em.mixing_share(rows, "ratio"))], "motif string, share double")
+    rows = best(spark, sf_dir, "m1").select(F.exp(F.col("score") - 6 * F.log(F.lit(0.25))).alias("ratio"))
+    return spark.createDataFrame([("m1", em.mixing_share(kept(rows), "ratio"))], "motif string, share double")
 
 
 @query("e10_negative_binomial", "SELECT doc_id, round(lgamma(n_chars + 5.0) - lgamma(n_chars + 1.0) - lgamma(5.0) + 5 * ln(0.002) + n_chars * ln(0.998), 4) AS logp FROM documents")
@@ -275,7 +274,7 @@ def t08(spark, sf_dir):
 
 def overlaps(spark, sf_dir):
     rows = positions.spaced(hits(spark, sf_dir), ["motif", "seq_id"], "pos", 5).select("motif", "seq_id", "pos")
-    return positions.overlap_ratio(rows, 5).collect()
+    return positions.overlap_ratio(kept(rows), 5).collect()
 
 
 @query("c01_greedy_clusters")
@@ -321,7 +320,7 @@ def c07(spark, sf_dir):
 
 @query("c09_similar_sequences")
 def c09(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), letters("text").alias("seq"))
     return cluster.similar_sequences(items, 10, 2)
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import dna, ordered, stats
 from ..operators import kmers, metrics, positions, scan
 from ..operators.motifs import Motif
-from ..sources.corpus import sequences, table
+from ..sources.corpus import letters, sequences, table
 from .registry import over_seqs, query, rc, windows
+from .scratch import kept
 
 #: Small motifs that the queries scan with.
 MOTIFS = [Motif.of_consensus("m1", "TAATTA"), Motif.of_consensus("m2", "GATNATC"), Motif.of_consensus("m3", "ANRTTAAY")]
@@ -35,24 +36,24 @@ HITS = (*SCORED, f"hits AS (SELECT s.*, length(q.seq) AS seq_len, q.weight FROM
 BEST = (*SCORED, "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq_id, motif ORDER BY score DESC, pos, reverse) AS k FROM scored) WHERE k = 1)")
 
 
-def hits(spark, sf_dir):
-    return scan.scan(sequences(spark, sf_dir), MOTIFS, THRESHOLD)
+def hits(spark, sf_dir, *names):
+    """Hits of all motifs, or of those with the names."""
+    return scan.scan(sequences(spark, sf_dir), [m for m in MOTIFS if not names or m.name in names], THRESHOLD)
 
 
 def located(spark, sf_dir):
     """hits with the motif's width and the sequence's length and weight."""
-    width = F.create_map(*(x for m in MOTIFS for x in (F.lit(m.name), F.lit(len(m)))))[F.col("motif")]
-    seqs = sequences(spark, sf_dir).select("seq_id", F.length("seq").alias("seq_len"), "weight")
-    return hits(spark, sf_dir).withColumn("width", width).join(seqs, "seq_id")
+    return scan.scan(sequences(spark, sf_dir), MOTIFS, THRESHOLD, located=True)
 
 
-def best(spark, sf_dir):
-    return scan.scan(sequences(spark, sf_dir), MOTIFS, None, best_only=True)
+def best(spark, sf_dir, *names, located=False):
+    """The best window of each sequence and motif."""
+    return scan.scan(sequences(spark, sf_dir), [m for m in MOTIFS if not names or m.name in names], None, best_only=True, located=located)
 
 
-def labelled(spark, sf_dir):
+def labelled(spark, sf_dir, *names):
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("seq_id"), F.col("quality").alias("label"))
-    return best(spark, sf_dir).join(labels, "seq_id")
+    return best(spark, sf_dir, *names).join(labels, "seq_id")
 
 
 LABELLED = (*BEST, "labelled AS (SELECT b.*, l.quality AS label FROM best b JOIN labels l ON l.doc_id = b.seq_id)")
@@ -92,7 +93,7 @@ def t01(spark, sf_dir):
 
 @query("j13_strand_union", over_seqs("SELECT motif, reverse, count(*) AS n, count(DISTINCT seq_id) AS n_seqs FROM hits GROUP BY motif, reverse", *HITS))
 def j13(spark, sf_dir):
-    found = hits(spark, sf_dir)
+    found = kept(hits(spark, sf_dir))
     both = found.where(~F.col("reverse")).unionByName(found.where("reverse"))
     return both.groupBy("motif", "reverse").agg(F.count("*").alias("n"), F.countDistinct("seq_id").alias("n_seqs"))
 
@@ -143,10 +144,11 @@ def a16(spark, sf_dir):
 @query("f07_bias_significance")
 def f07(spark, sf_dir):
     """Whether position, rank and strand are biased: chi-square tails of few numbers, on the driver."""
-    place = {r["motif"]: r["chi2"] for r in metrics.chi_square(metrics.position_histogram(located(spark, sf_dir), 10), 10, 1, 9).collect()}
+    found = kept(located(spark, sf_dir).drop("weight"))
+    place = {r["motif"]: r["chi2"] for r in metrics.chi_square(metrics.position_histogram(found, 10), 10, 1, 9).collect()}
     counts = ranked_bins(spark, sf_dir).groupBy("motif", "bin").agg(F.count("*").cast("double").alias("n"))
     rank = {r["motif"]: r["chi2"] for r in metrics.chi_square(counts, 10, 0, 9).collect()}
-    strand = {r["motif"]: (r["n"], r["back"]) for r in hits(spark, sf_dir).groupBy("motif").agg(F.count("*").alias("n"), F.count_if("reverse").alias("back")).collect()}
+    strand = {r["motif"]: (r["n"], r["back"]) for r in found.groupBy("motif").agg(F.count("*").alias("n"), F.count_if("reverse").alias("back")).collect()}
     rows = []
     for m in MOTIFS:
         n, back = strand.get(m.name, (0, 0))
@@ -160,7 +162,7 @@ _CORR = "round(corr({0}, {1}), 6)"
 
 @query("a17_pearson", over_seqs(f"SELECT motif, {_CORR.format('score', 'weight')} AS pearson FROM best JOIN seqs USING (seq_id) GROUP BY motif", *BEST))
 def a17(spark, sf_dir):
-    rows = best(spark, sf_dir).join(sequences(spark, sf_dir).select("seq_id", "weight"), "seq_id")
+    rows = best(spark, sf_dir, located=True)
     return rows.groupBy("motif").agg(F.round(F.corr("score", "weight"), 6).alias("pearson"))
 
 
@@ -172,7 +174,7 @@ _AVG_RANK = "(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1
     over_seqs(f"SELECT 'm1' AS motif, {_CORR.format('x', 'y')} AS spearman FROM (SELECT {_AVG_RANK.format('score')} AS x, {_AVG_RANK.format('weight')} AS y FROM best JOIN seqs USING (seq_id) WHERE motif = 'm1')", *BEST),
 )
 def a18(spark, sf_dir):
-    rows = scan.scan(sequences(spark, sf_dir), MOTIFS[:1], None, best_only=True).join(sequences(spark, sf_dir).select("seq_id", "weight"), "seq_id")
+    rows = kept(best(spark, sf_dir, "m1", located=True).select("score", "weight"))
     return metrics.spearman(rows, "score", "weight").select(F.lit("m1").alias("motif"), F.round("spearman", 6).alias("spearman"))
 
 
@@ -205,7 +207,7 @@ _AUC = "(sum(CASE WHEN label = 1 THEN r ELSE 0 END) - sum(label) * (sum(label) +
     over_seqs(f"SELECT motif, CAST(sum(label) AS BIGINT) AS n_pos, CAST(sum(1 - label) AS BIGINT) AS n_neg, round({_AUC}, 6) AS auc FROM (SELECT motif, label, rank() OVER (PARTITION BY motif ORDER BY score) + (count(*) OVER (PARTITION BY motif, score) - 1) / 2.0 AS r FROM labelled) GROUP BY motif", *LABELLED),
 )
 def a21(spark, sf_dir):
-    return metrics.auc(labelled(spark, sf_dir).select("motif", "score", "label"), "motif").withColumn("auc", F.round("auc", 6))
+    return metrics.auc(kept(labelled(spark, sf_dir).select("motif", "score", "label")), "motif").withColumn("auc", F.round("auc", 6))
 
 
 @query(
@@ -213,7 +215,7 @@ def a21(spark, sf_dir):
     over_seqs("SELECT round(score, 6) AS score, CAST(sum(p) OVER w AS BIGINT) AS tp, CAST(sum(n) OVER w AS BIGINT) AS fp, round(sum(p) OVER w / sum(p) OVER (), 6) AS tpr, round(sum(n) OVER w / sum(n) OVER (), 6) AS fpr FROM (SELECT score, sum(label) AS p, sum(1 - label) AS n FROM labelled WHERE motif = 'm1' GROUP BY score) WINDOW w AS (ORDER BY score DESC)", *LABELLED),
 )
 def a21_roc(spark, sf_dir):
-    rows = metrics.roc(labelled(spark, sf_dir).where("motif = 'm1'").select("score", "label"))
+    rows = metrics.roc(kept(labelled(spark, sf_dir, "m1").select("score", "label")))
     return rows.select(F.round("score", 6).alias("score"), "tp", "fp", F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
 
 
@@ -243,13 +245,13 @@ def a23(spark, sf_dir):
     ),
 )
 def a24(spark, sf_dir):
-    row = metrics.confusion(labelled(spark, sf_dir).where("motif = 'm2'").select("score", "label"), -5.0)
+    row = metrics.confusion(labelled(spark, sf_dir, "m2").select("score", "label"), -5.0)
     return row.select("tp", "fp", "tn", "fn", *(F.round(c, 6).alias(c) for c in ("sn", "spc", "ppv", "asp", "cc")))
 
 
 @query("a24_hypergeometric")
 def a24_hypergeometric(spark, sf_dir):
-    row = metrics.confusion(labelled(spark, sf_dir).where("motif = 'm2'").select("score", "label"), -5.0).first()
+    row = metrics.confusion(labelled(spark, sf_dir, "m2").select("score", "label"), -5.0).first()
     return spark.createDataFrame([("m2", metrics.hypergeometric(row))], "motif string, p double")
 
 
@@ -306,19 +308,19 @@ def w09(spark, sf_dir):
 
 @query("j07_range_proximity", over_seqs("SELECT a.seq_id, CAST(a.pos AS INTEGER) AS a, CAST(b.pos AS INTEGER) AS b FROM hits a JOIN hits b ON a.seq_id = b.seq_id AND abs(a.pos - b.pos) <= 5 WHERE a.motif = 'm1' AND b.motif = 'm2'", *HITS))
 def j07(spark, sf_dir):
-    found = hits(spark, sf_dir)
+    found = kept(hits(spark, sf_dir, "m1", "m2"))
     return positions.near(found.where("motif = 'm1'"), found.where("motif = 'm2'"), "seq_id", "pos", 5)
 
 
 @query("j06_greedy_proximity")
 def j06(spark, sf_dir):
-    found = hits(spark, sf_dir)
+    found = kept(hits(spark, sf_dir, "m1", "m2"))
     return positions.greedy(found.where("motif = 'm1'"), found.where("motif = 'm2'"), "seq_id", "pos", 5)
 
 
 @query("a25_overlap_ratio")
 def a25(spark, sf_dir):
-    return positions.overlap_ratio(positions.spaced(hits(spark, sf_dir), ["motif", "seq_id"], "pos", 5).select("motif", "seq_id", "pos"), 5)
+    return positions.overlap_ratio(kept(positions.spaced(hits(spark, sf_dir), ["motif", "seq_id"], "pos", 5).select("motif", "seq_id", "pos")), 5)
 
 
 @query("j14_prior_lookup", over_seqs("SELECT motif, seq_id, CAST(pos AS INTEGER) AS pos, round(score + ln(0.05 * (1 + (pos * 20 // seq_len) % 2)), 6) AS score FROM hits", *HITS))
@@ -331,7 +333,7 @@ def j14(spark, sf_dir):
 
 @query("a34_kolmogorov", over_seqs("SELECT motif, CAST(max(t) AS BIGINT) AS n, round(max(greatest(abs(hi - v), abs(lo - v))), 6) AS ks FROM (SELECT motif, v, sum(c) OVER w / sum(c) OVER (PARTITION BY motif) AS hi, (sum(c) OVER w - c) / sum(c) OVER (PARTITION BY motif) AS lo, sum(c) OVER (PARTITION BY motif) AS t FROM (SELECT motif, pos / seq_len AS v, count(*) AS c FROM hits GROUP BY ALL) WINDOW w AS (PARTITION BY motif ORDER BY v)) GROUP BY motif", *HITS))
 def a34(spark, sf_dir):
-    rows = located(spark, sf_dir).withColumn("v", F.col("pos") / F.col("seq_len"))
+    rows = kept(located(spark, sf_dir).select("motif", (F.col("pos") / F.col("seq_len")).alias("v")))
     return metrics.kolmogorov(rows, "v", "motif").select("motif", "n", F.round("ks", 6).alias("ks"))
 
 
@@ -373,11 +375,11 @@ def a31(spark, sf_dir):
 @query("t06_quantile_threshold", over_seqs("SELECT motif, round(min(score), 6) AS threshold FROM (SELECT motif, score, row_number() OVER (PARTITION BY motif ORDER BY score DESC) AS k, count(*) OVER (PARTITION BY motif) AS n FROM best) WHERE k <= greatest(1, ceil(n * 0.05)) GROUP BY motif", *BEST))
 def t06(spark, sf_dir):
     """The score that a twentieth of the sequences reach with their best hits."""
-    rows = best(spark, sf_dir).groupBy("motif", "score").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("motif")
-    rows = rows.withColumn("above", F.sum("n").over(w.orderBy(F.desc("score"))) - F.col("n")).withColumn("total", F.sum("n").over(w))
-    kept = rows.where(F.col("above") < F.greatest(F.lit(1), F.ceil(F.col("total") * 0.05)))
-    return kept.groupBy("motif").agg(F.round(F.min("score"), 6).alias("threshold"))
+    rows = kept(best(spark, sf_dir).groupBy("motif", "score").agg(F.count("*").alias("n")))
+    total = rows.groupBy("motif").agg(F.sum("n").alias("total"))
+    ranked = ordered.running_sums(rows.withColumn("falling", -F.col("score")), "falling", ["n"], by="motif").join(F.broadcast(total), "motif")
+    reached = ranked.where(F.col("before_n") < F.greatest(F.lit(1), F.ceil(F.col("total") * 0.05)))
+    return reached.groupBy("motif").agg(F.round(F.min("score"), 6).alias("threshold"))
 
 
 @query("t07_false_discovery", over_seqs("SELECT motif, round(avg(CASE WHEN score > -5 THEN 1.0 ELSE 0.0 END), 6) AS fdr FROM labelled WHERE label = 0 GROUP BY motif", *LABELLED))
@@ -423,23 +425,26 @@ _SHARED = "shared AS (SELECT DISTINCT seq_id FROM kmers20 JOIN items USING (kmer
 @query("j04_contamination", over_seqs("SELECT seq_id FROM seqs WHERE seq_id NOT IN (SELECT seq_id FROM shared)", windows(20), _ITEMS, _SHARED))
 def j04(spark, sf_dir):
     """Sequences that share no 20-mer with the benchmark's: an anti join on hashes."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
     seqs = sequences(spark, sf_dir)
-    h = lambda rows: kmers.explode(rows, 20).select("seq_id", F.xxhash64("kmer").alias("h"))
-    shared = h(seqs).join(h(items).select("h").distinct(), "h", "left_semi").select("seq_id").distinct()
-    return seqs.select("seq_id").join(shared, "seq_id", "left_anti")
+    return seqs.select("seq_id").join(shared(spark, sf_dir, seqs, 20), "seq_id", "left_anti")
+
+
+def shared(spark, sf_dir, seqs, k):
+    """(seq_id) of the sequences that share a k-mer with the benchmark's."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), letters("text").alias("seq"))
+    return kmers.sharing(seqs, items, k)
 
 
 @query("u03_removed_controls", over_seqs("SELECT seq_id FROM shared", windows(20), _ITEMS, _SHARED))
 def u03(spark, sf_dir):
-    return sequences(spark, sf_dir).select("seq_id").exceptAll(j04(spark, sf_dir))
+    return shared(spark, sf_dir, sequences(spark, sf_dir), 20)
 
 
 @query("u01_concatenated_results", over_seqs("SELECT motif, count(*) AS n, round(sum(score), 4) AS total FROM hits GROUP BY motif", *HITS))
 def u01(spark, sf_dir):
-    rows = None
+    rows, seqs = None, sequences(spark, sf_dir)
     for m in MOTIFS:
-        part = scan.scan(sequences(spark, sf_dir), [m], THRESHOLD)
+        part = scan.scan(seqs, [m], THRESHOLD)
         rows = part if rows is None else rows.unionByName(part)
     return rows.groupBy("motif").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
 

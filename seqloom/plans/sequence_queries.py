@@ -251,7 +251,7 @@ def t04(spark, sf_dir):
 @query("f06_over_representation", over_seqs(_SEEDS.replace("ORDER BY odds DESC, kmer LIMIT 25", "AND round(n / e, 6) > 1.09").replace(", round(e, 6) AS expected, round(n / e, 6) AS odds", ""), windows(6), _COUNTS6, model_sql(2)))
 def f06(spark, sf_dir):
     seqs = sequences(spark, sf_dir)
-    return kmers.over_represented(kmers.count(seqs, 6), background.fit(seqs, 2), 6, 2, 1 << 30).where("odds > 1.09").select("kmer", "n")
+    return kmers.represented(kmers.count(seqs, 6), background.fit(seqs, 2), 6, 2).where("odds > 1.09").select("kmer", "n")
 
 
 @query("a29_coverage", over_seqs("SELECT kmer, count(DISTINCT seq_id) AS n_seqs FROM kmers6 GROUP BY kmer", windows(6)))

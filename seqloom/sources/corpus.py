@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,10 +10,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt to all cores by a key, if they are scanned in half as many tasks as there are cores or fewer.
+
+    That is so for small files alone; a table of a cluster's size has more tasks than cores and is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if 2 * rows._jdf.rdd().getNumPartitions() > cores else rows.repartition(cores, F.xxhash64(key))
+
+
+def letters(text) -> Column:
+    """A, C, G and T of a text in upper case; runs of other signs are removed at once."""
+    return F.regexp_replace(F.upper(text), "[^ACGT]+", "")
+
+
 def sequences(spark: SparkSession, sf_dir: str, least: int = 10) -> DataFrame:
     """(seq_id, seq, weight): whole texts with all other letters removed, if ``least`` letters are left."""
-    seq = F.regexp_replace(F.upper("text"), "[^ACGT]", "")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), seq.alias("seq"), F.col("n_chars").cast("double").alias("weight")).where(F.length("seq") >= least)
+    rows = dealt(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), "doc_id")
+    # a filter isn't moved below an explosion, so the letters are picked once for the column and the filter
+    rows = rows.select(F.col("doc_id").alias("seq_id"), F.explode(F.array(letters("text"))).alias("seq"), F.col("n_chars").cast("double").alias("weight"))
+    return rows.where(F.length("seq") >= least)
 
 
 #: The same for the SQL that queries are compared with.

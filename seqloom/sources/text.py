@@ -74,7 +74,7 @@ def peaks(spark: SparkSession, path: str) -> DataFrame:
     """(peak, chrom, coords) of whitespace-separated lines; numbers that don't parse are left out."""
     parts = F.split(F.trim("value"), r"\s+")
     rows = lines(spark, path).where(F.trim("value") != "")
-    return rows.select(F.col("row").alias("peak"), parts[0].alias("chrom"), F.filter(F.transform(F.slice(parts, 2, 1 << 20), lambda x: x.try_cast("long")), lambda x: x.isNotNull()).alias("coords"))
+    return rows.select(F.col("row").alias("peak"), parts[0].alias("chrom"), F.filter(F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: x.try_cast("long")), lambda x: x.isNotNull()).alias("coords"))
 
 
 def flanking(peak_rows: DataFrame, width: int) -> DataFrame:
@@ -159,4 +159,4 @@ def name_index(sequences: DataFrame, size: int = 24) -> DataFrame:
 
 
 def clean(seq: Column) -> Column:
-    return F.regexp_replace(F.upper(seq), "[^ACGT]", "")
+    return F.regexp_replace(F.upper(seq), "[^ACGT]+", "")

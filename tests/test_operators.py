@@ -1,6 +1,7 @@
 """Hand-made cases of the operators."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -72,15 +73,40 @@ def test_scan(spark):
     assert best == {0: (2, False), 1: (2, True)}
     uniform = Motif("u", np.full((3, 4), 0.25))
     assert {round(r.score, 6) for r in scan.scan(rows, [uniform]).collect()} == {round(3 * math.log(0.25), 6)}
-    from seqloom.operators.motifs import table
-
-    plan = {(r.seq_id, r.pos): r.score for r in scan.scan_plan(rows, table(spark, [m])).collect()}
     codes, _ = scan.numbered(__import__("pyarrow").array(["TTACGGTT"]))
-    assert [plan[0, i] for i in range(5)] == pytest.approx(scan.scores(codes, m.logs).tolist(), abs=1e-8)
+    slow = [sum(m.logs[c]["ACGT".index("TTACGGTT"[i + c])] for c in range(4)) for i in range(5)]
+    assert scan.scores(codes, m.logs).tolist() == pytest.approx(slow, abs=1e-8)
     hits = scan.scan(rows, [m])
     assert {r.seq_id: r.pos for r in scan.best_hits(hits).collect()} == {0: 2, 1: 2}
 
 
+def test_scan_of_parts(spark):
+    """Sequences that are longer than a part give what they give in one piece."""
+    rng = random.Random(4)
+    rows = seqs(spark, *("".join(rng.choice("ACGTN") for _ in range(n)) for n in (5000, 3, 0, 700, 12, 4999)), None).withColumn("weight", F.col("seq_id") * 1.5)
+    motifs = [Motif.of_consensus("a", "TAATTA"), Motif.of_consensus("b", "GATNATCRY")]
+    for more in ({"threshold": -9.0}, {"best_only": True}, {"threshold": -9.0, "located": True}):
+        whole, parts = (sorted(map(tuple, scan.scan(rows, motifs, chunk=n, **more).collect())) for n in (1 << 20, 64))
+        assert whole == parts and len(whole) > 6
+    lengths = {r.seq_id: len(r.seq or "") for r in rows.collect()}
+    assert all((r.seq_len, r.weight) == (lengths[r.seq_id], r.seq_id * 1.5) for r in scan.scan(rows, motifs, -9.0, located=True).collect())
+
+
+def test_sums_by_group(spark):
+    rng = random.Random(5)
+    rows = [(g, float(v), rng.randint(1, 9)) for g in "abc" for v in rng.sample(range(1000), 200)]
+    frame = spark.createDataFrame(rows, "g string, v double, n int")
+    got = {(r.g, r.v): r.before_n for r in ordered.running_sums(frame, "v", ["n"], buckets=9, by="g").collect()}
+    assert got == {(g, v): sum(n for h, u, n in rows if h == g and u < v) for g, v, _ in rows}
+
+
+def test_sharing(spark):
+    rows = seqs(spark, "ACGTACGTTT", "GGGGGGG", "TTTT", None)
+    others = seqs(spark, "CGTTT", "GGC")
+    assert sorted(r.seq_id for r in kmers.sharing(rows, others, 4).collect()) == [0]
+    assert kmers.sharing(rows, others.limit(0), 4).count() == 0
+
+
 def test_auc(spark):
     frame = lambda rows: spark.createDataFrame(rows, "score double, label int")
     assert metrics.auc(frame([(3.0, 1), (2.0, 1), (1.0, 0), (0.0, 0)])).first().auc == 1.0
