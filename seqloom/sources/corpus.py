@@ -10,13 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(rows: DataFrame, key: str) -> DataFrame:
-    """rows dealt to all cores by a key, if they are scanned in half as many tasks as there are cores or fewer.
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt to all cores by some columns, if they are scanned in half as many tasks as there are cores or fewer.
 
     That is so for small files alone; a table of a cluster's size has more tasks than cores and is left as it is.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if 2 * rows._jdf.rdd().getNumPartitions() > cores else rows.repartition(cores, F.xxhash64(key))
+    return rows if 2 * rows._jdf.rdd().getNumPartitions() > cores else rows.repartition(cores, F.xxhash64(*keys))
 
 
 def letters(text) -> Column:
