@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.corpus import dealt
 
 #: Rows of an Arrow batch, unless the session says otherwise than Spark's 10,000: a batch holds whole texts.
 BATCH_ROWS = 500
@@ -21,8 +22,10 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; documents in a file or two are dealt to all cores, since each is worked on for long."""
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(rows, "doc_id", "text") if name == "documents" else rows
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:

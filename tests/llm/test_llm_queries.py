@@ -104,11 +104,16 @@ def test_decontamination(spark, texts):
     assert {(r.doc_id, r.item_id): r.n_places for r in run(spark, "op8_decontaminate")} == wanted and wanted
 
 
-def test_pipeline(spark, texts):
-    """Each stage by brute force, after another."""
+def test_pipeline(spark, texts, monkeypatch):
+    """Each stage by brute force, after another. The threshold lies in a gap of the scores, so that some texts are rejected."""
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     net, sp = toxicity.train(docs, labels), sentencepiece.SentencePieceProcessor(model_file=piece.default_model())
-    left = {i: t for i, t in texts.items() if brute.toxicity(net, t) < 0.3}
+    scores = {i: brute.toxicity(net, t) for i, t in texts.items()}
+    ranked = sorted(scores.values())
+    gap = max(range(len(ranked) - 30, len(ranked) - 4), key=lambda k: ranked[k + 1] - ranked[k])
+    limit = (ranked[gap] + ranked[gap + 1]) / 2
+    monkeypatch.setattr(corpus_pipeline, "TOXIC", limit)
+    left = {i: t for i, t in texts.items() if scores[i] < limit}
     assert 0 < len(left) < len(texts)
     sets = {i: brute.shingles(t) for i, t in left.items()}
     root = brute.united(sorted(left), lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]))
