@@ -10,7 +10,7 @@ from ..operators import background, cluster, em, kmers, metrics, motifs, positio
 from ..operators.motifs import Motif
 from ..sources.corpus import letters, sequences, table
 from .registry import over_seqs, query, rc, windows
-from .scan_queries import BEST, HITS, LABELLED, MOTIFS, SCORED, best, hits, labelled
+from .scan_queries import BEST, HITS, LABELLED, MOTIFS, OVERLAP, SCORED, best, hits, labelled, recursive
 from .scratch import kept
 from .sequence_queries import model_sql
 
@@ -80,7 +80,17 @@ def j11(spark, sf_dir):
     return both.withColumn("k", F.row_number().over(Window.partitionBy("m").orderBy("d", "o")).cast("long")).where("k <= 3").withColumn("d", F.round("d", 6))
 
 
-@query("c15_not_palindromes")
+#: The likeliest base of a column, the first of equal ones.
+_TOP = "CASE WHEN a >= greatest(c, g, t) THEN 'A' WHEN c >= greatest(g, t) THEN 'C' WHEN g >= t THEN 'G' ELSE 'T' END"
+
+
+@query(
+    "c15_not_palindromes",
+    f"""WITH {motif_values('lib', LIBRARY)}, {motif_values('back', [m.reverse_complement() for m in LIBRARY])},
+pairs AS (SELECT p.motif, p.col - q.col AS shift, least(7, p.width - 2) AS enough, sqrt((p.a - q.a) ** 2 + (p.c - q.c) ** 2 + (p.g - q.g) ** 2 + (p.t - q.t) ** 2) / sqrt(2.0) AS d FROM lib p JOIN back q ON p.motif = q.motif),
+own AS (SELECT motif, min(d) AS d FROM (SELECT motif, avg(d) AS d FROM pairs GROUP BY motif, shift, enough HAVING count(*) >= greatest(1, enough)) GROUP BY motif)
+SELECT motif, string_agg({_TOP}, '' ORDER BY col) AS best, (SELECT string_agg({_TOP}, '' ORDER BY col) FROM back b WHERE b.motif = lib.motif) AS rc_best, round(any_value(d), 6) AS d FROM lib JOIN own USING (motif) WHERE d >= 0.18 GROUP BY motif""",
+)
 def c15(spark, sf_dir):
     """Motifs that differ from their own reverse complement by 0.18 or more, with it."""
     rows = []
@@ -93,7 +103,8 @@ def c15(spark, sf_dir):
 
 _EM = (
     *SCORED,
-    "ratio AS (SELECT seq_id, pos, len, 0.25 / (len - width + 1) * exp(least(a - width * ln(0.25), 10)) AS f, 0.25 / (len - width + 1) * exp(least(b - width * ln(0.25), 10)) AS r FROM (SELECT seq_id, motif, width, len, place - col AS pos, sum(f) AS a, sum(r) AS b FROM bases JOIN motifs USING (base) WHERE motif = 'm1' AND place >= col AND place - col + width <= len GROUP BY ALL))",
+    "bases AS (SELECT seq_id, unnest(string_split(seq, '')) AS base, unnest(range(0, length(seq))) AS place FROM seqs)",
+    "ratio AS (SELECT seq_id, pos, len, 0.25 / (len - width + 1) * exp(least(a - width * ln(0.25), 10)) AS f, 0.25 / (len - width + 1) * exp(least(b - width * ln(0.25), 10)) AS r FROM scored WHERE motif = 'm1')",
     "post AS (SELECT seq_id, pos, f / (0.5 + sum(f + r) OVER (PARTITION BY seq_id)) AS f, r / (0.5 + sum(f + r) OVER (PARTITION BY seq_id)) AS r FROM ratio)",
     "cells AS (SELECT CAST(place - pos AS INTEGER) AS col, base, f AS z FROM post JOIN bases USING (seq_id) WHERE place >= pos AND place < pos + 6 UNION ALL SELECT CAST(5 - (place - pos) AS INTEGER), translate(base, 'ACGT', 'TGCA'), r FROM post JOIN bases USING (seq_id) WHERE place >= pos AND place < pos + 6)",
 )
@@ -234,7 +245,12 @@ def a14(spark, sf_dir):
     return lib.select("motif", "col", F.round(bits, 6).alias("bits"), F.round(kl, 6).alias("kl"))
 
 
-@query("c12_consensus")
+_BITS = "(2 + a * log2(a) + c * log2(c) + g * log2(g) + t * log2(t))"
+_IUPAC = "CASE (CASE WHEN a > 0.26 THEN 'A' ELSE '' END || CASE WHEN c > 0.26 THEN 'C' ELSE '' END || CASE WHEN g > 0.26 THEN 'G' ELSE '' END || CASE WHEN t > 0.26 THEN 'T' ELSE '' END) " + " ".join(f"WHEN '{v}' THEN '{k}'" for k, v in motifs.CODES.items()) + " ELSE 'N' END"
+_CORE = f"CASE WHEN width <= 8 OR max({_BITS}) <= 0.4 THEN 0 ELSE min(col) FILTER ({_BITS} > 0.4) END AS head, CASE WHEN width <= 8 OR max({_BITS}) <= 0.4 THEN width ELSE max(col) FILTER ({_BITS} > 0.4) + 1 END AS tail"
+
+
+@query("c12_consensus", f"WITH {motif_values('lib', LIBRARY)} SELECT motif, string_agg({_IUPAC}, '' ORDER BY col) AS consensus, string_agg({_TOP}, '' ORDER BY col) AS best, {_CORE} FROM lib GROUP BY motif, width")
 def c12(spark, sf_dir):
     return spark.createDataFrame([(m.name, m.consensus(), m.best(), *m.core()) for m in LIBRARY], "motif string, consensus string, best string, head int, tail int")
 
@@ -245,9 +261,12 @@ def c13(spark, sf_dir):
     return motif_frame(spark, rows).drop("width")
 
 
-@query("f08_trimmed")
+_WIDE = [Motif.of_consensus("wide", "NNTAATTANN"), *LIBRARY]
+
+
+@query("f08_trimmed", f"WITH {motif_values('lib', _WIDE)}, ends AS (SELECT motif, width, {_CORE} FROM lib GROUP BY motif, width) SELECT motif, width, tail - head AS kept, string_agg({_IUPAC}, '' ORDER BY col) AS consensus FROM lib JOIN ends USING (motif, width) WHERE col >= head AND col < tail GROUP BY motif, width, head, tail")
 def f08(spark, sf_dir):
-    rows = [Motif.of_consensus("wide", "NNTAATTANN"), *LIBRARY]
+    rows = _WIDE
     return spark.createDataFrame([(m.name, len(m), len(m.trimmed()), m.trimmed().consensus()) for m in rows], "motif string, width int, kept int, consensus string")
 
 
@@ -277,7 +296,12 @@ def overlaps(spark, sf_dir):
     return positions.overlap_ratio(kept(rows), 5).collect()
 
 
-@query("c01_greedy_clusters")
+@query("c01_greedy_clusters", recursive(over_seqs(
+    "SELECT CAST(row_number() OVER (ORDER BY i) - 1 AS INTEGER) AS place, name AS motif FROM (SELECT unnest(kept) AS name, unnest(range(0, len(kept))) AS i FROM (SELECT kept FROM (SELECT t, kept FROM filtered WHERE i = 4 ORDER BY t) WHERE len(kept) >= 2 OR 0.1 * pow(1.2, t) >= 1 ORDER BY t LIMIT 1))",
+    *OVERLAP,
+    # each limit of 0.1 x 1.2 ** t, and the motifs one after the other
+    "filtered AS (SELECT t, 1 AS i, []::VARCHAR[] AS kept FROM (SELECT unnest(range(0, 14)) AS t) UNION ALL SELECT t, i + 1, CASE WHEN (SELECT coalesce(max(ratio), 0) FROM overlap WHERE (m1 = 'm' || i AND list_contains(kept, m2)) OR (m2 = 'm' || i AND list_contains(kept, m1))) <= 0.1 * pow(1.2, t) THEN list_append(kept, 'm' || i) ELSE kept END FROM filtered WHERE i < 4)",
+)))
 def c01(spark, sf_dir):
     ratio = {(r["m1"], r["m2"]): r["ratio"] for r in overlaps(spark, sf_dir)}
     kept = cluster.greedy_filter([m.name for m in MOTIFS], ratio, 0.1, 2)
@@ -293,7 +317,7 @@ def c03(spark, sf_dir):
     return spark.createDataFrame(rows, "linkage string, cluster int, motif string")
 
 
-@query("c04_pair_scores")
+@query("c04_pair_scores", recursive(over_seqs("SELECT m1, m2, n_near, ratio FROM overlap", *OVERLAP)))
 def c04(spark, sf_dir):
     rows = [(r["m1"], r["m2"], r["n_near"], r["ratio"]) for r in overlaps(spark, sf_dir)]
     return spark.createDataFrame(rows, "m1 string, m2 string, n_near long, ratio double")

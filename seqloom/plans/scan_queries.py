@@ -26,14 +26,15 @@ def motif_rows() -> str:
     return f"motifs AS (SELECT * FROM (VALUES {', '.join(rows)}) t(motif, width, col, base, f, r))"
 
 
+#: Windows by distinct k-mer, so that a k-mer's columns are added up once.
 SCORED = (
     motif_rows(),
-    "bases AS (SELECT seq_id, length(seq) AS len, unnest(string_split(seq, '')) AS base, unnest(range(0, length(seq))) AS place FROM seqs)",
-    """scored AS (SELECT seq_id, motif, width, pos, greatest(a, b) AS score, b > a AS reverse FROM (SELECT seq_id, motif, width, place - col AS pos, round(sum(f), 9) AS a, round(sum(r), 9) AS b
-FROM bases JOIN motifs USING (base) WHERE place >= col AND place - col + width <= len GROUP BY seq_id, motif, width, place - col))""",
+    "wins AS (SELECT seq_id, len, motif, width, pos, substr(seq, pos + 1, width) AS kmer FROM (SELECT seq_id, seq, length(seq) AS len, motif, width, unnest(range(0, length(seq) - width + 1)) AS pos FROM seqs, (SELECT DISTINCT motif, width FROM motifs)))",
+    "kscores AS (SELECT k.motif, kmer, round(sum(f), 9) AS a, round(sum(r), 9) AS b FROM (SELECT DISTINCT motif, kmer FROM wins) k JOIN motifs m ON m.motif = k.motif AND m.base = substr(kmer, col + 1, 1) GROUP BY ALL)",
+    "scored AS (SELECT seq_id, motif, width, len, pos, a, b, greatest(a, b) AS score, b > a AS reverse FROM wins JOIN kscores USING (motif, kmer))",
 )
-HITS = (*SCORED, f"hits AS (SELECT s.*, length(q.seq) AS seq_len, q.weight FROM scored s JOIN seqs q USING (seq_id) WHERE score >= {THRESHOLD})")
-BEST = (*SCORED, "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq_id, motif ORDER BY score DESC, pos, reverse) AS k FROM scored) WHERE k = 1)")
+HITS = (*SCORED, f"hits AS (SELECT s.seq_id, motif, width, pos, score, reverse, len AS seq_len, q.weight FROM scored s JOIN seqs q USING (seq_id) WHERE score >= {THRESHOLD})")
+BEST = (*SCORED, "best AS (SELECT seq_id, motif, width, pos, score, reverse FROM (SELECT *, row_number() OVER (PARTITION BY seq_id, motif ORDER BY score DESC, pos, reverse) AS k FROM scored) WHERE k = 1)")
 
 
 def hits(spark, sf_dir, *names):
@@ -249,10 +250,24 @@ def a24(spark, sf_dir):
     return row.select("tp", "fp", "tn", "fn", *(F.round(c, 6).alias(c) for c in ("sn", "spc", "ppv", "asp", "cc")))
 
 
-@query("a24_hypergeometric")
+LOG_CHOOSE = "(lgamma(({n}) + 1.0) - lgamma(({k}) + 1.0) - lgamma(({n}) - ({k}) + 1.0))"
+
+
+def log_choose(n: str, k: str) -> str:
+    return LOG_CHOOSE.format(n=n, k=k)
+
+
+@query(
+    "a24_hypergeometric",
+    over_seqs(
+        f"SELECT 'm2' AS motif, round(1 - least(1.0, coalesce(sum(exp({log_choose('good', 'i')} + {log_choose('total - good', 'drawn - i')} - {log_choose('total', 'drawn')})), 0.0)), 6) AS p FROM (SELECT *, unnest(range(greatest(0, drawn - (total - good)), tp)) AS i FROM calls)",
+        *LABELLED,
+        "calls AS (SELECT count(*) AS total, count(*) FILTER (label = 1) AS good, count(*) FILTER (score >= -5) AS drawn, count(*) FILTER (label = 1 AND score >= -5) AS tp FROM labelled WHERE motif = 'm2')",
+    ),
+)
 def a24_hypergeometric(spark, sf_dir):
     row = metrics.confusion(labelled(spark, sf_dir, "m2").select("score", "label"), -5.0).first()
-    return spark.createDataFrame([("m2", metrics.hypergeometric(row))], "motif string, p double")
+    return spark.createDataFrame([("m2", round(metrics.hypergeometric(row), 6))], "motif string, p double")
 
 
 _ORDERED_HITS = "(SELECT motif, seq_id, pos, score, lag(pos) OVER (PARTITION BY motif, seq_id ORDER BY pos) AS last FROM hits)"
@@ -312,13 +327,40 @@ def j07(spark, sf_dir):
     return positions.near(found.where("motif = 'm1'"), found.where("motif = 'm2'"), "seq_id", "pos", 5)
 
 
-@query("j06_greedy_proximity")
+def greedy_sql(lists: str) -> str:
+    """Common tables that walk two sorted lists (key, x, y) of each key: pairs(key, a, b)."""
+    ended = "(i > len(x) OR j > len(y))"
+    return f"""walk AS (SELECT key, x, y, 1 AS i, 1 AS j, NULL::BIGINT AS a, NULL::BIGINT AS b FROM ({lists})
+UNION ALL SELECT key, x, y, i + CASE WHEN abs(x[i] - y[j]) <= 5 OR x[i] < y[j] THEN 1 ELSE 0 END, j + CASE WHEN abs(x[i] - y[j]) <= 5 OR x[i] >= y[j] THEN 1 ELSE 0 END,
+  CASE WHEN abs(x[i] - y[j]) <= 5 THEN x[i] END, CASE WHEN abs(x[i] - y[j]) <= 5 THEN y[j] END FROM walk WHERE NOT {ended}),
+pairs AS (SELECT key, a, b FROM walk WHERE a IS NOT NULL)"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    "j06_greedy_proximity",
+    recursive(over_seqs("SELECT key AS seq_id, a, b FROM pairs", *HITS, greedy_sql("SELECT seq_id AS key, list(pos ORDER BY pos) FILTER (motif = 'm1') AS x, list(pos ORDER BY pos) FILTER (motif = 'm2') AS y FROM hits GROUP BY seq_id HAVING x IS NOT NULL AND y IS NOT NULL"))),
+)
 def j06(spark, sf_dir):
     found = kept(hits(spark, sf_dir, "m1", "m2"))
     return positions.greedy(found.where("motif = 'm1'"), found.where("motif = 'm2'"), "seq_id", "pos", 5)
 
 
-@query("a25_overlap_ratio")
+#: Spaced hits, greedy pairs of any two motifs in a sequence, and their share: overlap(m1, m2, n_near, ratio).
+OVERLAP = (
+    *HITS,
+    f"spaced AS (SELECT motif, seq_id, pos FROM {_ORDERED_HITS} WHERE last IS NULL OR last < pos - 5)",
+    "plists AS (SELECT motif, seq_id, list(pos ORDER BY pos) AS p FROM spaced GROUP BY ALL)",
+    greedy_sql("SELECT (x.motif, y.motif, x.seq_id) AS key, x.p AS x, y.p AS y FROM plists x JOIN plists y ON x.seq_id = y.seq_id AND x.motif < y.motif"),
+    "sizes AS (SELECT motif, count(*) AS n FROM spaced GROUP BY motif)",
+    "overlap AS (SELECT x.motif AS m1, y.motif AS m2, coalesce(k, 0) AS n_near, coalesce(k, 0) / (least(x.n, y.n) + 1) AS ratio FROM sizes x JOIN sizes y ON x.motif < y.motif LEFT JOIN (SELECT key[1] AS m1, key[2] AS m2, count(*) AS k FROM pairs GROUP BY 1, 2) c ON c.m1 = x.motif AND c.m2 = y.motif)",
+)
+
+
+@query("a25_overlap_ratio", recursive(over_seqs("SELECT m1, m2, n_near, ratio FROM overlap", *OVERLAP)))
 def a25(spark, sf_dir):
     return positions.overlap_ratio(kept(positions.spaced(hits(spark, sf_dir), ["motif", "seq_id"], "pos", 5).select("motif", "seq_id", "pos")), 5)
 
@@ -351,12 +393,18 @@ def a28(spark, sf_dir):
     return rows.select("motif", "bin", "n", F.round((F.col("s") - F.col("t") * share) / F.sqrt(F.col("t") * share * (1 - share)), 6).alias("z"))
 
 
-@query("a30_centre_binomial")
+@query(
+    "a30_centre_binomial",
+    over_seqs(
+        f"SELECT motif, inside, n, round((SELECT sum(exp({log_choose('n', 'k')} + n * ln(0.5))) FROM (SELECT unnest(range(inside, n + 1)) AS k)), 9) AS p FROM (SELECT motif, count(*) FILTER (abs(pos + width / 2 - seq_len / 2) < seq_len / 4) AS inside, count(*) AS n FROM hits GROUP BY motif)",
+        *HITS,
+    ),
+)
 def a30(spark, sf_dir):
     """Binomial p-value of the share of hits in the middle half of their sequences."""
     inside = F.abs(F.col("pos") + F.col("width") / 2 - F.col("seq_len") / 2) < F.col("seq_len") / 4
     rows = located(spark, sf_dir).groupBy("motif").agg(F.count_if(inside).alias("inside"), F.count("*").alias("n")).collect()
-    return spark.createDataFrame([(r["motif"], r["inside"], r["n"], stats.binomial_tail(r["inside"], r["n"], 0.5)) for r in rows], "motif string, inside long, n long, p double")
+    return spark.createDataFrame([(r["motif"], r["inside"], r["n"], round(stats.binomial_tail(r["inside"], r["n"], 0.5), 9)) for r in rows], "motif string, inside long, n long, p double")
 
 
 @query("a31_decay_fit")
