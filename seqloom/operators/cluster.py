@@ -125,11 +125,20 @@ def longest_common(a: str, b: str) -> int:
     return best
 
 
+#: Sequences of a frequent k-mer that are compared with the others in one task.
+BLOCK = 1024
+
+
 def similar_sequences(sequences: DataFrame, k: int = 18, shared: int = 4) -> DataFrame:
     """(a, b, n_shared, longest): pairs of sequences with ``shared`` or more distinct k-mers in common, on either strand, and
-    the length of their longest common substring. K-mers of a sequence count once; the pairs meet by k-mer."""
+    the length of their longest common substring. K-mers of a sequence count once; the pairs meet by k-mer. The sequences of a
+    frequent k-mer are dealt in blocks of about ``BLOCK``, so that none of its pairs' tasks has more than a block on one side."""
     own = kmers.explode(sequences, k).select("seq_id", F.xxhash64(dna.canonical("kmer")).alias("h")).distinct()
-    pairs = own.select(F.col("seq_id").alias("a"), "h").join(own.select(F.col("seq_id").alias("b"), "h"), "h").where("a < b")
+    met = own.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    own = own.join(met, "h")
+    left = own.select(F.col("seq_id").alias("a"), "h", F.expr("cast(pmod(xxhash64(seq_id), blocks) AS int)").alias("block"))
+    right = own.select(F.col("seq_id").alias("b"), "h", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
+    pairs = left.join(right, ["h", "block"]).where("a < b")
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= shared)
 
     @F.pandas_udf("int")

@@ -37,6 +37,25 @@ def count(sequences: DataFrame, k: int) -> DataFrame:
     return kmers_only(sequences, k).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
+def postings(sequences: DataFrame, k: int, span: int = 256) -> DataFrame:
+    """(kmer, block, places): an inverted index. places are (seq_id, pos) in order; a block holds the sequences of ``span``
+    neighbouring ids, so that the list of a frequent k-mer has a bound and is dealt to many tasks."""
+    rows = explode(sequences, k).select("kmer", F.floor(F.col("seq_id") / span).alias("block"), F.struct("seq_id", "pos").alias("place"))
+    return rows.groupBy("kmer", "block").agg(F.sort_array(F.collect_list("place")).alias("places"))
+
+
+def base_frequencies(sequences: DataFrame, reach: int = 150) -> DataFrame:
+    """(base, centre, background): shares of the bases less than ``reach`` from the middle of their sequences, and elsewhere."""
+    low = F.greatest(F.floor(F.length("seq") / 2 - reach).cast("int") + 1, F.lit(0))
+    high = F.least(F.ceil(F.length("seq") / 2 + reach).cast("int"), F.length("seq"))
+    rows = sequences.select("seq", F.substring(F.col("seq"), low + 1, high - low).alias("inner"))
+    n = lambda c, b: (F.length(c) - F.length(F.replace(F.col(c), F.lit(b)))).cast("long")
+    sums = rows.agg(*(F.sum(n("inner", b)).alias(f"i{b}") for b in dna.BASES), *(F.sum(n("seq", b) - n("inner", b)).alias(f"o{b}") for b in dna.BASES))
+    total = lambda s: sum((F.col(f"{s}{b}") for b in dna.BASES), F.lit(0))
+    cells = F.array(*(F.struct(F.lit(b).alias("base"), F.try_divide(F.col(f"i{b}"), total("i")).alias("centre"), F.try_divide(F.col(f"o{b}"), total("o")).alias("background")) for b in dna.BASES))
+    return sums.select(F.inline(cells))
+
+
 #: Bytes of hashes that may be broadcast; more are joined by a shuffle, before which Spark's own Bloom filters apply.
 BROADCAST_BYTES = 64 << 20
 

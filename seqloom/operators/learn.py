@@ -20,7 +20,7 @@ def column_clusters(rows: DataFrame, values: str, ks=(2, 3, 4), seed: int = 7) -
 
 
 def train(rows: DataFrame, features: str, label: str, trees: int = 20, seed: int = 7) -> RandomForestClassificationModel:
-    """A forest; ``model.write().save(path)`` keeps it."""
+    """A forest; ``save`` keeps it."""
     prepared = rows.select(array_to_vector(F.col(features).cast("array<double>")).alias("_v"), F.col(label).cast("double").alias("_y"))
     return RandomForestClassifier(featuresCol="_v", labelCol="_y", numTrees=trees, seed=seed).fit(prepared)
 
@@ -28,3 +28,12 @@ def train(rows: DataFrame, features: str, label: str, trees: int = 20, seed: int
 def predict(model: RandomForestClassificationModel, rows: DataFrame, features: str) -> DataFrame:
     prepared = rows.withColumn("_v", array_to_vector(F.col(features).cast("array<double>")))
     return model.transform(prepared).withColumn("predicted", F.col("prediction").cast("int")).drop("_v", "rawPrediction", "probability", "prediction")
+
+
+def save(model: RandomForestClassificationModel, path: str) -> None:
+    """Writes a forest to a folder."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> RandomForestClassificationModel:
+    return RandomForestClassificationModel.load(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -119,7 +120,9 @@ class Motif:
         return np.argsort(-self.weights, axis=1, kind="stable")
 
     def shuffled(self, seed: int = 12345678) -> Motif:
-        return Motif(self.name, self.weights[np.random.default_rng(seed).permutation(len(self))], self.score, self.sites)
+        """The columns in the order of a hash of the seed, the name and their number."""
+        order = sorted(range(len(self)), key=lambda c: hashlib.md5(f"{seed}:{self.name}:{c}".encode()).hexdigest())
+        return Motif(self.name, self.weights[order], self.score, self.sites)
 
 
 def from_sites(name: str, sites: list[str], weights=None) -> Motif:

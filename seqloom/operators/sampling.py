@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,6 +22,11 @@ def uniform(seed: int, key) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / _SCALE
 
 
+def draw(seed: int, key) -> float:
+    """The same number for a key on the driver."""
+    return int(hashlib.md5(f"{seed}:{key}".encode()).hexdigest()[:12], 16) / _SCALE
+
+
 def weighted_draws(rows: DataFrame, weight: str, n: int, seed: int, order: str) -> DataFrame:
     """(draw, order): n draws with replacement in proportion to a weight, by binary search in the running sum.
 
@@ -38,51 +46,72 @@ def weighted_draws(rows: DataFrame, weight: str, n: int, seed: int, order: str)
     return met.groupBy("draw").agg(F.min(order).alias(order))
 
 
+#: A prime that products of two numbers below it leave 64 bits enough for.
+_PRIME = (1 << 31) - 1
+
+
+def _numbers(seed: int, keys: np.ndarray, i: int) -> np.ndarray:
+    """Numbers in [0, 1) for the i-th draw of each key: quadratic maps modulo a prime, so that whole columns are drawn at once."""
+    x = (keys % _PRIME * 48271 + i * 69621 + seed * 16807 + 1) % _PRIME
+    for factor, shift in ((950706376, 12345), (1226874159, 7), (62089911, 99991)):
+        x = (x * x + x * factor % _PRIME + shift) % _PRIME
+    return x / _PRIME
+
+
 def markov_sequences(lengths: DataFrame, model: dict[str, float], order: int, seed: int) -> DataFrame:
-    """(seq_id, seq): a random sequence for each (seq_id, len) from a background model, drawn from a hash of id and seed."""
-    table = {}
-    for prefix in {p[:-1] for p in model}:
-        table[prefix] = np.cumsum([model.get(prefix + b, 0.25) for b in BASES])
+    """(seq_id, seq): a random sequence for each (seq_id, len) from a background model; a letter is drawn by a hash of the seed,
+    the id and the place. A batch's sequences grow together, a letter of each at a time."""
+    tables = []  # of contexts of 0, 1, ... order letters, by number: the running sums of the next letter
+    for k in range(order + 1):
+        names = ["".join(p) for p in itertools.product(BASES, repeat=k)]
+        tables.append(np.cumsum([[model.get(n + b, 0.25) for b in BASES] for n in names], axis=1))
+    letters = np.frombuffer(BASES.encode(), dtype=np.uint8)
 
     def made(batches):
         for batch in batches:
-            out = []
-            for seq_id, size in zip(batch.column("seq_id").to_pylist(), batch.column("len").to_pylist(), strict=True):
-                draws = np.random.default_rng([seed, seq_id & 0x7FFFFFFFFFFFFFFF]).random(size or 0)
-                s = ""
-                for u in draws:
-                    cdf = table[s[-order:] if order else ""]
-                    s += BASES[min(int(np.searchsorted(cdf, u * cdf[-1], side="right")), 3)]
-                out.append(s)
-            yield pa.RecordBatch.from_arrays([batch.column("seq_id"), pa.array(out, pa.string())], ["seq_id", "seq"])
+            ids = batch.column("seq_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            size = np.nan_to_num(batch.column("len").to_numpy(zero_copy_only=False)).astype(np.int64)
+            falling = np.argsort(-size, kind="stable")
+            ids_f, size_f = ids[falling], size[falling]
+            start = np.cumsum(size) - size
+            body, context = np.zeros(int(size.sum()), dtype=np.uint8), np.zeros(len(ids), dtype=np.int64)
+            for i in range(int(size_f[0]) if len(size_f) else 0):
+                n = int(np.searchsorted(-size_f, -i, side="left"))  # sequences longer than i
+                table = tables[min(i, order)][context[:n]]
+                base = np.minimum((_numbers(seed, ids_f[:n], i)[:, None] * table[:, 3:] >= table[:, :3]).sum(axis=1), 3)
+                body[start[falling[:n]] + i] = letters[base]
+                context[:n] = (context[:n] * 4 + base) % 4 ** min(i + 1, order)
+            raw = body.tobytes().decode()
+            yield pa.RecordBatch.from_arrays([batch.column("seq_id"), pa.array([raw[a : a + n] for a, n in zip(start.tolist(), size.tolist(), strict=True)], pa.string())], ["seq_id", "seq"])
 
     return lengths.select("seq_id", "len").mapInArrow(made, "seq_id long, seq string")
 
 
-def random_site(motif: Motif, rng: np.random.Generator) -> str:
-    p = motif.weights / motif.weights.sum(axis=1, keepdims=True)
-    return "".join(BASES[rng.choice(4, p=row)] for row in p)
+def running(motif: Motif) -> np.ndarray:
+    """The running sums of each column's probabilities, A to T."""
+    return np.cumsum(motif.weights / motif.weights.sum(axis=1, keepdims=True), axis=1)
+
+
+def random_site(motif: Motif, seed: int, key) -> str:
+    """A string drawn from a motif, a column by a hash of the seed, the key and its number."""
+    return "".join(BASES[min(int((draw(seed, f"{key}:{c}") >= row[:3]).sum()), 3)] for c, row in enumerate(running(motif)))
 
 
 def planted(sequences: DataFrame, motif: Motif, share: float, seed: int, both_strands: bool = True) -> DataFrame:
     """(seq_id, seq, site, pos, reverse): a site drawn from the motif written in lower case into a share of the sequences.
 
-    Sequences without a site, or shorter than it, have nulls there.
+    Sequences without a site, or shorter than it, have nulls there. All draws are hashes of the seed, the id and what is drawn.
     """
-
-    def plant(batches):
-        for batch in batches:
-            rows = []
-            for seq_id, seq in zip(batch.column("seq_id").to_pylist(), batch.column("seq").to_pylist(), strict=True):
-                rng = np.random.default_rng([seed, seq_id & 0x7FFFFFFFFFFFFFFF])
-                if seq is None or len(seq) < len(motif) or rng.random() >= share:
-                    rows.append((seq_id, seq, None, None, None))
-                    continue
-                at, back = int(rng.integers(0, len(seq) - len(motif) + 1)), bool(both_strands and rng.random() < 0.5)
-                site = random_site(motif.reverse_complement() if back else motif, rng).lower()
-                rows.append((seq_id, seq[:at] + site + seq[at + len(site) :], site.upper(), at, back))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            types = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["seq_id", "seq", "site", "pos", "reverse"])
-
-    return sequences.select("seq_id", "seq").mapInArrow(plant, "seq_id long, seq string, site string, pos int, reverse boolean")
+    u = lambda what: uniform(seed, F.concat_ws(":", F.col("seq_id").cast("string"), F.lit(str(what))))
+
+    def site(m: Motif) -> Column:
+        columns = [F.when(u(c) < row[0], "A").when(u(c) < row[1], "C").when(u(c) < row[2], "G").otherwise("T") for c, row in enumerate(running(m).tolist())]
+        return F.concat(*columns)
+
+    back = (u("strand") < 0.5) if both_strands else F.lit(False)
+    chosen = (F.length("seq") >= len(motif)) & (u("share") < share)
+    at = F.floor(u("pos") * (F.length("seq") - len(motif) + 1)).cast("int")
+    rows = sequences.select("seq_id", "seq", F.when(chosen, at).alias("pos"), F.when(chosen, back).alias("reverse"))
+    rows = rows.withColumn("site", F.when(F.col("reverse"), site(motif.reverse_complement())).when(~F.col("reverse"), site(motif)))
+    text = F.when(F.col("pos").isNull(), F.col("seq")).otherwise(F.concat(F.substring(F.col("seq"), F.lit(1), F.col("pos")), F.lower("site"), F.substring(F.col("seq"), F.col("pos") + len(motif) + 1, F.length("seq"))))
+    return rows.select("seq_id", text.alias("seq"), "site", "pos", "reverse")

@@ -1,4 +1,5 @@
-"""Score thresholds: the exact distribution of a motif's score under a background, and instances of most probability."""
+"""Score thresholds: the distribution of a motif's score under a background, its columns' scores being rounded to 1/scale, and
+instances of most probability."""
 
 from __future__ import annotations
 
@@ -41,15 +42,20 @@ def false_rate(motif: Motif, score: float, background=None, scale: int = 1000) -
     return float(p[scores >= score - 0.5 / scale].sum())
 
 
-def instances(motif: Motif, mass: float, most: int = 100000) -> list[tuple[str, float]]:
-    """The likeliest strings of a motif, in order, until their probability adds up to ``mass``: a best-first search."""
+def instances(motif: Motif, mass: float) -> list[tuple[str, float]]:
+    """The likeliest strings of a motif, in order, until their probability adds up to ``mass``, with all strings that are as
+    likely as the last one: a best-first search. As many as that takes, so a wide motif's mass has to be chosen with care."""
     p = normalise(motif.weights)
     order = np.argsort(-p, axis=1, kind="stable")
     value = np.take_along_axis(np.log(p), order, axis=1)
     start = (0,) * len(p)
-    heap, seen, out, total = [(-value[:, 0].sum(), start)], {start}, [], 0.0
-    while heap and total < mass and len(out) < most:
+    heap, seen, out, total, level = [(-value[:, 0].sum(), start)], {start}, [], 0.0, -np.inf
+    while heap:
         negative, state = heapq.heappop(heap)
+        if negative > level + 1e-9:
+            if total >= mass:
+                break
+            level = negative
         probability = float(np.exp(-negative))
         out.append(("".join(BASES[order[i, s]] for i, s in enumerate(state)), probability))
         total += probability

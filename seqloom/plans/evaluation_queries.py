@@ -10,11 +10,11 @@ from ..operators import background, em, kmers, learn, sampling, scan, search, th
 from ..operators.motifs import Motif
 from ..sources import motif_files, sinks, text
 from ..sources.corpus import sequences, table
-from .model_queries import LIBRARY, UNIFORM, model_rows
+from .model_queries import _TOP, LIBRARY, UNIFORM, _divergence_sql, instances_sql, model_rows, motif_values, planted_sql
 from .registry import over_seqs, query, rc, windows
-from .scan_queries import HITS, MOTIFS, SCORED, best, hits, shared
+from .scan_queries import HITS, MOTIFS, SCORED, best, hits, log_choose, recursive, shared
 from .scratch import folder, kept
-from .sequence_queries import model_sql
+from .sequence_queries import _COUNTS6, _SEEDS, model_sql
 
 
 @query("s01_fasta", over_seqs("SELECT CAST(seq_id AS VARCHAR) AS name, md5(seq) AS seq_md5, CAST(length(seq) AS INTEGER) AS len FROM seqs"))
@@ -47,7 +47,11 @@ def s08(spark, sf_dir):
     return text.signal_bins(signal, 8).select(F.col("seq_id").alias("vec_id"), "bin", F.round("total", 4).alias("total"))
 
 
-@query("s10_motif_file")
+def library_sql(rows: list[Motif] = LIBRARY, digits: int = 5) -> str:
+    return f"WITH {motif_values('lib', rows)} SELECT motif, col, base, round(CASE base WHEN 'A' THEN a WHEN 'C' THEN c WHEN 'G' THEN g ELSE t END, {digits}) AS w FROM lib, (SELECT unnest(['A', 'C', 'G', 'T']) AS base)"
+
+
+@query("s10_motif_file", library_sql())
 def s10(spark, sf_dir):
     path = folder(spark) + "/library.pwm"
     sinks.write_motifs(spark, LIBRARY, path, by_score=True)
@@ -97,7 +101,7 @@ def k10(spark, sf_dir):
     return text.fasta(spark, path).select("name", F.md5(F.translate("seq", "N", "-")).alias("masked_md5"))
 
 
-@query("k11_simulated_answers")
+@query("k11_simulated_answers", over_seqs("SELECT seq_id, CAST(pos AS BIGINT) AS pos FROM planted WHERE pos IS NOT NULL", *planted_sql(MOTIFS[1], 0.5, 13)))
 def k11(spark, sf_dir):
     """Sites planted in every second sequence, written as truth and read back."""
     path = folder(spark)
@@ -105,7 +109,7 @@ def k11(spark, sf_dir):
     return text.answers(spark, path)
 
 
-@query("k09_pair_matrix")
+@query("k09_pair_matrix", _divergence_sql("SELECT m AS motif, " + ", ".join(f"round(max(d) FILTER (o = '{m.name}'), 6) AS {m.name}" for m in LIBRARY) + " FROM (SELECT m1 AS m, m2 AS o, d FROM div UNION ALL SELECT m2, m1, d FROM div UNION ALL SELECT DISTINCT motif, motif, 0.0 FROM lib) GROUP BY m"))
 def k09(spark, sf_dir):
     """Divergence of every two library motifs, as a matrix with a column for each motif."""
     from ..operators.motifs import divergence
@@ -138,10 +142,27 @@ def t05(spark, sf_dir):
     return search.gapped_seeds(sequences(spark, sf_dir), 3, 2, 20)
 
 
-@query("t05_diverse_seeds")
+_NEAR = "len(list_filter(range(1, 7), lambda i: substr({0}, i, 1) <> substr({1}, i, 1))) < 2"
+
+
+@query(
+    "t05_diverse_seeds",
+    recursive(
+        over_seqs(
+            "SELECT CAST(i AS INTEGER) AS place, kmer FROM (SELECT unnest(kept) AS kmer, unnest(range(0, len(kept))) AS i FROM (SELECT kept FROM picked ORDER BY k DESC LIMIT 1))",
+            windows(6),
+            _COUNTS6,
+            model_sql(2),
+            f"odds AS ({_SEEDS.replace('LIMIT 25', '')})",
+            "ranked AS (SELECT kmer, row_number() OVER (ORDER BY odds DESC, kmer) AS k FROM odds)",
+            f"picked AS (SELECT 1::BIGINT AS k, []::VARCHAR[] AS kept UNION ALL SELECT p.k + 1, CASE WHEN len(list_filter(p.kept, lambda s: {_NEAR.format('r.kmer', 's')} OR {_NEAR.format('r.kmer', rc('s'))})) = 0 THEN list_append(p.kept, r.kmer) ELSE p.kept END FROM picked p JOIN ranked r USING (k) WHERE len(p.kept) < 12)",
+        )
+    ),
+)
 def t05_diverse(spark, sf_dir):
+    """The best seeds that differ from each other; the ranking has 4 ** 6 rows at most and is gone through to its end if need be."""
     seqs = sequences(spark, sf_dir)
-    ranked = [r["kmer"] for r in kmers.over_represented(kmers.count(seqs, 6), background.fit(seqs, 2), 6, 2, 200).collect()]
+    ranked = [r["kmer"] for r in kmers.represented(kmers.count(seqs, 6), background.fit(seqs, 2), 6, 2).orderBy(F.desc("odds"), "kmer").collect()]
     return spark.createDataFrame(list(enumerate(search.diverse(ranked, 2, 12))), "place int, kmer string")
 
 
@@ -158,7 +179,15 @@ def t11(spark, sf_dir):
     return search.canonical_counts(sequences(spark, sf_dir), 6).orderBy(F.desc("n"), "kmer").limit(10)
 
 
-@query("a27_binomial_similarity")
+@query(
+    "a27_binomial_similarity",
+    over_seqs(
+        f"""SELECT m1, m2, n_near, round(CASE WHEN n_near = 0 THEN 1.0 ELSE least(1.0, (SELECT coalesce(sum(exp({log_choose('n', 'k')} + k * ln(p) + (n - k) * ln(1 - p))), 0) FROM (SELECT unnest(range(n_near, n + 1)) AS k))) END, 6) AS p FROM (SELECT x.motif AS m1, y.motif AS m2, x.n, least(1.0, 11 * y.n / total) AS p,
+  (SELECT count(DISTINCT (a.seq_id, a.pos)) FROM hits a JOIN hits b ON a.seq_id = b.seq_id AND abs(a.pos - b.pos) <= 5 WHERE a.motif = x.motif AND b.motif = y.motif) AS n_near FROM sizes x JOIN sizes y ON x.motif < y.motif, (SELECT sum(length(seq)) AS total FROM seqs))""",
+        *HITS,
+        "sizes AS (SELECT motif, count(*) AS n FROM hits GROUP BY motif)",
+    ),
+)
 def a27(spark, sf_dir):
     """How unlikely it is that so many hits of one motif lie near hits of another by chance."""
     from ..operators import positions
@@ -171,7 +200,7 @@ def a27(spark, sf_dir):
         for b in MOTIFS[i + 1 :]:
             near = positions.near(found.where(F.col("motif") == a.name), found.where(F.col("motif") == b.name), "seq_id", "pos", 5).select("seq_id", "a").distinct().count()
             p = min(1.0, 11 * n.get(b.name, 0) / total)
-            rows.append((a.name, b.name, near, stats.binomial_tail(near, n.get(a.name, 0), p)))
+            rows.append((a.name, b.name, near, round(stats.binomial_tail(near, n.get(a.name, 0), p), 6)))
     return spark.createDataFrame(rows, "m1 string, m2 string, n_near long, p double")
 
 
@@ -212,13 +241,21 @@ def r04(spark, sf_dir):
     return sampling.markov_sequences(lengths, model, 1, 21).select("seq_id", F.length("seq").alias("len"), F.md5("seq").alias("seq_md5"))
 
 
-@query("r07_random_sites")
+_CDF = ", ".join(f"('{m.name}', {c}, {', '.join(f'{x!r}::DOUBLE' for x in row[:3])})" for m in LIBRARY for c, row in enumerate(sampling.running(m).tolist()))
+
+
+@query(
+    "r07_random_sites",
+    f"SELECT motif, CAST(draw AS INTEGER) AS draw, string_agg(CASE WHEN u < x THEN 'A' WHEN u < y THEN 'C' WHEN u < z THEN 'G' ELSE 'T' END, '' ORDER BY col) AS site FROM (SELECT *, CAST(('0x' || substr(md5('3:' || motif || ':' || draw || ':' || col), 1, 12)) AS BIGINT) / 281474976710656.0 AS u FROM (VALUES {_CDF}) t(motif, col, x, y, z), (SELECT unnest(range(0, 5)) AS draw)) GROUP BY motif, draw",
+)
 def r07(spark, sf_dir):
-    rng = np.random.default_rng(3)
-    return spark.createDataFrame([(m.name, i, sampling.random_site(m, rng)) for m in LIBRARY for i in range(5)], "motif string, draw int, site string")
+    return spark.createDataFrame([(m.name, i, sampling.random_site(m, 3, f"{m.name}:{i}")) for m in LIBRARY for i in range(5)], "motif string, draw int, site string")
 
 
-@query("r08_sampling_efficiency")
+@query(
+    "r08_sampling_efficiency",
+    over_seqs("SELECT CAST(k AS INTEGER) AS k, count(*) AS n_drawn, count(*) FILTER (score >= -4) AS n_good FROM (SELECT score, CAST(('0x' || substr(md5('5:' || seq_id || ':' || pos), 1, 12)) AS BIGINT) / 281474976710656.0 AS u FROM scored WHERE motif = 'm1'), (SELECT unnest(range(1, 11)) AS k) WHERE u < least(1.0, exp(score + 6 * ln(4.0)) * pow(2.0, -k)) GROUP BY k", *SCORED),
+)
 def r08(spark, sf_dir):
     """Windows that a likelihood sample draws at falling ratios, and the share of good hits among them."""
     rows = scan.scan(sequences(spark, sf_dir), [MOTIFS[0]], None).withColumn("u", sampling.uniform(5, F.concat_ws(":", "seq_id", "pos")))
@@ -228,7 +265,7 @@ def r08(spark, sf_dir):
     return drawn.groupBy("k").agg(F.count("*").alias("n_drawn"), F.count_if(F.col("score") >= -4).alias("n_good"))
 
 
-@query("r09_instance_set")
+@query("r09_instance_set", f"WITH {', '.join(instances_sql(0.8, LIBRARY[:2]))} SELECT motif, kmer AS site, round(p, 9) AS p FROM taken")
 def r09(spark, sf_dir):
     rows = [(m.name, s, round(p, 9)) for m in LIBRARY[:2] for s, p in thresholds.instances(m, 0.8)]
     return spark.createDataFrame(rows, "motif string, site string, p double")
@@ -288,7 +325,22 @@ def c06(spark, sf_dir):
     return spark.createDataFrame([("-".join(map(str, sorted(g))), round(score[g], 6)) for g in search.dependency_groups(score, 6)], "columns string, score double")
 
 
-@query("c08_gap_motif")
+_JOINT = "substr({0}, 2, 1) || substr({0}, 5, 1)"
+_SINGLE = " + ".join("list_extract([" + ", ".join(f"{float(x)!r}::DOUBLE" for x in MOTIFS[0].logs[c]) + f"], strpos('ACGT', substr({{0}}, {c + 1}, 1)))" for c in (0, 2, 3, 5))
+_JOINT_LOG = "coalesce((SELECT ln(p) FROM words WHERE word = {0}), (SELECT ln(max(p) / 9) FROM words WHERE word = 'N'))".format(_JOINT)
+
+
+@query(
+    "c08_gap_motif",
+    over_seqs(
+        "SELECT 'm1' AS motif, count(*) AS n, round(avg(score), 6) AS mean_score, 19 AS parameters FROM (SELECT seq_id, max(score) AS score FROM kmers6 JOIN paired USING (kmer) GROUP BY seq_id)",
+        windows(6),
+        f"ranked AS (SELECT w, n / sum(n) OVER () AS p, row_number() OVER (ORDER BY n DESC, w) AS r FROM (SELECT {_JOINT.format('kmer')} AS w, count(*) AS n FROM kmers6 GROUP BY 1))",
+        "words AS (SELECT CASE WHEN r <= 7 THEN w ELSE 'N' END AS word, sum(p) AS p FROM ranked GROUP BY 1)",
+        f"strands AS (SELECT kmer, unnest([kmer, {rc('kmer')}]) AS s FROM (SELECT DISTINCT kmer FROM kmers6))",
+        f"paired AS (SELECT kmer, max(round({_SINGLE.format('s')} + {_JOINT_LOG.format('s')}, 9)) AS score FROM strands GROUP BY kmer)",
+    ),
+)
 def c08(spark, sf_dir):
     """A motif whose second and fifth column count jointly, as the sequences' 6-mers pair them, and its best hits."""
     from ..operators import cluster
@@ -309,6 +361,9 @@ def c11(spark, sf_dir):
     return found
 
 
-@query("c14_sub_motif")
+@query(
+    "c14_sub_motif",
+    f"WITH {motif_values('lib', LIBRARY)}, tops AS (SELECT motif, width, col, {_TOP} AS b FROM lib) SELECT motif, string_agg(b, '' ORDER BY col) FILTER (col >= 1 AND col < width - 1) AS core, string_agg(b, '' ORDER BY md5('12345678:' || motif || ':' || col)) AS shuffled FROM tops GROUP BY motif",
+)
 def c14(spark, sf_dir):
     return spark.createDataFrame([(m.name, m.sub(1, len(m) - 1).best(), m.shuffled().best()) for m in LIBRARY], "motif string, core string, shuffled string")

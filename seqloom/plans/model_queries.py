@@ -10,7 +10,7 @@ from ..operators import background, cluster, em, kmers, metrics, motifs, positio
 from ..operators.motifs import Motif
 from ..sources.corpus import letters, sequences, table
 from .registry import over_seqs, query, rc, windows
-from .scan_queries import BEST, HITS, LABELLED, MOTIFS, OVERLAP, SCORED, best, hits, labelled, recursive
+from .scan_queries import BEST, HITS, LABELLED, MOTIFS, OVERLAP, SCORED, best, hits, labelled, motif_rows, recursive
 from .scratch import kept
 from .sequence_queries import model_sql
 
@@ -52,9 +52,13 @@ def j08(spark, sf_dir):
 _BACK = motif_values("back", [m.reverse_complement() for m in LIBRARY])
 
 
+_ALIGNED_BACK = _ALIGNED.format(q="back").replace("pairs AS", "rpairs AS").replace("FROM pairs", "FROM rpairs").replace("aligned AS", "raligned AS")
+#: Common tables of the divergence of each two motifs: div(m1, m2, d).
+DIVERGENCE = (motif_values("lib", LIBRARY), _BACK, _ALIGNED.format(q="lib").replace("pairs AS", "apairs AS").replace("FROM pairs", "FROM apairs"), _ALIGNED_BACK, "div AS (SELECT m1, m2, min(d) AS d FROM (SELECT * FROM aligned UNION ALL SELECT * FROM raligned) GROUP BY m1, m2)")
+
+
 def _divergence_sql(then: str) -> str:
-    second = _ALIGNED.format(q="back").replace("pairs AS", "rpairs AS").replace("FROM pairs", "FROM rpairs").replace("aligned AS", "raligned AS")
-    return f"WITH {motif_values('lib', LIBRARY)}, {_BACK}, {_ALIGNED.format(q='lib')}, {second}, div AS (SELECT m1, m2, min(d) AS d FROM (SELECT * FROM aligned UNION ALL SELECT * FROM raligned) GROUP BY m1, m2) {then}"
+    return f"WITH {', '.join(DIVERGENCE)} {then}"
 
 
 def divergences(spark):
@@ -187,11 +191,22 @@ def e05(spark, sf_dir):
     return rows.select("motif", F.round("total", 4).alias("total"), F.round("top", 6).alias("top"))
 
 
-@query("e09_mixing_share")
+@query(
+    "e09_mixing_share",
+    recursive(
+        over_seqs(
+            "SELECT 'm1' AS motif, round((lo + hi) / 2, 6) AS share FROM halved WHERE k = 50",
+            *BEST,
+            "ratios AS (SELECT exp(score - 6 * ln(0.25)) AS r FROM best WHERE motif = 'm1')",
+            # where the slope of the log-likelihood changes its sign
+            "halved AS (SELECT 0 AS k, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi UNION ALL SELECT k + 1, CASE WHEN s > 0 THEN mid ELSE lo END, CASE WHEN s > 0 THEN hi ELSE mid END FROM (SELECT k, lo, hi, (lo + hi) / 2 AS mid, (SELECT sum((r - 1) / (1 - (lo + hi) / 2 + (lo + hi) / 2 * r)) FROM ratios) AS s FROM halved WHERE k < 50))",
+        )
+    ),
+)
 def e09(spark, sf_dir):
     """The share of sequences with a site, by Newton steps on an aggregate."""
     rows = best(spark, sf_dir, "m1").select(F.exp(F.col("score") - 6 * F.log(F.lit(0.25))).alias("ratio"))
-    return spark.createDataFrame([("m1", em.mixing_share(kept(rows), "ratio"))], "motif string, share double")
+    return spark.createDataFrame([("m1", round(em.mixing_share(kept(rows), "ratio"), 6))], "motif string, share double")
 
 
 @query("e10_negative_binomial", "SELECT doc_id, round(lgamma(n_chars + 5.0) - lgamma(n_chars + 1.0) - lgamma(5.0) + 5 * ln(0.002) + n_chars * ln(0.998), 4) AS logp FROM documents")
@@ -270,16 +285,51 @@ def f08(spark, sf_dir):
     return spark.createDataFrame([(m.name, len(m), len(m.trimmed()), m.trimmed().consensus()) for m in rows], "motif string, width int, kept int, consensus string")
 
 
-@query("t06_exact_threshold")
+_WIDEST = max(map(len, MOTIFS))
+#: The distribution of the sums of rounded scores, a column at a time: tails(motif, s, tail).
+_SCORES = (
+    "steps AS (SELECT motif, width, col, CAST(round(f * 1000) AS BIGINT) AS step, p AS q FROM motifs JOIN model ON prefix = base)",
+    "d0 AS (SELECT DISTINCT motif, width, 0::BIGINT AS s, 1.0::DOUBLE AS p FROM motifs)",
+    *(f"d{i + 1} AS (SELECT d.motif, d.width, s + step AS s, sum(p * q) AS p FROM d{i} d JOIN steps t ON t.motif = d.motif AND col = {i} GROUP BY ALL UNION ALL SELECT motif, width, s, p FROM d{i} WHERE width <= {i})" for i in range(_WIDEST)),
+    f"tails AS (SELECT motif, s, sum(p) OVER (PARTITION BY motif ORDER BY s DESC) AS tail, max(s) OVER (PARTITION BY motif) AS top FROM d{_WIDEST})",
+)
+
+
+@query(
+    "t06_exact_threshold",
+    over_seqs(
+        "SELECT motif, rate, coalesce(min(s) FILTER (tail <= rate), any_value(top) + 1) / 1000.0 AS threshold, round(coalesce(max(tail) FILTER (tail <= rate), 0), 9) AS false_rate FROM tails, (SELECT unnest([0.05::DOUBLE, 0.01::DOUBLE, 0.001::DOUBLE]) AS rate) GROUP BY motif, rate",
+        motif_rows(),
+        model_sql(0),
+        *_SCORES,
+    ),
+)
 def t06_exact(spark, sf_dir):
-    """Thresholds by the exact distribution of scores under the sequences' base frequencies."""
+    """Thresholds by the distribution of scores, rounded to 1/1000 a column, under the sequences' base frequencies."""
     p = {r["prefix"]: r["p"] for r in background.fit(sequences(spark, sf_dir), 0).collect()}
     q = [p[b] for b in "ACGT"]
     rows = [(m.name, rate, thresholds.threshold(m, rate, q)) for m in MOTIFS for rate in (0.05, 0.01, 0.001)]
-    return spark.createDataFrame([(n, r, t, thresholds.false_rate(next(m for m in MOTIFS if m.name == n), t, q)) for n, r, t in rows], "motif string, rate double, threshold double, false_rate double")
+    return spark.createDataFrame([(n, r, t, round(thresholds.false_rate(next(m for m in MOTIFS if m.name == n), t, q), 9)) for n, r, t in rows], "motif string, rate double, threshold double, false_rate double")
 
 
-@query("t08_top_instances")
+def instances_sql(mass: float, rows: list[Motif]) -> list[str]:
+    """Common tables: every string of the motifs with its probability, and those that ``mass`` takes: taken(motif, kmer, p)."""
+    widest = max(map(len, rows))
+    letters = "letters AS (SELECT motif, width, col, b.base, ln((CASE b.base WHEN 'A' THEN a WHEN 'C' THEN c WHEN 'G' THEN g ELSE t END + 1e-14) / (a + c + g + t)) AS l FROM lib, (SELECT unnest(['A', 'C', 'G', 'T']) AS base) b)"
+    grown = [f"e{i + 1} AS (SELECT e.motif, e.width, kmer || base AS kmer, e.l + x.l AS l FROM e{i} e JOIN letters x ON x.motif = e.motif AND col = {i} UNION ALL SELECT motif, width, kmer, l FROM e{i} WHERE width <= {i})" for i in range(widest)]
+    return [
+        motif_values("lib", rows),
+        letters,
+        "e0 AS (SELECT DISTINCT motif, width, '' AS kmer, 0.0::DOUBLE AS l FROM lib)",
+        *grown,
+        f"taken AS (SELECT motif, kmer, exp(l) AS p FROM (SELECT motif, kmer, l, coalesce(sum(exp(l)) OVER (PARTITION BY motif ORDER BY round(l, 8) DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1e-7 PRECEDING), 0) AS before FROM e{widest}) WHERE before < {mass})",
+    ]
+
+
+@query(
+    "t08_top_instances",
+    over_seqs("SELECT motif, taken.kmer, round(p, 9) AS p, coalesce(n, 0) AS n FROM taken LEFT JOIN (SELECT kmer, count(*) AS n FROM kmers6 GROUP BY kmer UNION ALL SELECT kmer, count(*) FROM kmers7 GROUP BY kmer) k USING (kmer)", windows(6), windows(7), *instances_sql(0.5, MOTIFS[:2])),
+)
 def t08(spark, sf_dir):
     """The likeliest strings of each motif up to half of its probability, with their counts in the sequences."""
     rows = [(m.name, s, p) for m in MOTIFS[:2] for s, p in thresholds.instances(m, 0.5)]
@@ -323,7 +373,19 @@ def c04(spark, sf_dir):
     return spark.createDataFrame(rows, "m1 string, m2 string, n_near long, ratio double")
 
 
-@query("c05_overlap_and_divergence_filter")
+@query(
+    "c05_overlap_and_divergence_filter",
+    recursive(
+        over_seqs(
+            "SELECT name AS motif, CAST(width AS DOUBLE) AS score FROM (SELECT unnest(kept) AS name FROM judged WHERE k = 9) JOIN (SELECT DISTINCT motif AS name, width FROM lib) USING (name)",
+            *OVERLAP,
+            *DIVERGENCE,
+            "ranked AS (SELECT motif, row_number() OVER (ORDER BY width DESC, motif) AS k FROM (SELECT DISTINCT motif, width FROM lib))",
+            """judged AS (SELECT 1::BIGINT AS k, []::VARCHAR[] AS kept UNION ALL SELECT j.k + 1, CASE WHEN (SELECT coalesce(max(ratio), 0) FROM overlap WHERE (m1 = r.motif AND list_contains(j.kept, m2)) OR (m2 = r.motif AND list_contains(j.kept, m1))) <= 0.5
+  AND (SELECT coalesce(min(d), 1) FROM div WHERE (m1 = r.motif AND list_contains(j.kept, m2)) OR (m2 = r.motif AND list_contains(j.kept, m1))) >= 0.09 THEN list_append(j.kept, r.motif) ELSE j.kept END FROM judged j JOIN ranked r USING (k))""",
+        )
+    ),
+)
 def c05(spark, sf_dir):
     ratio = {(r["m1"], r["m2"]): r["ratio"] for r in overlaps(spark, sf_dir)}
     scored = [Motif(m.name, m.weights, float(len(m))) for m in LIBRARY]
@@ -342,7 +404,16 @@ def c07(spark, sf_dir):
     return rows.select("word", "n", *(F.round(c, 6).alias(c) for c in ("p", "q", "kl")))
 
 
-@query("c09_similar_sequences")
+@query(
+    "c09_similar_sequences",
+    f"""WITH items AS (SELECT item_id AS seq_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM benchmark),
+k AS (SELECT DISTINCT seq_id, least(kmer, {rc('kmer')}) AS kmer FROM (SELECT seq_id, substr(seq, pos + 1, 10) AS kmer FROM (SELECT seq_id, seq, unnest(range(0, length(seq) - 9)) AS pos FROM items))),
+met AS (SELECT x.seq_id AS a, y.seq_id AS b, count(*) AS n_shared FROM k x JOIN k y USING (kmer) WHERE x.seq_id < y.seq_id GROUP BY 1, 2 HAVING count(*) >= 2),
+texts AS (SELECT a, b, x.seq AS x, y.seq AS y, 0 AS strand FROM met JOIN items x ON x.seq_id = a JOIN items y ON y.seq_id = b UNION ALL SELECT a, b, x.seq, {rc('y.seq')}, 1 FROM met JOIN items x ON x.seq_id = a JOIN items y ON y.seq_id = b),
+cells AS (SELECT a, b, strand, i - j AS d, i FROM (SELECT *, unnest(range(1, length(y) + 1)) AS j FROM (SELECT *, unnest(range(1, length(x) + 1)) AS i FROM texts)) WHERE substr(x, i, 1) = substr(y, j, 1)),
+runs AS (SELECT a, b, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY a, b, strand, d ORDER BY i) AS g FROM cells) GROUP BY a, b, strand, d, g)
+SELECT a, b, n_shared, CAST(max(n) AS INTEGER) AS longest FROM runs JOIN met USING (a, b) GROUP BY a, b, n_shared""",
+)
 def c09(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), letters("text").alias("seq"))
     return cluster.similar_sequences(items, 10, 2)
@@ -374,7 +445,18 @@ def r03(spark, sf_dir):
     return sampling.weighted_draws(rows, "w", 500, 3, "seq_id")
 
 
-@query("r05_planted_sites")
+def planted_sql(motif: Motif, share: float, seed: int) -> list[str]:
+    """Common tables: planted(seq_id, site, pos, reverse)."""
+    u = lambda what: f"(CAST(('0x' || substr(md5('{seed}:' || seq_id || ':{what}'), 1, 12)) AS BIGINT) / 281474976710656.0)"
+    site = lambda m: " || ".join(f"CASE WHEN {u(c)} < {row[0]!r}::DOUBLE THEN 'A' WHEN {u(c)} < {row[1]!r}::DOUBLE THEN 'C' WHEN {u(c)} < {row[2]!r}::DOUBLE THEN 'G' ELSE 'T' END" for c, row in enumerate(sampling.running(m).tolist()))
+    chosen = f"(length(seq) >= {len(motif)} AND {u('share')} < {share})"
+    return [
+        f"placed AS (SELECT seq_id, CASE WHEN {chosen} THEN CAST(floor({u('pos')} * (length(seq) - {len(motif) - 1})) AS INTEGER) END AS pos, CASE WHEN {chosen} THEN {u('strand')} < 0.5 END AS reverse FROM seqs)",
+        f"planted AS (SELECT seq_id, CASE WHEN reverse THEN {site(motif.reverse_complement())} WHEN NOT reverse THEN {site(motif)} END AS site, pos, reverse FROM placed)",
+    ]
+
+
+@query("r05_planted_sites", over_seqs("SELECT seq_id, site, pos, reverse FROM planted", *planted_sql(MOTIFS[2], 0.5, 9)))
 def r05(spark, sf_dir):
     return sampling.planted(sequences(spark, sf_dir).select("seq_id", "seq"), MOTIFS[2], 0.5, 9).select("seq_id", "site", "pos", "reverse")
 
@@ -390,7 +472,18 @@ def r06(spark, sf_dir):
     return motif_frame(spark, LIBRARY).select("motif", place.cast("int").alias("col"), "a", "c", "g", "t")
 
 
-@query("j10_consensus_alignment")
+_STRINGS = ", ".join(f"({i}, '{m.name}', '{m.best()}', '{m.reverse_complement().best()}')" for i, m in enumerate(LIBRARY))
+
+
+@query(
+    "j10_consensus_alignment",
+    f"""WITH s AS (SELECT * FROM (VALUES {_STRINGS}) t(k, motif, best, back)),
+p AS (SELECT x.motif AS m1, y.motif AS m2, x.best AS a, strand, CASE strand WHEN '+' THEN y.best ELSE {rc('y.best')} END AS b FROM s x JOIN s y ON x.k < y.k, (SELECT unnest(['+', '-']) AS strand)),
+shifts AS (SELECT *, unnest(range(1 - length(b), length(a))) AS shift FROM p),
+cells AS (SELECT m1, m2, strand, shift, a, b, unnest(range(greatest(0, shift), least(length(a), shift + length(b)))) AS k FROM shifts),
+scores AS (SELECT m1, m2, strand, shift, sum(CASE WHEN substr(a, k + 1, 1) = substr(b, k - shift + 1, 1) THEN 1 ELSE -1 END) AS score FROM cells GROUP BY ALL)
+SELECT m1, m2, CAST(shift AS INTEGER) AS shift, strand, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY m1, m2 ORDER BY score DESC, abs(shift), strand DESC, shift DESC) AS r FROM scores) WHERE r = 1""",
+)
 def j10(spark, sf_dir):
     """Best shift of each pair of consensus strings by matches less mismatches, on either strand."""
     flip = str.maketrans("ACGT", "TGCA")

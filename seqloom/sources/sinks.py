@@ -62,3 +62,31 @@ def write_answers(planted: DataFrame, motif: str, path: str) -> None:
 def write_table(rows: DataFrame, path: str) -> None:
     """Scores, profiles and evaluations as Parquet."""
     rows.write.mode("overwrite").parquet(path)
+
+
+def write_hot_sites(hits: DataFrame, sequences: DataFrame, flank: int, path: str) -> None:
+    """FASTA of the windows around hits (seq_id, motif, pos, width), cut at the ends of their sequences; a name is
+    motif:sequence:position."""
+    rows = hits.join(sequences.select("seq_id", "seq"), "seq_id")
+    start = F.greatest(F.col("pos") - flank, F.lit(0))
+    window = F.substring(F.col("seq"), start + 1, F.col("pos") + F.col("width") + flank - start)
+    write_fasta(rows.select(F.concat_ws(":", "motif", F.col("seq_id").cast("string"), F.col("pos").cast("string")).alias("name"), window.alias("seq")), path)
+
+
+def write_matches(hits: DataFrame, sequences: DataFrame, path: str) -> None:
+    """motif, matched string and how often, tab-separated, of hits (seq_id, motif, pos, width)."""
+    rows = hits.join(sequences.select("seq_id", "seq"), "seq_id")
+    counts = rows.groupBy("motif", F.substring(F.col("seq"), F.col("pos") + 1, F.col("width")).alias("site")).agg(F.count("*").alias("n"))
+    counts.write.mode("overwrite").option("sep", "\t").csv(path)
+
+
+def write_places(hits: DataFrame, path: str) -> None:
+    """A folder for each motif with lines of sequence, position, strand and score, tab-separated."""
+    rows = hits.select("motif", "seq_id", "pos", F.when(F.col("reverse"), "-").otherwise("+").alias("strand"), "score")
+    rows.write.mode("overwrite").partitionBy("motif").option("sep", "\t").csv(path)
+
+
+def write_evaluation(rows: DataFrame, path: str) -> None:
+    """Lines of motif, AUC, and numbers of positives and negatives, tab-separated with a header, the best motif first."""
+    out = rows.orderBy(F.desc("auc"), "motif").select("motif", F.format_string("%.6f", "auc").alias("auc"), "n_pos", "n_neg")
+    out.coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)  # a row for each motif

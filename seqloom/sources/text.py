@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import ordered
+
 
 def lines(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
     """(row, value) of the lines, or records, of a text file in order."""
@@ -50,13 +52,13 @@ def intensities(spark: SparkSession, path: str, *, limit: int | None = None, tri
 
 def weights(spark: SparkSession, path: str, sequences: DataFrame) -> DataFrame:
     """(seq_id, weight): the number after the last colon of each token, in order; sequences without one get the last weight."""
-    tokens = lines(spark, path).select("row", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("i", "token")).where("token <> ''")
-    from pyspark.sql import Window
-
-    found = tokens.select(F.struct("row", "i").alias("at"), F.regexp_extract("token", r"([0-9.eE+-]+)$", 1).try_cast("double").alias("weight"))
-    found = found.withColumn("seq_id", (F.row_number().over(Window.orderBy("at")) - 1).cast("long"))  # a weights file is a list as long as the names
+    split = F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "")
+    rows = lines(spark, path).select("row", split.alias("tokens")).where(F.size("tokens") > 0)
+    rows = ordered.running_sums(rows.withColumn("n", F.size("tokens").cast("long")), "row", ["n"])
+    tokens = rows.select("before_n", F.posexplode("tokens").alias("i", "token"))
+    found = tokens.select((F.col("before_n") + F.col("i")).cast("long").alias("seq_id"), F.regexp_extract("token", r"([0-9.eE+-]+)$", 1).try_cast("double").alias("weight"))
     last = found.agg(F.max_by("weight", "seq_id").alias("_last"))
-    return sequences.select("seq_id").join(found.select("seq_id", "weight"), "seq_id", "left").crossJoin(F.broadcast(last)).select("seq_id", F.coalesce("weight", "_last").alias("weight"))
+    return sequences.select("seq_id").join(found, "seq_id", "left").crossJoin(F.broadcast(last)).select("seq_id", F.coalesce("weight", "_last").alias("weight"))
 
 
 def matrix(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:
@@ -64,6 +66,18 @@ def matrix(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:
     return lines(spark, path).where(F.trim("value") != "").select(F.col("row").alias("seq_id"), F.transform(F.split("value", separator), lambda x: F.trim(x).try_cast("double")).alias("values"))
 
 
+def prior(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:
+    """(seq_id, pos, logp) of a matrix whose rows are a sequence's number and the log prior of each of its places."""
+    rows = matrix(spark, path, separator).select(F.get("values", F.lit(0)).cast("long").alias("id"), F.slice(F.col("values"), F.lit(2), F.size("values")).alias("logs"))
+    return rows.select(F.col("id").alias("seq_id"), F.posexplode("logs").alias("pos", "logp")).where("logp IS NOT NULL")
+
+
+def with_prior(hits: DataFrame, logs: DataFrame) -> DataFrame:
+    """hits with the log prior of their place added to the score; places without one keep their score."""
+    rows = hits.join(logs, ["seq_id", "pos"], "left")
+    return rows.withColumn("score", F.col("score") + F.coalesce("logp", F.lit(0.0))).drop("logp")
+
+
 def signal_bins(signal: DataFrame, resolution: int) -> DataFrame:
     """(seq_id, bin, total) of a signal matrix."""
     cells = signal.select("seq_id", F.posexplode("values").alias("i", "v"))
@@ -135,16 +149,14 @@ def predicted_sites(spark: SparkSession, path: str, tool: str | None = None, *,
     give ``reverse``; their positions on the reverse strand are counted from the end and become ``length`` less the position,
     where ``length`` is that of the sequences. ``SEQ_`` before a number isn't part of seq.
     """
-    from pyspark.sql import Window
-
     tool = path.rsplit("/", 1)[-1].rsplit(".", 1)[-1] if tool is None else tool
     if tool not in TOOL_PATTERNS and tool not in SITE_PATTERNS:
         raise ValueError(f"no pattern of predicted sites is known by the name {tool}")
     pattern, seq, strand, pos = TOOL_PATTERNS[tool] if tool in TOOL_PATTERNS else (SITE_PATTERNS[tool], 1, 0, 2)
-    rows = lines(spark, path).select("row", "value", F.col("value").rlike(pattern).alias("ok"))
-    w = Window.orderBy("row")  # a tool's report is one file of lists, in order
-    rows = rows.withColumn("start", (F.col("ok") & ~F.coalesce(F.lag("ok").over(w), F.lit(False))).cast("int"))
-    rows = rows.withColumn("list_id", (F.sum("start").over(w) - 1).cast("int")).where("ok")
+    rows = lines(spark, path).select("row", "value", F.col("value").rlike(pattern).alias("ok")).where("ok")
+    before = rows.select((F.col("row") + 1).alias("row"), F.lit(False).alias("start"))
+    rows = rows.join(before, "row", "left").withColumn("start", F.coalesce("start", F.lit(True)).cast("long"))
+    rows = ordered.running_sums(rows, "row", ["start"]).withColumn("list_id", (F.col("before_start") + F.col("start") - 1).cast("int"))
     group = lambda i: F.regexp_extract("value", pattern, i)
     if tool in SITE_PATTERNS:
         return rows.select("list_id", group(seq).alias("seq"), group(pos).cast("long").alias("pos"))
