@@ -6,12 +6,14 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
 from . import kmers
 from .motifs import Motif, divergence
+from .scan import numbered, scores
 
 
 def greedy_filter(order: list[str], overlap: dict[tuple[str, str], float], most: float, at_least: int | None = None) -> list[str]:
@@ -90,6 +92,54 @@ def combine(profiles: DataFrame, names: list[str], labels: DataFrame) -> DataFra
     return auc(scored.select("motifs", "score", "label"), "motifs")
 
 
+def profile_scores(sequences: DataFrame, motifs: list[Motif], reach: int, strands: bool = False, chunk: int = 1 << 19) -> DataFrame:
+    """(motifs, seq_id, score) of every set of motifs: the greatest sum, over the places of a sequence, of the motifs' best windows
+    that begin within ``reach`` of the place. strands: the windows of a sum have to be on one strand.
+
+    One pass over the sequences for all sets; a set of which a motif has no window in a sequence gives no row. A long sequence is
+    one piece here: a profile has as many numbers as letters.
+    """
+    sets = [list(c) for k in range(1, len(motifs) + 1) for c in itertools.combinations(range(len(motifs)), k)]
+
+    def profile(codes, row, offsets, m, logs, groups):
+        """The best window within reach of each place, on padded sequences, so that none is reached from another one."""
+        n, pad = len(offsets) - 1, reach + 1
+        value = np.full(len(codes) + n * pad + reach, -np.inf)
+        found = scores(codes, logs, groups)
+        at = np.arange(len(found))
+        inside = at + len(m) <= offsets[row[: len(found)] + 1]
+        value[reach + at[inside] + row[: len(found)][inside] * pad] = found[inside]
+        width, top, done = 2 * reach + 1, value, 1
+        while done < width:  # running maxima of a width that doubles
+            step = min(done, width - done)
+            top = np.concatenate([np.maximum(top[:-step], top[step:]), top[-step:]])
+            done += step
+        return top[np.arange(len(codes)) + row * pad]
+
+    def found(batches):
+        for batch in batches:
+            codes, offsets = numbered(batch.column("seq"))
+            ids, low = batch.column("seq_id"), 0
+            while low < len(ids):
+                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + chunk, side="right")) - 1)
+                part, cut = codes[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+                row = np.repeat(np.arange(high - low), np.diff(cut))
+                full = np.flatnonzero(np.diff(cut) > 0)
+                both = [[profile(part, row, cut, m, x.logs, x.group_logs()) for x in (m, m.reverse_complement())] for m in motifs]
+                for s in sets if len(full) else []:
+                    if strands:
+                        total = np.maximum(sum(both[i][0] for i in s), sum(both[i][1] for i in s))
+                    else:
+                        total = sum(np.maximum(*both[i]) for i in s)
+                    best = np.maximum.reduceat(total, cut[full])
+                    good = np.isfinite(best)
+                    name = "+".join(motifs[i].name for i in s)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * int(good.sum())), ids.take(pa.array(low + full[good])), pa.array(np.round(best[good], 9))], ["motifs", "seq_id", "score"])
+                low = high
+
+    return sequences.select("seq_id", "seq").mapInArrow(found, "motifs string, seq_id long, score double")
+
+
 def dependence(sites: DataFrame, columns: list[int], keep: int) -> DataFrame:
     """(word, n, p, q, kl): joint frequencies of some columns of aligned sites against the product of the columns' own.
 
@@ -112,6 +162,33 @@ def dependence(sites: DataFrame, columns: list[int], keep: int) -> DataFrame:
     return merged.withColumn("kl", F.col("p") * F.log(F.col("p") / F.col("q")))
 
 
+def joint_counts(sites: DataFrame, groups: list[tuple[int, ...]]) -> dict[tuple[int, ...], dict[str, int]]:
+    """How often each word stands at each group of columns of aligned sites (site), all groups in one pass; 4 ** columns numbers
+    of each group come to the driver."""
+    if not groups:
+        return {}
+    words = F.array(*(F.struct(F.lit(i).alias("g"), F.concat(*(F.substring("site", c + 1, 1) for c in g)).alias("word")) for i, g in enumerate(groups)))
+    rows = sites.select(F.explode(words).alias("x")).groupBy("x.g", "x.word").agg(F.count("*").alias("n")).collect()
+    out: dict[tuple[int, ...], dict[str, int]] = {g: {} for g in groups}
+    for r in rows:
+        out[groups[r["g"]]][r["word"]] = r["n"]
+    return out
+
+
+def dependence_score(joint: dict[str, int], single: list[dict[str, int]], keep: int) -> float:
+    """What is gained by the joint frequencies of some columns over the product of the columns' own: the divergence of the
+    ``keep`` most frequent words, and of all others together, in nats a site."""
+    total = sum(joint.values())
+    if not total:
+        return 0.0
+    rows = [(n, w, n / total, float(np.prod([s[b] / total for s, b in zip(single, w, strict=True)]))) for w, n in joint.items()]
+    rows.sort(key=lambda r: (-r[0], r[1]))
+    kept = [(p, q) for _, _, p, q in rows[:keep]]
+    if rest := rows[keep:]:
+        kept.append((sum(r[2] for r in rest), sum(r[3] for r in rest)))
+    return float(sum(p * np.log(p / q) for p, q in kept if p > 0 and q > 0))
+
+
 def longest_common(a: str, b: str) -> int:
     """Length of the longest common substring."""
     if not a or not b:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,3 +93,24 @@ def kolmogorov(values: DataFrame, value: str, by: str) -> DataFrame:
     rows = ordered.running_sums(steps, "_v", ["_c"], by=by).join(F.broadcast(total), by)
     low, high = F.col("before__c") / F.col("_n"), (F.col("before__c") + F.col("_c")) / F.col("_n")
     return rows.groupBy(by).agg(F.max("_n").alias("n"), F.max(F.greatest(F.abs(high - F.col("_v")), F.abs(low - F.col("_v")))).alias("ks"))
+
+
+def geometric_windows(hits: DataFrame, first: float = 0.05, factor: float = 1.1) -> DataFrame:
+    """(motif, k, radius, n_inside, odds, z) of windows around the sequences' centres that grow by a factor up to the whole.
+
+    hits: (motif, away), the distance from the centre as a share of half the sequence. odds and z compare the hits inside a window
+    with an even spread; windows are a few dozen rows a motif.
+    """
+    from pyspark.sql import Window
+
+    last = max(1, math.ceil(math.log(1 / first) / math.log(factor)))
+    k = F.when(F.col("away") <= first, 0).otherwise(F.least(F.ceil(F.log(F.col("away") / first) / math.log(factor) - 1e-9), F.lit(last))).cast("int")
+    bins = hits.groupBy("motif", k.alias("k")).agg(F.count("*").alias("c"))
+    every = bins.select("motif").distinct().select("motif", F.explode(F.sequence(F.lit(0), F.lit(last - 1))).alias("k"))
+    total = bins.groupBy("motif").agg(F.sum("c").alias("t"))
+    rows = every.join(bins, ["motif", "k"], "left").join(F.broadcast(total), "motif")
+    inside = F.sum(F.coalesce("c", F.lit(0))).over(Window.partitionBy("motif").orderBy("k"))  # a few dozen rows of a motif
+    rows = rows.select("motif", "k", (first * F.pow(F.lit(factor), F.col("k"))).alias("radius"), inside.alias("n_inside"), "t")
+    r, s, t = F.col("radius"), F.col("n_inside"), F.col("t")
+    odds = F.try_divide(s, t - s) / (r / (1 - r))
+    return rows.select("motif", "k", "radius", "n_inside", odds.alias("odds"), ((s - t * r) / F.sqrt(t * r * (1 - r))).alias("z"))

@@ -32,6 +32,21 @@ def best_of_islands(rows: DataFrame, by: list[str], pos: str, score: str, gap: i
     return islands(rows, by, pos, gap).groupBy(*by, "island").agg(best.alias("b")).select(*by, f"b.{pos}", f"b.{score}")
 
 
+def competition(rows: DataFrame, by: list[str], pos: str, score: str, gap: int, withdrawn: float = 0.8) -> DataFrame:
+    """(by, n, total): sites in order, where of two that lie within ``gap`` the better one counts, exp(score) each. A site that
+    has to go takes back ``withdrawn`` of what it counted. by is a sequence's key, so a list is one sequence's sites."""
+    sites = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).cast("long").alias("p"), F.col(score).alias("s")))).alias("_l"))
+    start = F.struct(F.lit(None).cast("long").alias("p"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("t"))
+
+    def add(acc, x):
+        apart = acc["p"].isNull() | (x["p"] - acc["p"] > gap)
+        new = F.struct(x["p"].alias("p"), x["s"].alias("s"), (acc["n"] + 1).alias("n"), (acc["t"] + F.exp(x["s"])).alias("t"))
+        instead = F.struct(x["p"].alias("p"), x["s"].alias("s"), acc["n"].alias("n"), (acc["t"] - withdrawn * F.exp(acc["s"]) + F.exp(x["s"])).alias("t"))
+        return F.when(apart, new).when(x["s"] > acc["s"], instead).otherwise(acc)
+
+    return sites.select(*by, F.aggregate("_l", start, add).alias("_a")).select(*by, F.col("_a.n").alias("n"), F.col("_a.t").alias("total"))
+
+
 def near(left: DataFrame, right: DataFrame, by: str, pos: str, within: int) -> DataFrame:
     """(by, a, b): all pairs of positions of the same group at most ``within`` apart, as an equality join on cells of that width.
 

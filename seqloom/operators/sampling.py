@@ -46,6 +46,18 @@ def weighted_draws(rows: DataFrame, weight: str, n: int, seed: int, order: str)
     return met.groupBy("draw").agg(F.min(order).alias(order))
 
 
+def inverse(draws: DataFrame, u: Column, weights: DataFrame, kind: str, weight: str) -> DataFrame:
+    """draws with the kind whose share of the running sum of the weights, in the order of the kinds, holds the number u in [0, 1).
+
+    The weights are one broadcast row of two lists, for a few thousand kinds; ``weighted_draws`` is for more.
+    """
+    rows = weights.where(F.col(weight) > 0).agg(F.sort_array(F.collect_list(F.struct(F.col(kind).alias("k"), F.col(weight).cast("double").alias("w")))).alias("_l"))
+    upto = F.transform(F.sequence(F.lit(1), F.size("_l")), lambda i: F.aggregate(F.slice("_l", F.lit(1), i), F.lit(0.0), lambda s, x: s + x["w"]))
+    rows = rows.where(F.size("_l") > 0).select(F.transform("_l", lambda x: x["k"]).alias("_kinds"), upto.alias("_upto"))
+    at = F.size(F.filter("_upto", lambda c: c <= u * F.element_at("_upto", -1)))
+    return draws.crossJoin(F.broadcast(rows)).withColumn(kind, F.get("_kinds", F.least(at, F.size("_kinds") - 1))).drop("_kinds", "_upto")
+
+
 #: A prime that products of two numbers below it leave 64 bits enough for.
 _PRIME = (1 << 31) - 1
 

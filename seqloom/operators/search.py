@@ -75,6 +75,41 @@ def gapped_seeds(sequences: DataFrame, half: int, gap: int, limit: int) -> DataF
     return scored.where("n >= 10").select("left", "right", "n", odds.alias("odds")).orderBy(F.desc("odds"), "left", "right").limit(limit)
 
 
+def spaced_seeds(sequences: DataFrame, mask: str, background: dict[str, float], limit: int, least: int = 10) -> DataFrame:
+    """(seed, n, odds): the letters at a mask's kept places, with N at the others, ranked by count over what the bases' own
+    frequencies let expect. The mask has as many gaps as it likes; 4 ** kept rows at most are shuffled by a task."""
+    places = [i for i, c in enumerate(mask) if c == "1"]
+    word = F.concat(*(F.substring("kmer", i + 1, 1) for i in places))
+    rows = kmers.kmers_only(sequences, len(mask)).groupBy(word.alias("word")).agg(F.count("*").alias("n"))
+    total = rows.agg(F.sum("n").alias("total"))
+    p = F.lit(1.0)
+    for j in range(len(places)):
+        letter = F.substring("word", j + 1, 1)
+        p = p * F.when(letter == "A", background["A"]).when(letter == "C", background["C"]).when(letter == "G", background["G"]).otherwise(background["T"])
+    seed = F.concat(*(F.substring("word", places.index(i) + 1, 1) if c == "1" else F.lit("N") for i, c in enumerate(mask)))
+    scored = rows.where(F.col("n") >= least).crossJoin(F.broadcast(total)).select(seed.alias("seed"), "n", F.round(F.col("n") / (F.col("total") * p), 6).alias("odds"))
+    return scored.orderBy(F.desc("odds"), "seed").limit(limit)
+
+
+def recall(seeds: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """One row of how well seeds (kmer) of k letters find known sites (motif, site), a seed finding those that hold it: motifs,
+    found ones and their share, families (the first three letters of a name) of found ones and motifs in each, pairs of a seed
+    and a motif's site for each found motif, and for each matching seed."""
+    sites = known.distinct().withColumn("seq_id", F.monotonically_increasing_id())
+    parts = kmers.explode(sites.withColumnRenamed("site", "seq"), k, "motif").select("motif", "seq_id", "kmer").distinct()
+    met = parts.join(F.broadcast(seeds.select("kmer").distinct()), "kmer")
+    found = met.agg(F.countDistinct("motif").alias("n_found"), F.countDistinct("kmer").alias("n_seeds"), F.countDistinct(F.substring("motif", 1, 3)).alias("n_families"), F.count("*").alias("n_matches"))
+    rows = known.agg(F.countDistinct("motif").alias("n_motifs")).crossJoin(found)
+    ratio = lambda a, b, name: F.round(F.try_divide(F.col(a), F.col(b)), 6).alias(name)
+    return rows.select("n_motifs", "n_found", "n_seeds", "n_families", "n_matches", ratio("n_found", "n_motifs", "recall"), ratio("n_found", "n_families", "a_family"), ratio("n_matches", "n_found", "abundance"), ratio("n_matches", "n_seeds", "redundancy"))
+
+
+def cliques(edges: set[frozenset[int]], most: int = 4) -> list[frozenset[int]]:
+    """The sets of two to ``most`` columns that are all joined by edges."""
+    nodes = sorted({c for e in edges for c in e})
+    return [frozenset(c) for k in range(2, most + 1) for c in itertools.combinations(nodes, k) if all(frozenset(p) in edges for p in itertools.combinations(c, 2))]
+
+
 def diverse(ranked: list[str], distance: int, limit: int) -> list[str]:
     """Strings in order of merit, each kept if it differs from all kept ones, and their reverse complements, in ``distance`` places."""
     flip, kept = str.maketrans("ACGT", "TGCA"), []

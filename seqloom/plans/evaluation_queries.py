@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -9,10 +11,10 @@ from ..functions import dna, stats
 from ..operators import background, em, kmers, learn, sampling, scan, search, thresholds
 from ..operators.motifs import Motif
 from ..sources import motif_files, sinks, text
-from ..sources.corpus import sequences, table
+from ..sources.corpus import letters, sequences, table
 from .model_queries import _TOP, LIBRARY, UNIFORM, _divergence_sql, instances_sql, model_rows, motif_values, planted_sql
-from .registry import over_seqs, query, rc, windows
-from .scan_queries import HITS, MOTIFS, SCORED, best, hits, log_choose, recursive, shared
+from .registry import over_seqs, query, rc, recursive, windows
+from .scan_queries import HITS, MOTIFS, SCORED, best, hits, log_choose, shared
 from .scratch import folder, kept
 from .sequence_queries import _COUNTS6, _SEEDS, model_sql
 
@@ -142,6 +144,29 @@ def t05(spark, sf_dir):
     return search.gapped_seeds(sequences(spark, sf_dir), 3, 2, 20)
 
 
+_GAPS = "110110110011"
+_WORD = " || ".join(f"substr(kmer, {i + 1}, 1)" for i, c in enumerate(_GAPS) if c == "1")
+
+
+@query(
+    "t05_three_gaps",
+    over_seqs(
+        "SELECT "
+        + " || ".join(f"substr(word, {_GAPS[:i].count('1') + 1}, 1)" if c == "1" else "'N'" for i, c in enumerate(_GAPS))
+        + " AS seed, n, round(n / (total * p), 6) AS odds FROM (SELECT word, n, sum(n) OVER () AS total, "
+        + " * ".join(f"(SELECT p FROM model WHERE prefix = substr(word, {j + 1}, 1))" for j in range(_GAPS.count("1")))
+        + f" AS p FROM (SELECT {_WORD} AS word, count(*) AS n FROM kmers{len(_GAPS)} GROUP BY 1)) WHERE n >= 10 ORDER BY odds DESC, seed LIMIT 20",
+        windows(len(_GAPS)),
+        model_sql(0),
+    ),
+)
+def t05_three(spark, sf_dir):
+    """Seeds of four pairs of letters with three gaps between them."""
+    seqs = sequences(spark, sf_dir)
+    p = {r["prefix"]: r["p"] for r in background.fit(seqs, 0).collect()}
+    return search.spaced_seeds(seqs, _GAPS, p, 20)
+
+
 _NEAR = "len(list_filter(range(1, 7), lambda i: substr({0}, i, 1) <> substr({1}, i, 1))) < 2"
 
 
@@ -221,14 +246,24 @@ def a32(spark, sf_dir):
     return rows.select("list_id", "n_predicted", "n_found", "n_answers", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-@query("a33_seed_recall", over_seqs("SELECT count(*) AS n_seeds, count(DISTINCT substr(kmer, 1, 3)) AS n_families, CAST(sum(CASE WHEN kmer IN (SELECT substr(seq, 1, 6) FROM seqs) THEN 1 ELSE 0 END) AS BIGINT) AS n_recovered FROM (SELECT kmer FROM kmers6 GROUP BY kmer HAVING count(*) >= 100)", windows(6)))
+@query(
+    "a33_seed_recall",
+    over_seqs(
+        "SELECT (SELECT count(DISTINCT motif) FROM known) AS n_motifs, count(DISTINCT motif) AS n_found, count(DISTINCT kmer) AS n_seeds, count(DISTINCT substr(motif, 1, 3)) AS n_families, count(*) AS n_matches, round(count(DISTINCT motif) / (SELECT count(DISTINCT motif) FROM known), 6) AS recall, round(count(DISTINCT motif) / nullif(count(DISTINCT substr(motif, 1, 3)), 0), 6) AS a_family, round(count(*) / nullif(count(DISTINCT motif), 0), 6) AS abundance, round(count(*) / nullif(count(DISTINCT kmer), 0), 6) AS redundancy FROM known JOIN seeds ON contains(site, kmer)",
+        windows(6),
+        _COUNTS6,
+        model_sql(2),
+        f"seeds AS ({_SEEDS})",
+        "known AS (SELECT DISTINCT substr(site, 1, 9) AS motif, site FROM (SELECT regexp_replace(upper(text), '[^ACGT]', '', 'g') AS site FROM benchmark) WHERE length(site) >= 9)",
+    ),
+)
 def a33(spark, sf_dir):
-    """Frequent 6-mers: how many, of how many families by their first letters, and how many start a sequence."""
+    """How well the 25 best seeds find known sites: the benchmark's, named by their first nine letters."""
     seqs = sequences(spark, sf_dir)
-    seeds = kmers.count(seqs, 6).where("n >= 100").select("kmer")
-    starts = seqs.select(F.substring("seq", 1, 6).alias("kmer")).distinct().withColumn("is_start", F.lit(1))
-    rows = seeds.join(starts, "kmer", "left")
-    return rows.agg(F.count("*").alias("n_seeds"), F.countDistinct(F.substring("kmer", 1, 3)).alias("n_families"), F.coalesce(F.sum("is_start"), F.lit(0)).cast("long").alias("n_recovered"))
+    seeds = kmers.over_represented(kmers.count(seqs, 6), background.fit(seqs, 2), 6, 2, 25)
+    site = letters("text")
+    known = table(spark, sf_dir, "benchmark").select(F.substring(site, 1, 9).alias("motif"), site.alias("site")).where(F.length("site") >= 9)
+    return search.recall(seeds, known, 6)
 
 
 @query("r04_background_sets")
@@ -311,17 +346,25 @@ def e11(spark, sf_dir):
 
 @query("c06_dependency_groups")
 def c06(spark, sf_dir):
-    """Groups of columns of a motif's hits whose joint frequencies differ most from the product of their own."""
+    """Disjoint groups of columns of a motif's hits, on the hits' own strand, whose joint frequencies are worth most: pairs of any
+    two columns first, then the sets whose pairs all gain, and of these the best within a budget of columns."""
     from ..operators import cluster
 
-    width = len(MOTIFS[2])
-    rows = scan.scan(sequences(spark, sf_dir), [MOTIFS[2]], -8.0).where("NOT reverse").join(sequences(spark, sf_dir).select("seq_id", "seq"), "seq_id")
-    sites = rows.select(F.substring(F.col("seq"), F.col("pos") + 1, F.lit(width)).alias("site")).persist()
+    motif, keep, cost = MOTIFS[2], 7, 0.01
+    width = len(motif)
+    seqs = sequences(spark, sf_dir)
+    rows = scan.scan(seqs, [motif], -8.0).join(seqs.select("seq_id", "seq"), "seq_id")
+    site = F.substring(F.col("seq"), F.col("pos") + 1, F.lit(width))
+    sites = kept(rows.select(F.when(F.col("reverse"), dna.reverse_complement(site)).otherwise(site).alias("site")))
+    single = cluster.joint_counts(sites, [(c,) for c in range(width)])
     score = {}
-    for i in range(width - 1):
-        kl = cluster.dependence(sites, [i, i + 1], 7).agg(F.sum("kl")).first()[0] or 0.0
-        score[frozenset((i, i + 1))] = kl - 0.01
-    sites.unpersist()
+
+    def judge(groups):
+        for g, words in cluster.joint_counts(sites, groups).items():
+            score[frozenset(g)] = cluster.dependence_score(words, [single[(c,)] for c in g], keep) - cost * (len(g) - 1)
+
+    judge(list(itertools.combinations(range(width), 2)))
+    judge([tuple(sorted(c)) for c in search.cliques({e for e, x in score.items() if x > 0}, 3) if len(c) > 2])
     return spark.createDataFrame([("-".join(map(str, sorted(g))), round(score[g], 6)) for g in search.dependency_groups(score, 6)], "columns string, score double")
 
 
@@ -353,12 +396,12 @@ def c08(spark, sf_dir):
 
 @query("c11_column_learning")
 def c11(spark, sf_dir):
-    """Clusters of embedding rows, and how well a forest finds a row's cluster from its first 16 numbers."""
-    rows = learn.column_clusters(table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select("vec_id", "embedding"), "embedding")
-    rows = rows.withColumn("part", F.slice("embedding", 1, 16)).persist()
-    model = learn.train(rows, "part", "cluster")
-    found = learn.predict(model, rows, "part").groupBy("cluster").agg(F.count("*").alias("n"), F.count_if(F.col("predicted") == F.col("cluster")).alias("n_right"))
-    return found
+    """Clusters of embedding rows, and how well a forest that has seen three quarters of the rows finds the clusters of the others."""
+    rows = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select("vec_id", "embedding")
+    rows = kept(learn.column_clusters(rows, "embedding"))
+    held = F.crc32(F.col("vec_id").cast("string")) % 4 == 0
+    model = learn.train(rows.where(~held), "embedding", "cluster")
+    return learn.predict(model, rows.where(held), "embedding").groupBy("cluster").agg(F.count("*").alias("n"), F.count_if(F.col("predicted") == F.col("cluster")).alias("n_right"))
 
 
 @query(

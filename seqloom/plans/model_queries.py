@@ -9,8 +9,8 @@ from ..functions import dna, ordered, special
 from ..operators import background, cluster, em, kmers, metrics, motifs, positions, sampling, scan, thresholds
 from ..operators.motifs import Motif
 from ..sources.corpus import letters, sequences, table
-from .registry import over_seqs, query, rc, windows
-from .scan_queries import BEST, HITS, LABELLED, MOTIFS, OVERLAP, SCORED, best, hits, labelled, motif_rows, recursive
+from .registry import over_seqs, query, rc, recursive, windows
+from .scan_queries import BEST, HITS, LABELLED, MOTIFS, OVERLAP, SCORED, best, hits, labelled, motif_rows
 from .scratch import kept
 from .sequence_queries import model_sql
 
@@ -431,6 +431,43 @@ def c10(spark, sf_dir):
     return cluster.combine(best(spark, sf_dir).select("seq_id", "motif", "score"), [m.name for m in MOTIFS], labels).withColumn("auc", F.round("auc", 6))
 
 
+def _profiles_sql(strands: bool) -> list[str]:
+    """Common tables: the best window of a motif within 20 of each place, on either strand or on each: sums(motifs, seq_id, score)."""
+    kinds = "[{'s': 0, 'v': a}, {'s': 1, 'v': b}]" if strands else "[{'s': 0, 'v': greatest(a, b)}]"
+    names = [[m.name for i, m in enumerate(MOTIFS) if k >> i & 1] for k in range(1, 8)]
+    one = " UNION ALL ".join(f"SELECT '{'+'.join(s)}' AS motifs, seq_id, max(total) AS score FROM (SELECT seq_id, strand, pos, sum(top) AS total FROM tops WHERE motif IN ({', '.join(repr(x) for x in s)}) AND top IS NOT NULL GROUP BY ALL HAVING count(*) = {len(s)}) GROUP BY seq_id" for s in names)
+    return [
+        *SCORED,
+        f"sided AS (SELECT seq_id, motif, pos, unnest({kinds}) AS x FROM scored)",
+        f"cells AS (SELECT seq_id, motif, strand, unnest(range(0, length(seq))) AS pos FROM seqs, (SELECT DISTINCT motif FROM motifs), (SELECT unnest([{'0, 1' if strands else '0'}]) AS strand))",
+        "tops AS (SELECT c.seq_id, c.motif, c.strand, c.pos, max(s.x.v) OVER (PARTITION BY c.seq_id, c.motif, c.strand ORDER BY c.pos RANGE BETWEEN 20 PRECEDING AND 20 FOLLOWING) AS top FROM cells c LEFT JOIN sided s ON s.seq_id = c.seq_id AND s.motif = c.motif AND s.x.s = c.strand AND s.pos = c.pos)",
+        f"sums AS ({one})",
+    ]
+
+
+def _profile_auc(strands: bool) -> str:
+    ranked = "SELECT motifs, quality AS label, rank() OVER (PARTITION BY motifs ORDER BY round(score, 9)) + (count(*) OVER (PARTITION BY motifs, round(score, 9)) - 1) / 2.0 AS r FROM sums JOIN labels ON doc_id = seq_id"
+    return over_seqs(f"SELECT motifs, CAST(sum(label) AS BIGINT) AS n_pos, CAST(sum(1 - label) AS BIGINT) AS n_neg, round((sum(CASE WHEN label = 1 THEN r ELSE 0 END) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * sum(1 - label)), 6) AS auc FROM ({ranked}) GROUP BY motifs", *_profiles_sql(strands))
+
+
+def combined(spark, sf_dir, strands):
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("seq_id"), F.col("quality").alias("label"))
+    rows = kept(cluster.profile_scores(sequences(spark, sf_dir), MOTIFS, 20, strands).join(labels, "seq_id"))
+    return metrics.auc(rows, "motifs").withColumn("auc", F.round("auc", 6))
+
+
+@query("c10_window_profiles", _profile_auc(False))
+def c10_windows(spark, sf_dir):
+    """Sets of motifs by the best sum of their profiles' window maxima."""
+    return combined(spark, sf_dir, False)
+
+
+@query("c10_one_strand", _profile_auc(True))
+def c10_strand(spark, sf_dir):
+    """The same with all windows of a sum on one strand."""
+    return combined(spark, sf_dir, True)
+
+
 @query("r01_markov_sequences")
 def r01(spark, sf_dir):
     seqs = sequences(spark, sf_dir)
@@ -508,8 +545,14 @@ def t09(spark, sf_dir):
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), "motif")).cast("long"))
 
 
-@query("w07_inverse_sampling", f"SELECT kind, count(*) AS n FROM (SELECT CASE WHEN u < 0.2 THEN 'a' WHEN u < 0.5 THEN 'b' ELSE 'c' END AS kind FROM (SELECT CAST(('0x' || substr(md5('2:' || event_id), 1, 12)) AS BIGINT) / 281474976710656.0 AS u FROM events)) GROUP BY kind")
+@query(
+    "w07_inverse_sampling",
+    """WITH kinds AS (SELECT event_type AS kind, count(*) AS w FROM events GROUP BY 1), upto AS (SELECT kind, sum(w) OVER (ORDER BY kind) - w AS low, sum(w) OVER (ORDER BY kind) AS high, sum(w) OVER () AS total FROM kinds)
+SELECT kind, count(*) AS n FROM (SELECT CAST(('0x' || substr(md5('2:' || event_id), 1, 12)) AS BIGINT) / 281474976710656.0 AS u FROM events) JOIN upto ON u * total >= low AND u * total < high GROUP BY kind""",
+)
 def w07(spark, sf_dir):
-    """Events dealt to three kinds by inverting a cumulative distribution: a range lookup of hashed numbers."""
-    u = sampling.uniform(2, "event_id")
-    return table(spark, sf_dir, "events").select(F.when(u < 0.2, "a").when(u < 0.5, "b").otherwise("c").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    """Events dealt to kinds by inverting the cumulative distribution of the kinds that they have."""
+    events = table(spark, sf_dir, "events")
+    kinds = events.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("w"))
+    dealt = sampling.inverse(events.select("event_id"), sampling.uniform(2, "event_id"), kinds, "kind", "w")
+    return dealt.groupBy("kind").agg(F.count("*").alias("n"))

@@ -27,6 +27,11 @@ def over_seqs(body: str, *more: str) -> str:
     return f"WITH {', '.join([corpus.SQL, *more])} {body}"
 
 
+def recursive(sql: str) -> str:
+    """SQL whose common tables may refer to themselves."""
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 
 

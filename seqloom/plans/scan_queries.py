@@ -9,7 +9,7 @@ from ..functions import dna, ordered, stats
 from ..operators import kmers, metrics, positions, scan
 from ..operators.motifs import Motif
 from ..sources.corpus import letters, sequences, table
-from .registry import over_seqs, query, rc, windows
+from .registry import over_seqs, query, rc, recursive, windows
 from .scratch import kept
 
 #: Small motifs that the queries scan with.
@@ -286,6 +286,23 @@ def w03(spark, sf_dir):
     return positions.best_of_islands(hits(spark, sf_dir), ["motif", "seq_id"], "pos", "score", 8).select("motif", "seq_id", "pos", F.round("score", 6).alias("score"))
 
 
+@query(
+    "w03_withdrawn_competition",
+    recursive(
+        over_seqs(
+            "SELECT motif, seq_id, n, round(t, 6) AS total FROM (SELECT *, row_number() OVER (PARTITION BY motif, seq_id ORDER BY k DESC) AS r FROM walked) WHERE r = 1",
+            *HITS,
+            "placed AS (SELECT motif, seq_id, pos, score, row_number() OVER (PARTITION BY motif, seq_id ORDER BY pos) AS k FROM hits)",
+            """walked AS (SELECT motif, seq_id, k, pos, score, 1::BIGINT AS n, exp(score) AS t FROM placed WHERE k = 1 UNION ALL
+SELECT w.motif, w.seq_id, p.k, CASE WHEN p.pos - w.pos > 8 OR p.score > w.score THEN p.pos ELSE w.pos END, CASE WHEN p.pos - w.pos > 8 OR p.score > w.score THEN p.score ELSE w.score END, w.n + CASE WHEN p.pos - w.pos > 8 THEN 1 ELSE 0 END,
+  CASE WHEN p.pos - w.pos > 8 THEN w.t + exp(p.score) WHEN p.score > w.score THEN w.t - 0.8 * exp(w.score) + exp(p.score) ELSE w.t END FROM walked w JOIN placed p ON p.motif = w.motif AND p.seq_id = w.seq_id AND p.k = w.k + 1)""",
+        )
+    ),
+)
+def w03_withdrawn(spark, sf_dir):
+    return positions.competition(hits(spark, sf_dir), ["motif", "seq_id"], "pos", "score", 8).withColumn("total", F.round("total", 6))
+
+
 @query("w04_per_sequence_state", over_seqs("SELECT motif, seq_id, CAST(pos AS INTEGER) AS pos, row_number() OVER (PARTITION BY motif, seq_id ORDER BY pos) AS k, round(sum(exp(score)) OVER (PARTITION BY motif, seq_id ORDER BY pos ROWS UNBOUNDED PRECEDING), 6) AS mass FROM hits", *HITS))
 def w04(spark, sf_dir):
     w = Window.partitionBy("motif", "seq_id").orderBy("pos")
@@ -336,10 +353,6 @@ UNION ALL SELECT key, x, y, i + CASE WHEN abs(x[i] - y[j]) <= 5 OR x[i] < y[j] T
 pairs AS (SELECT key, a, b FROM walk WHERE a IS NOT NULL)"""
 
 
-def recursive(sql: str) -> str:
-    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
-
-
 @query(
     "j06_greedy_proximity",
     recursive(over_seqs("SELECT key AS seq_id, a, b FROM pairs", *HITS, greedy_sql("SELECT seq_id AS key, list(pos ORDER BY pos) FILTER (motif = 'm1') AS x, list(pos ORDER BY pos) FILTER (motif = 'm2') AS y FROM hits GROUP BY seq_id HAVING x IS NOT NULL AND y IS NOT NULL"))),
@@ -393,6 +406,24 @@ def a28(spark, sf_dir):
     return rows.select("motif", "bin", "n", F.round((F.col("s") - F.col("t") * share) / F.sqrt(F.col("t") * share * (1 - share)), 6).alias("z"))
 
 
+_AWAY = "abs(pos + width / 2 - seq_len / 2) / (seq_len / 2)"
+
+
+@query(
+    "a28_geometric_windows",
+    over_seqs(
+        "SELECT motif, CAST(k AS INTEGER) AS k, n_inside, round((s / nullif(t - s, 0)) / (r / (1 - r)), 6) AS odds, round((s - t * r) / sqrt(t * r * (1 - r)), 6) AS z FROM (SELECT motif, k, 0.05 * pow(1.1, k) AS r, n_inside, CAST(n_inside AS DOUBLE) AS s, CAST(t AS DOUBLE) AS t FROM inside)",
+        *HITS,
+        f"binned AS (SELECT motif, CASE WHEN {_AWAY} <= 0.05 THEN 0 ELSE least(ceil(ln({_AWAY} / 0.05) / ln(1.1) - 1e-9), 32) END AS b FROM hits)",
+        "inside AS (SELECT m.motif, k, t, (SELECT count(*) FROM binned x WHERE x.motif = m.motif AND x.b <= k) AS n_inside FROM (SELECT motif, count(*) AS t FROM binned GROUP BY motif) m, (SELECT unnest(range(0, 32)) AS k))",
+    ),
+)
+def a28_geometric(spark, sf_dir):
+    away = F.abs(F.col("pos") + F.col("width") / 2 - F.col("seq_len") / 2) / (F.col("seq_len") / 2)
+    rows = metrics.geometric_windows(located(spark, sf_dir).select("motif", away.alias("away")))
+    return rows.select("motif", "k", "n_inside", F.round("odds", 6).alias("odds"), F.round("z", 6).alias("z"))
+
+
 @query(
     "a30_centre_binomial",
     over_seqs(
