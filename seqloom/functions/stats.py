@@ -146,41 +146,3 @@ def fit_decay(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, f
         else:
             damp = min(damp * 10, 1e12)
     return float(theta[0]), float(theta[1]), float(theta[2])
-
-
-def minimise(f, start: float, end: float, tolerance: float = 1e-8) -> float:
-    """The place of the minimum of a function with one minimum between two numbers, by golden sections."""
-    ratio = (math.sqrt(5) - 1) / 2
-    a, b = start, end
-    c, d = b - ratio * (b - a), a + ratio * (b - a)
-    while b - a > tolerance:
-        if f(c) < f(d):
-            b, d = d, c
-            c = b - ratio * (b - a)
-        else:
-            a, c = c, d
-            d = a + ratio * (b - a)
-    return (a + b) / 2
-
-
-def descend(f, gradient, start, rounds: int = 500, tolerance: float = 1e-9) -> np.ndarray:
-    """A minimum of a function of several numbers: quasi-Newton steps with halving."""
-    x = np.asarray(start, dtype=float)
-    inverse, g = np.eye(len(x)), np.asarray(gradient(x), dtype=float)
-    for _ in range(rounds):
-        if np.abs(g).max() < tolerance:
-            break
-        direction = -inverse @ g
-        if direction @ g >= 0:
-            inverse, direction = np.eye(len(x)), -g
-        size, now = 1.0, f(x)
-        while f(x + size * direction) > now + 1e-4 * size * (direction @ g) and size > 1e-14:
-            size /= 2
-        step = size * direction
-        new = np.asarray(gradient(x + step), dtype=float)
-        change = new - g
-        x, g = x + step, new
-        if (curve := change @ step) > 1e-14:
-            left = np.eye(len(x)) - np.outer(step, change) / curve
-            inverse = left @ inverse @ left.T + np.outer(step, step) / curve
-    return x

@@ -19,6 +19,8 @@ _NUMBER = np.full(256, 4, dtype=np.uint8)
 for _i, _c in enumerate(b"ACGT"):
     _NUMBER[_c] = _i
 
+_LETTER = np.frombuffer(b"ACGTN", dtype=np.uint8)
+
 HITS = "seq_id long, motif string, pos int, reverse boolean, score double"
 
 
@@ -79,12 +81,12 @@ def _best(row: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
     return order[np.concatenate([[True], row[order][1:] != row[order][:-1]])] if len(order) else order
 
 
-def scan(sequences: DataFrame, motifs: list[Motif], threshold: float | dict[str, float] | None = None, best_only: bool = False, located: bool = False, chunk: int = 1 << 20) -> DataFrame:
+def scan(sequences: DataFrame, motifs: list[Motif], threshold: float | dict[str, float] | None = None, best_only: bool = False, located: bool = False, sites: bool = False, chunk: int = 1 << 20) -> DataFrame:
     """(seq_id, motif, pos, reverse, score) of the windows that score at least the threshold.
 
     best_only: the best window of each sequence and motif only, the first and forward one of equal ones. located: with the
-    motif's width and the sequence's length and weight, which is a column of ``sequences`` then. The motifs are broadcast with
-    the function; they are a few hundred numbers each. Sequences are scanned in parts of about ``chunk`` letters, so memory
+    motif's width and the sequence's length and weight, which is a column of ``sequences`` then. sites: with the window's letters,
+    as they stand. The motifs are broadcast with the function; they are a few hundred numbers each. Sequences are scanned in parts of about ``chunk`` letters, so memory
     doesn't grow with the length of a sequence.
     """
     least = threshold if isinstance(threshold, dict) else {m.name: -np.inf if threshold is None else threshold for m in motifs}
@@ -120,10 +122,15 @@ def scan(sequences: DataFrame, motifs: list[Motif], threshold: float | dict[str,
                     if located:
                         columns += [pa.array(np.full(len(at), len(m), dtype=np.int32)), pa.array(np.diff(offsets)[row].astype(np.int32)), batch.column("weight").take(pa.array(row))]
                         names += ["width", "seq_len", "weight"]
+                    if sites:
+                        letters = _LETTER[codes[at[:, None] + np.arange(len(m))]].tobytes()
+                        cuts = pa.py_buffer(np.arange(len(at) + 1, dtype=np.int32) * np.int32(len(m)))
+                        columns.append(pa.StringArray.from_buffers(len(at), cuts, pa.py_buffer(letters)))
+                        names.append("site")
                     yield pa.RecordBatch.from_arrays(columns, names)
 
     columns = ["seq_id", "seq", F.col("weight").cast("double").alias("weight")] if located else ["seq_id", "seq"]
-    return sequences.select(*columns).mapInArrow(found, LOCATED if located else HITS)
+    return sequences.select(*columns).mapInArrow(found, (LOCATED if located else HITS) + (", site string" if sites else ""))
 
 
 def best_hits(hits: DataFrame) -> DataFrame:

@@ -308,14 +308,11 @@ def r09(spark, sf_dir):
 
 @query("e06_erasing_em")
 def e06(spark, sf_dir):
-    """Two motifs in turn: the second is fitted to sequences from which the first one's best sites are masked."""
-    seqs = sequences(spark, sf_dir).select("seq_id", "seq")
+    """Two motifs in turn: a window counts less for the second one, the likelier its letters belong to a site of the first."""
+    seqs = kept(sequences(spark, sf_dir).select("seq_id", "seq"))
     first = em.fit(seqs, [em.State(Motif.of_consensus("first", "TAATTA", 0.7))], UNIFORM, rounds=4)[0]
-    sites = scan.scan(seqs, [first.motif], thresholds.threshold(first.motif, 1e-3)).groupBy("seq_id").agg(F.collect_list("pos").alias("at"))
-    width = len(first.motif)
-    erased = F.aggregate(F.coalesce("at", F.array().cast("array<int>")), F.col("seq"), lambda s, p: dna.overwritten(s, p, F.lit(width), "N"))
-    left = seqs.join(sites, "seq_id", "left").select("seq_id", erased.alias("seq"))
-    second = em.fit(left, [em.State(Motif.of_consensus("second", "GATNATC", 0.7))], UNIFORM, rounds=4)[0]
+    left = kept(em.erasing(seqs, em.sites(seqs, first, UNIFORM)))
+    second = em.fit(left, [em.State(Motif.of_consensus("second", "GATNATC", 0.7))], UNIFORM, rounds=4, erased="erased")[0]
     return model_rows(spark, [first, second])
 
 
@@ -352,10 +349,8 @@ def c06(spark, sf_dir):
 
     motif, keep, cost = MOTIFS[2], 7, 0.01
     width = len(motif)
-    seqs = sequences(spark, sf_dir)
-    rows = scan.scan(seqs, [motif], -8.0).join(seqs.select("seq_id", "seq"), "seq_id")
-    site = F.substring(F.col("seq"), F.col("pos") + 1, F.lit(width))
-    sites = kept(rows.select(F.when(F.col("reverse"), dna.reverse_complement(site)).otherwise(site).alias("site")))
+    rows = scan.scan(sequences(spark, sf_dir), [motif], -8.0, sites=True)
+    sites = kept(rows.select(F.when(F.col("reverse"), dna.reverse_complement("site")).otherwise(F.col("site")).alias("site")))
     single = cluster.joint_counts(sites, [(c,) for c in range(width)])
     score = {}
 

@@ -10,7 +10,7 @@ from ..operators import background, cluster, em, kmers, metrics, motifs, positio
 from ..operators.motifs import Motif
 from ..sources.corpus import letters, sequences, table
 from .registry import over_seqs, query, rc, recursive, windows
-from .scan_queries import BEST, HITS, LABELLED, MOTIFS, OVERLAP, SCORED, best, hits, labelled, motif_rows
+from .scan_queries import BEST, HITS, LABELLED, MOTIFS, OVERLAP, SCORED, THRESHOLD, best, hits, labelled, motif_rows
 from .scratch import kept
 from .sequence_queries import model_sql
 
@@ -139,16 +139,8 @@ def e01_extending(spark, sf_dir):
 @query("e02_resampled_em")
 def e02(spark, sf_dir):
     """EM over a sample of windows, drawn by likelihood and weighted by the inverse of their chance."""
-    motif = MOTIFS[1]
-    seqs = sequences(spark, sf_dir)
-    chance = F.least(F.lit(1.0), F.exp(F.col("score") + len(motif) * F.log(F.lit(4.0))) * 0.01)
-    drawn = scan.scan(seqs, [motif], None).withColumn("p", chance).where(sampling.uniform(11, F.concat_ws(":", "seq_id", "pos")) < F.col("p"))
-    sites = drawn.join(seqs.select("seq_id", "seq"), "seq_id").select(F.substring(F.col("seq"), F.col("pos") + 1, F.lit(len(motif))).alias("seq"), (1 / F.col("p")).alias("w"))
-    states = [em.State(motif, 0.01)]
-    total = sites.agg(F.sum("w")).first()[0] or 1.0
-    for _ in range(4):
-        states, _ = em.step(sites, states, UNIFORM, "any", "w", total)
-    return model_rows(spark, states)
+    state, _ = em.resampled(sequences(spark, sf_dir), Motif.of_consensus("m2", "GATTATC", 1.0), UNIFORM, kept)
+    return model_rows(spark, [state])
 
 
 @query("e03_sequence_posterior", over_seqs("SELECT seq_id, round(sum(f + r), 6) AS p FROM post GROUP BY seq_id", *_EM))
@@ -209,6 +201,23 @@ def e09(spark, sf_dir):
     return spark.createDataFrame([("m1", round(em.mixing_share(kept(rows), "ratio"), 6))], "motif string, share double")
 
 
+@query("e09_logistic_combiner")
+def e09_logistic(spark, sf_dir):
+    """How the motifs' best scores together tell labels apart: the weight of each, and the intercept."""
+    rows = labelled(spark, sf_dir).groupBy("seq_id", "label").pivot("motif", [m.name for m in MOTIFS]).agg(F.max("score"))
+    rows = kept(rows.where(" AND ".join(f"{m.name} IS NOT NULL" for m in MOTIFS)))
+    w = em.logistic(rows, [m.name for m in MOTIFS], "label")
+    return spark.createDataFrame([(n, round(float(x), 6)) for n, x in zip([*(m.name for m in MOTIFS), "intercept"], w, strict=True)], "term string, weight double")
+
+
+@query("e09_negative_binomial_mixture")
+def e09_mixture(spark, sf_dir):
+    """Two negative binomials of how often the least selective motif hits a sequence."""
+    counts = kept(hits(spark, sf_dir, "m3").groupBy("seq_id").agg(F.count("*").alias("n")))
+    parts = em.negative_binomial_mixture(counts, "n")
+    return spark.createDataFrame([(i, *(round(x, 6) for x in c)) for i, c in enumerate(parts)], "component int, share double, r double, p double")
+
+
 @query("e10_negative_binomial", "SELECT doc_id, round(lgamma(n_chars + 5.0) - lgamma(n_chars + 1.0) - lgamma(5.0) + 5 * ln(0.002) + n_chars * ln(0.998), 4) AS logp FROM documents")
 def e10(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(special.negative_binomial(F.col("n_chars").cast("double"), 5.0, 0.002), 4).alias("logp"))
@@ -227,9 +236,8 @@ def a11(spark, sf_dir):
     """Base frequencies of each motif's hits, aligned on the motif's strand."""
     from pyspark.sql import Window
 
-    width = F.create_map(*(x for m in MOTIFS for x in (F.lit(m.name), F.lit(len(m)))))[F.col("motif")]
-    rows = hits(spark, sf_dir).join(sequences(spark, sf_dir).select("seq_id", "seq"), "seq_id")
-    s = F.substring(F.col("seq"), F.col("pos") + 1, width)
+    rows = scan.scan(sequences(spark, sf_dir), MOTIFS, THRESHOLD, sites=True)
+    s = F.col("site")
     cells = rows.select("motif", F.posexplode(F.split(F.when(F.col("reverse"), dna.reverse_complement(s)).otherwise(s), "")).alias("col", "base")).where("base <> ''")
     counts = cells.groupBy("motif", "col", "base").agg(F.count("*").alias("n"))
     return counts.select("motif", "col", "base", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("motif", "col")), 6).alias("w"))

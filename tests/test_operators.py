@@ -147,8 +147,6 @@ def test_stats():
     assert abs(stats.hypergeometric_cdf(2, 20, 8, 5) - sum(math.comb(8, i) * math.comb(12, 5 - i) for i in range(3)) / math.comb(20, 5)) < 1e-12
     a, b, c = stats.fit_decay(np.arange(30), 5 * np.exp(-0.2 * np.arange(30)) + 1)
     assert abs(a - 5) < 1e-5 and abs(b - 0.2) < 1e-6 and abs(c - 1) < 1e-5
-    assert abs(stats.minimise(lambda x: (x - 2) ** 2, 0, 5) - 2) < 1e-6
-    assert np.allclose(stats.descend(lambda x: (x[0] - 1) ** 2 + 3 * (x[1] + 2) ** 2, lambda x: np.array([2 * (x[0] - 1), 6 * (x[1] + 2)]), [0, 0]), [1, -2], atol=1e-6)
 
 
 def test_log_gamma(spark):
