@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import sampling, scan, thresholds
+from .operators import learn, sampling, scan, thresholds
 from .plans import workflows
 from .sources import motif_files, sinks, text
 
@@ -45,10 +45,25 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--share", type=float, default=0.5)
     c.add_argument("--seed", type=int, default=1)
     command("mask", "overwrite sites by N")
+    c = command("combine", "AUC of every set of motifs by their profiles' window maxima")
+    c.add_argument("--reach", type=int, default=20)
+    c.add_argument("--one-strand", action="store_true")
+    c = command("peaks", "regions beside peaks; the input has lines of a chromosome and its numbers")
+    c.add_argument("--width", type=int, default=100)
+    c = command("predict", "columns of residues; the input has lines of column, residues and, to learn from, four probabilities")
+    c.add_argument("--train", required=True)
+    c.add_argument("--residues", type=int, default=4)
     return top
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
+    if args.command == "peaks":
+        sinks.write_table(text.flanking(text.peaks(spark, args.input), args.width), f"{args.output}/regions")
+        return
+    if args.command == "predict":
+        known, asked = (text.residues(text.amino_acids(spark, path), args.residues) for path in (args.train, args.input))
+        sinks.write_table(learn.predicted_columns(known, asked).drop("features"), f"{args.output}/columns")
+        return
     seqs = text.fasta(spark, args.input)
     motifs = motif_files.read(spark, args.pwm) if args.pwm else []
     if args.command != "discover" and not motifs:
@@ -63,6 +78,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         if args.library:
             near = workflows.nearest(motifs, motif_files.read(spark, args.library), within=args.divergence)
             sinks.write_table(spark.createDataFrame(near, "motif string, other string, divergence double"), f"{args.output}/nearest")
+    elif args.command == "combine":
+        negatives = workflows.controls(seqs, args.bg_order) if negatives is None else negatives
+        sinks.write_table(workflows.combinations(motifs, seqs, negatives, args.reach, args.one_strand).orderBy(F.desc("auc"), "motifs"), f"{args.output}/combinations")
     elif args.command == "scan":
         q = workflows.base_frequencies(seqs)
         for m in motifs:

@@ -37,3 +37,13 @@ def save(model: RandomForestClassificationModel, path: str) -> None:
 
 def load(path: str) -> RandomForestClassificationModel:
     return RandomForestClassificationModel.load(path)
+
+
+def predicted_columns(known: DataFrame, asked: DataFrame, features: str = "features", values: str = "probs") -> DataFrame:
+    """asked with ``cluster`` and ``predicted`` values: columns are clustered by their values, a forest learns the cluster from the
+    features, and a predicted column is the mean of its cluster. The means are a row for each cluster."""
+    rows = column_clusters(known, values)
+    cells = rows.select("cluster", F.posexplode(F.col(values).cast("array<double>")).alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("x"))
+    means = cells.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("predicted"))
+    found = predict(train(rows, features, "cluster"), asked, features).withColumnRenamed("predicted", "cluster")
+    return found.join(F.broadcast(means), "cluster")

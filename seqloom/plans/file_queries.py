@@ -8,6 +8,7 @@ from ..operators import kmers, learn, metrics
 from ..operators.motifs import Motif
 from ..sources import motif_files, sinks, text
 from ..sources.corpus import letters, sequences, table
+from . import workflows
 from .evaluation_queries import library_sql
 from .model_queries import _CORE, _WIDE, LIBRARY, motif_values
 from .registry import over_seqs, query, windows
@@ -31,6 +32,15 @@ def s02(spark, sf_dir):
     return text.fasta(spark, path, limit=10).select("name", "seq")
 
 
+@query(
+    "s03_capped_controls",
+    over_seqs(f"SELECT seq_id FROM seqs WHERE seq_id NOT IN (SELECT seq_id FROM kmers20 JOIN (SELECT substr(seq, p + 1, 20) AS kmer FROM (SELECT seq, unnest(range(0, length(seq) - 19)) AS p FROM items)) USING (kmer)) ORDER BY seq_id LIMIT (SELECT greatest(1000, 2 * count(*)) + 1 FROM benchmark)", windows(20), _ITEM_SEQS),
+)
+def s03_capped(spark, sf_dir):
+    """Controls without a 20-mer of the benchmark's, the first ones, as many as older programs keep."""
+    return workflows.clean_controls(sequences(spark, sf_dir), items(spark, sf_dir), 20).select("seq_id")
+
+
 @query(
     "s05_posting_index",
     over_seqs("SELECT kmer, seq_id // 256 AS block, count(*) AS n, CAST(min(seq_id) AS BIGINT) AS first_seq, CAST(arg_min(pos, (seq_id, pos)) AS BIGINT) AS first_pos, CAST(sum(pos) AS BIGINT) AS sum_pos FROM kmers4 GROUP BY 1, 2", windows(4)),

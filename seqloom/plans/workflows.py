@@ -8,9 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dna
+from ..functions import dna, ordered
 from ..operators import background, cluster, em, kmers, metrics, positions, sampling, scan, thresholds
 from ..operators.motifs import Motif, divergence
+from .scratch import kept
 
 
 @dataclass
@@ -42,6 +43,25 @@ def controls(sequences: DataFrame, order: int = 2, fold: int = 1, seed: int = 1)
     return sampling.markov_sequences(lengths.select((-1 - (F.col("seq_id") * fold + F.col("k"))).alias("seq_id"), "len"), model, order, seed)
 
 
+def clean_controls(negatives: DataFrame, sequences: DataFrame, k: int = 100, capped: bool = True) -> DataFrame:
+    """The negatives that share no k-mer with the sequences; if capped, the first ones, up to twice as many as there are
+    sequences, 1000 at least, and one more, as older programs count."""
+    left = negatives.join(kmers.sharing(negatives, sequences, k), "seq_id", "left_anti")
+    if not capped:
+        return left
+    most = max(1000, 2 * sequences.count())
+    return ordered.numbered(left, "seq_id", "_number").where(F.col("_number") <= most).drop("_number")
+
+
+def combinations(motifs: list[Motif], positives: DataFrame, negatives: DataFrame, reach: int = 20, strands: bool = False) -> DataFrame:
+    """(motifs, n_pos, n_neg, auc) of every set of motifs, by the best sum of the motifs' profiles in a sequence."""
+    rows = None
+    for label, seqs in ((1, positives), (0, negatives)):
+        part = cluster.profile_scores(seqs, motifs, reach, strands).withColumn("label", F.lit(label))
+        rows = part if rows is None else rows.unionByName(part)
+    return metrics.auc(kept(rows), "motifs")
+
+
 def evaluate(motifs: list[Motif], positives: DataFrame, negatives: DataFrame, fdr: float = 0.001) -> DataFrame:
     """(motif, n_pos, n_neg, auc, mean_llr, hit_pos, hit_neg, z): all motifs in one scan of either set."""
     width = F.create_map(*(x for m in motifs for x in (F.lit(m.name), F.lit(len(m)))))[F.col("motif")]
@@ -51,6 +71,7 @@ def evaluate(motifs: list[Motif], positives: DataFrame, negatives: DataFrame, fd
     for label, seqs in ((1, positives), (0, negatives)):
         part = scan.scan(seqs, motifs, None, best_only=True).withColumn("label", F.lit(label))
         rows = part if rows is None else rows.unionByName(part)
+    rows = kept(rows)
     auc = metrics.auc(rows.select("motif", "score", "label"), "motif")
     llr = rows.where("label = 1").groupBy("motif").agg(F.avg(F.col("score") - width * F.log(F.lit(0.25))).alias("mean_llr"))
     hits = metrics.enrichment(rows.select("motif", "label", (F.col("score") >= limit).alias("hit"))).select("motif", "hit_pos", "hit_neg", "z")
