@@ -194,3 +194,14 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
 
 def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def sql_of() -> str:
+    """The same by the cosine of every two vectors."""
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+reach AS (SELECT vec_id AS root, vec_id AS node FROM v UNION SELECT root, b FROM reach JOIN links ON a = node),
+least AS (SELECT root, min(node) AS component FROM reach GROUP BY root), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(vec_id = coalesce(component, vec_id), false) AS kept
+FROM embeddings LEFT JOIN least ON root = vec_id LEFT JOIN counts ON a = vec_id"""

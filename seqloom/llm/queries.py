@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, license_scan
+from . import decontam, lattice, license_scan
 from .decontam import op8_decontaminate
 from .langid import op9_language
 from .lattice import op3_lattice
@@ -28,6 +28,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op3_lattice": lattice.sql_of(),
     "op6_licenses": license_scan.sql_of(),
     "op8_decontaminate": decontam.sql_of(),
 }

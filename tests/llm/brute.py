@@ -125,16 +125,16 @@ def toxicity(net, text):
 
 
 def passages(text, item):
-    """The diagonals on which a text holds a passage of an item: all of them are looked at, word by word."""
+    """The diagonals on which a text holds a passage of an item: all those with equal words are looked at, window by window."""
     split = lambda t: re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
     words, item = split(text or ""), [w for w in split(item or "") if w]
-    size = min(20, len(item))
-    out = []
-    for d in range(1 - len(item), len(words)) if item else ():
-        equal = [0 <= d + i < len(words) and words[d + i] == w for i, w in enumerate(item)]
-        if any(10 * sum(equal[i : i + size]) >= 8 * size for i in range(len(item) - size + 1)):
-            out.append(d)
-    return out
+    size, places, equal = min(20, len(item)), {}, {}
+    for i, w in enumerate(item):
+        places.setdefault(w, []).append(i)
+    for p, w in enumerate(words):
+        for i in places.get(w, ()):
+            equal.setdefault(p - i, set()).add(i)
+    return [d for d, at in equal.items() if 10 * len(at) >= 8 * size and any(10 * sum(k in at for k in range(i, i + size)) >= 8 * size for i in range(len(item) - size + 1))]
 
 
 def shingles(text):
