@@ -2,6 +2,10 @@
 
 Stages take (spark, docs, sf_dir) and work on every row of docs; all but the last return the columns of documents. None can
 be expressed in SQL as a whole, so there is no oracle; tests compare the stages with brute force.
+
+All stages: a null text counts as empty and stays null where texts stay; texts are read whole, however long; repeated rows are
+treated alike; an empty table gives an empty one; columns beside doc_id and text pass through, whatever their names, up to the
+last stage. Rows are told apart by doc_id and text, so different texts under one id, or under none, are rows of their own.
 """
 
 from __future__ import annotations
@@ -18,25 +22,32 @@ ORACLE_SQL = None
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts with a window that is toxic with a probability of ``TOXIC`` or more. The network is fitted on the labelled rows
+    among docs; without any, nothing is rejected."""
     net = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs, net, TOXIC)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one text of each group of near copies, the one with the least doc_id; of rows with equal ids and words, one."""
     small_batches(spark)
     return copies.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts that hold a passage of the benchmark, words replaced or not. Without a benchmark, nothing is rejected."""
     return decontam.without_passages(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind in brackets and counts n_chars anew; keeps all rows."""
     small_batches(spark)
     return pii.redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, their number, the hash of what they decode to, and lang and source; keeps all rows. A null or
+    empty text is the end id alone."""
     small_batches(spark)
     return piece.encode(docs, None, "lang", "source")
 
