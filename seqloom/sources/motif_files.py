@@ -173,9 +173,8 @@ def gapped(text: str) -> Iterator[Motif]:
 
 
 #: Endings of file names (those with a dot), or parts of them, and their readers. The order decides names that fit several: up
-#: to jaspar it is that of older programs.
+#: to jaspar it is that of older programs. Files with other endings are read by naming a layout.
 FORMATS: list[tuple[str, Callable[[str], Iterator[Motif]]]] = [
-    (".pomoda", transfac),
     (".dat", transfac),
     (".zifnet", lambda t: four_rows(t, True)),
     (".traw", trawler),
@@ -202,9 +201,12 @@ FORMATS: list[tuple[str, Callable[[str], Iterator[Motif]]]] = [
 ]
 
 
-def read(spark: SparkSession, path: str, limit: int | None = None) -> list[Motif]:
-    """The motifs of a file, by its name; the best ``limit`` ones by score, if given."""
-    name = path.rsplit("/", 1)[-1].lower()
+def read(spark: SparkSession, path: str, limit: int | None = None, layout: str | None = None) -> list[Motif]:
+    """The motifs of a file, by its name; the best ``limit`` ones by score, if given.
+
+    layout: the name by which the reader is chosen instead, for files with another ending: ".pwm", "jaspar" and so on.
+    """
+    name = layout or path.rsplit("/", 1)[-1].lower()
     parser = next((p for key, p in FORMATS if (name.endswith(key) if key.startswith(".") else key in name)), None) or next((p for key, p in FORMATS if key in name), None)
     if parser is None:
         raise ValueError(f"no motif format is known by the name {name}")

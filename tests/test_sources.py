@@ -79,6 +79,8 @@ def test_details(spark, tmp_path):
     assert gap[0].extra["groups"] == {(0, 2): {"AG": 0.5, "N": 0.5}}
     with pytest.raises(ValueError):
         motif_files.read(spark, str(tmp_path / "x.unknown"))
+    other = written(tmp_path, "z.unknown", FILES["x.jaspar"])
+    assert [m.name for m in motif_files.read(spark, other, layout="jaspar")] == ["m1", "m2"] == [m.name for m in motif_files.read(spark, written(tmp_path, "z.other", FILES["x.pwm"]), layout=".pwm")]
 
 
 def test_round_trips(spark, tmp_path):
@@ -133,7 +135,7 @@ def test_reports_of_tools(spark, tmp_path, suffix):
 BARS = "\n".join(f"{b}|{'|'.join(r.split())}|" for b, r in zip("ACGT", BY_BASE))
 AMADEUS = "".join(f"PwmMotif(m{i}): score 1.5\n |1|2|3|4|5|\n-----------\n{BARS}\n\n" for i in (1, 2))
 SUFFIXES = {"x.admout": AMADEUS, "y.amadeus": AMADEUS, "x.traw": FILES["trawler.txt"], "x.cisf": FILES["cisfinder.txt"], "x.unip": FILES["uniprobe.txt"]}
-SUFFIXES |= {"x.trans": FILES["x.transfac"], "meme.txt": FILES["x.meme"], "x.pomoda": FILES["x.pwm"], "x.wee": FILES["weeder.txt"], "cisfinder.unip": FILES["cisfinder.txt"]}
+SUFFIXES |= {"x.trans": FILES["x.transfac"], "meme.txt": FILES["x.meme"], "x.wee": FILES["weeder.txt"], "cisfinder.unip": FILES["cisfinder.txt"]}
 
 
 @pytest.mark.parametrize("name", sorted(SUFFIXES))
