@@ -129,7 +129,7 @@ SITE_PATTERNS = {
 }
 
 
-#: The reports of motif tools by the suffix of their files: a pattern found anywhere in a line, and its groups of the
+#: The reports of motif tools by the suffix of their files. A pattern found anywhere in a line, and its groups of the
 #: sequence, the strand (0: the tool gives none) and the position.
 TOOL_PATTERNS = {
     "out": (r">SEQ_(\d+)\s([b,f])(\d+)\s([A,C,G,T]+)", 1, 2, 3),
