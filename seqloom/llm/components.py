@@ -1,9 +1,11 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Each step is a grouped minimum and a join, the edges are written to the shared folder after each round, and rounds go on
-until no edge changes, so the result is exact. The driver only gets two sums a round. The minimum is added up in each task
-first. Nodes with more than one in ``HEAVY`` of all edges are at most 2 x HEAVY, so their minima are broadcast to their edges
-wherever these lie; the edges of all other nodes are dealt by node.
+until no edge changes, so the result is exact. The minimum is added up in each task first. Nodes with more than one in
+``HEAVY`` of all edges are at most 2 x HEAVY; the driver gets their numbers, and their minima are broadcast to their edges
+wherever these lie, while the edges of all other nodes are dealt by node. Only a component's least nodes come to have many
+edges, and only in the step that looks at the greater neighbours, so that is where it is done. Besides, the driver gets two sums
+a round.
 """
 
 from __future__ import annotations
@@ -22,15 +24,18 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(h.cast("decimal(20,0)"))).first())
 
 
-def _star(pairs: DataFrame, up: bool, edges: int) -> DataFrame:
-    """pairs: (node, other). Connects, to the least of a node's neighbourhood, the others above it (up) or up to it.
+def _heavy(pairs: DataFrame, edges: int) -> list[int]:
+    """The nodes with very many edges."""
+    return [r["node"] for r in pairs.groupBy("node").count().where(F.col("count") > max(64, edges // HEAVY)).select("node").collect()]
 
-    edges: how many edges there are about; it bounds the nodes that are broadcast.
-    """
-    least = pairs.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("m"), F.count("*").alias("degree"))
-    heavy = F.broadcast(least.where(F.col("degree") > max(64, edges // HEAVY)).drop("degree"))
-    light = least.where(F.col("degree") <= max(64, edges // HEAVY)).drop("degree")
-    linked = pairs.join(heavy, "node").union(pairs.join(heavy, "node", "left_anti").join(light, "node"))
+
+def _star(pairs: DataFrame, up: bool, heavy: list[int]) -> DataFrame:
+    """pairs: (node, other). Connects, to the least of a node's neighbourhood, the others above it (up) or up to it."""
+    least = pairs.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("m"))
+    linked = pairs.join(least, "node")
+    if heavy:
+        many = F.col("node").isin(heavy)
+        linked = pairs.where(many).join(F.broadcast(least.where(many)), "node").union(pairs.where(~many).join(least.where(~many), "node"))
     if up:
         return linked.where(F.col("other") > F.col("node")).select(F.col("other").alias("a"), F.col("m").alias("b"))
     return linked.select(F.col("other").alias("a"), F.col("m").alias("b")).where("a <> b").union(linked.select(F.col("node").alias("a"), F.col("m").alias("b")).where("a <> b"))
@@ -45,8 +50,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = _signature(now)
     while before[0]:
         both = now.select(F.col("a").alias("node"), F.col("b").alias("other")).union(now.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        large = _star(both, True, before[0]).distinct()
-        small = _star(large.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("other")), False, before[0]).distinct()
+        large = _star(both, True, _heavy(both, before[0])).distinct()
+        small = _star(large.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("other")), False, []).distinct()
         now = written(small.where("a <> b"), "edges")
         after = _signature(now)
         if after == before:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import flattext as ft
 from .components import components
-from .tables import table, written
+from .tables import fitting, free_name, table, written
 
 SHINGLE = 3
 SEED = 42
@@ -129,6 +129,41 @@ def grouped(prints: DataFrame) -> DataFrame:
     return prints.join(named.select("fp", "component").join(ids, "component"), "fp").select("doc_id", "fp", "component", "component_id")
 
 
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """One row of ``documents`` for each group: one with the group's smallest doc_id.
+
+    Rows are told apart by id and fingerprint, so one id on rows of several groups stays once in each; of rows with equal ids and
+    fingerprints, and of a group without any id, the row with the least hash of its text stays. The ids to go are broadcast if
+    their counted size allows it, so texts aren't shuffled then; only texts of null and repeated ids are read again.
+    """
+    found = written(near_duplicates(documents).select("doc_id", "fp", "component"), "groups")
+    least = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp")).alias("k"))
+    kept = written(least.select("k.doc_id", "k.fp"), "kept")
+    several = written(found.groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1 OR doc_id IS NULL").select("doc_id"), "several")
+    gone = found.where(F.col("doc_id").isNotNull()).join(kept, ["doc_id", "fp"], "left_anti").select("doc_id")
+    gone = written(gone.union(several.where(F.col("doc_id").isNotNull())).distinct(), "gone")
+    rows = documents.where(F.col("doc_id").isNotNull()).join(fitting(gone), "doc_id", "left_anti").select(documents.columns)
+    if not several.limit(1).count():
+        return rows
+    fp, own, kept_fp = (free_name(documents, n) for n in ("own_fp", "own_id", "kept_fp"))
+    again = documents.join(fitting(several.withColumnRenamed("doc_id", own)), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
+    again = again.mapInArrow(_with_fingerprint(documents.columns, fp), documents.select("*", F.lit(0).cast("long").alias(fp)).schema)
+    chosen = kept.select(F.col("doc_id").alias(own), F.col("fp").alias(kept_fp))
+    again = again.join(fitting(chosen, 24), F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(fp) == F.col(kept_fp)), "left_semi")
+    first = F.min_by(F.struct(*documents.columns), F.struct(F.xxhash64("text"), "text")).alias("r")
+    return rows.union(again.groupBy(F.col("doc_id").alias(own), F.col(fp)).agg(first).select("r.*"))
+
+
+def _with_fingerprint(names: list[str], fp: str):
+    def made(batches):
+        for batch in batches:
+            texts = ft.filled(batch.column("text"))
+            found = [fingerprint((texts[i].as_py()).encode()) for i in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, pa.int64())], [*names, fp])
+
+    return made
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

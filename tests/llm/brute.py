@@ -135,8 +135,3 @@ def passages(text, item):
         for i in places.get(w, ()):
             equal.setdefault(p - i, set()).add(i)
     return [d for d, at in equal.items() if 10 * len(at) >= 8 * size and any(10 * sum(k in at for k in range(i, i + size)) >= 8 * size for i in range(len(item) - size + 1))]
-
-
-def shingles(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()

@@ -115,8 +115,8 @@ def test_pipeline(spark, texts, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "TOXIC", limit)
     left = {i: t for i, t in texts.items() if scores[i] < limit}
     assert 0 < len(left) < len(texts)
-    sets = {i: brute.shingles(t) for i, t in left.items()}
-    root = brute.united(sorted(left), lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]))
+    prints = {i: simhash.fingerprint(t.encode()) & ((1 << 64) - 1) for i, t in left.items()}
+    root = brute.united(sorted(left), lambda x, y: (prints[x] ^ prints[y]).bit_count() <= 2)
     singles = {i: t for i, t in left.items() if root[i] == i}
     items = duckdb.sql(f"SELECT text FROM '{SF}/benchmark.parquet'").fetchall()
     clean = {i: t for i, t in singles.items() if not any(brute.passages(t, item) for (item,) in items)}
