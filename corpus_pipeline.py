@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import copies, decontam, pii, piece, toxicity
+from seqloom.llm import decontam, pii, piece, simhash, toxicity
 from seqloom.llm.tables import small_batches, table, written
 
 #: Documents with this calibrated probability of being toxic, or a larger one, are rejected.
@@ -29,9 +29,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one text of each group of near copies, the one with the least doc_id; of rows with equal ids and words, one."""
+    """Keeps one text of each group that SimHash fingerprints link, the one with the least doc_id; of rows with equal ids and
+    fingerprints, one."""
     small_batches(spark)
-    return copies.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
