@@ -117,6 +117,27 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_component_rounds(spark, monkeypatch):
+    """The driver keeps the plan of each job: no round for stars, and few joins in a job where nodes have many edges."""
+    from seqloom.llm import components as module
+
+    plans = []
+
+    def seen(df, purpose, write=module.written):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, purpose)
+
+    monkeypatch.setattr(module, "written", seen)
+    stars = [(100 * i, 100 * i + j) for i in range(-2, 3) for j in range(1, 100)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {x: x // 100 * 100 for x in range(-200, 300)} and len(plans) == 1
+    hub = -(1 << 63)
+    pairs = [(hub, i) for i in range(200)] + [(50, i) for i in range(150, 400)] + [(500, i) for i in range(501, 700)] + [(-9, 500), (-9, -8)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: hub for x in [hub, *range(400)]} | {x: -9 for x in [-9, -8, *range(500, 700)]}
+    assert len(plans) > 3 and max(p.count("Join ") for p in plans) <= 2
+
+
 def test_lattice_points():
     rng = np.random.default_rng(0)
     assert len(e8.SHORTEST) == 240 and np.allclose((e8.SHORTEST**2).sum(axis=1), 2)
