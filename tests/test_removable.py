@@ -34,6 +34,12 @@ def test_without_the_operators(tmp_path, left):
     subprocess.run([sys.executable, "-c", CODE], cwd=folder, check=True)
 
 
+def test_with_the_pipeline_and_an_emptied_folder(tmp_path):
+    folder = copied(tmp_path / "repo", ["seqloom/llm", "tests/llm"])
+    (folder / "seqloom/llm").mkdir()
+    subprocess.run([sys.executable, "-c", CODE], cwd=folder, check=True)
+
+
 def test_a_missing_part_is_an_error(tmp_path):
     if not (ROOT / "seqloom/llm/tables.py").exists():
         pytest.skip("the operators aren't there")
