@@ -46,7 +46,8 @@ def _up(edges: DataFrame, heavy: list[tuple[int, int | None]]) -> DataFrame:
     if heavy:
         known = edges.sparkSession.createDataFrame(heavy, "node long, m long")
         linked = linked.union(edges.where(f"b IN ({listed})").join(F.broadcast(known), F.col("b") == F.col("node"), "left"))
-    return linked.select("a", F.coalesce("m", "b").alias("b"))
+    # many neighbours below a node become one, so that node's rows don't meet in one task of the next step
+    return linked.select("a", F.coalesce("m", "b").alias("b")).distinct()
 
 
 def _down(edges: DataFrame) -> DataFrame:
